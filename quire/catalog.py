@@ -6,5 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from quire.operators import nested
+from quire.plans.runtime import read_table as _t
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.find_nodes(_t(spark, d, "book_json"))
+
+
+def p6_books(spark: SparkSession, d: str) -> DataFrame:
+    return nested.shred(_t(spark, d, "book_json"))["book"]
+
+
+def p6_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return nested.shred(_t(spark, d, "book_json"))["metadata"]
+
+
+def p6_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return nested.shred(_t(spark, d, "book_json"))["node"]
+
+
+def p6_images(spark: SparkSession, d: str) -> DataFrame:
+    return nested.shred(_t(spark, d, "book_json"))["image"]
+
+
+def p6_logs(spark: SparkSession, d: str) -> DataFrame:
+    return nested.shred(_t(spark, d, "book_json"))["log"]
+
+
+_NODES = """WITH RECURSIVE start AS (SELECT record_id, json_extract(body, '$.content') AS c FROM book_json WHERE body IS NOT NULL AND json_valid(body) AND json_type(body) = 'OBJECT'),
+first AS (SELECT record_id, CASE json_type(c) WHEN 'ARRAY' THEN json_extract(c, '$[*]') WHEN 'OBJECT' THEN [c] ELSE [] END AS a FROM start),
+w AS (
+  SELECT record_id, (generate_subscripts(a, 1) - 1)::VARCHAR AS node_path, '' AS parent_path, generate_subscripts(a, 1) - 1 AS position, unnest(a) AS node FROM first
+  UNION ALL
+  SELECT record_id, parent || '/' || (generate_subscripts(a, 1) - 1), parent, generate_subscripts(a, 1) - 1, unnest(a) FROM (
+    SELECT record_id, node_path AS parent, CASE json_type(node, '$.content') WHEN 'ARRAY' THEN json_extract(node, '$.content[*]') WHEN 'OBJECT' THEN [json_extract(node, '$.content')] ELSE [] END AS a
+    FROM w WHERE json_type(node) = 'OBJECT') x
+)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_books, p6_metadata, p6_nodes, p6_images, p6_logs)}
+SQL: dict[str, str] = {
+    "p6_found": _NODES + "SELECT record_id, node_path, parent_path FROM w WHERE json_type(node) = 'OBJECT'",
+}
