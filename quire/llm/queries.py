@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import consensus, markup, mixing, packing, pieces, sitelines, stratified
+from quire.llm import consensus, markup, mixing, packing, pieces, sitelines, stratified, truncation
 from quire.plans.runtime import read_table as _t
 
 
@@ -101,8 +101,20 @@ def p8_capacity(spark: SparkSession, d: str) -> DataFrame:
     return mixing.source_capacity(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_truncated(_t(spark, d, "documents"))
+
+
+def p9_judged(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judge(_t(spark, d, "documents"))
+
+
+def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_by_source(_t(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_plain_text, p1_templates, p2_found, p2_pieces, p3_found, p3_own_text, p4_found, p4_consensus, p4_reliability, p4_agreement, p5_found, p5_sample, p5_report, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares, p8_capacity)
+    f.__name__: f for f in (p1_found, p1_plain_text, p1_templates, p2_found, p2_pieces, p3_found, p3_own_text, p4_found, p4_consensus, p4_reliability, p4_agreement, p5_found, p5_sample, p5_report, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares, p8_capacity, p9_found, p9_judged, p9_by_source)
 }
 
 SQL: dict[str, str] = {
