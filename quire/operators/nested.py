@@ -18,10 +18,10 @@ from quire.plans.runtime import cut
 
 #: Payload schema of each table; record_id, key, parent_key and position come before it.
 SCHEMAS = {
-    "book": "title string, source string, source_file string, is_collection boolean, n_nodes bigint, text string",
+    "book": "title string, source string, source_file string, is_collection boolean, n_nodes bigint, text string, meta_keys array<string>",
     "metadata": "name string, kind string, value string",
     "log": "step string, added_fields array<string>, entry string",
-    "node": "depth bigint, type string, href string, title string, inferred_type string, true_type string, is_narrative boolean, text string, extra string",
+    "node": "depth bigint, type string, href string, title string, inferred_type string, true_type string, is_narrative boolean, text string, extra string, single boolean, id_suffix string",
     "image": "url string",
 }
 _NODE_KEYS = {"type", "href", "title", "inferred-type", "true-type", "is_narrative", "text", "images", "content"}
@@ -77,9 +77,18 @@ def visit(body: str, source_file: str | None) -> Iterator[tuple[str, str, str |
                 yield "log", str(pos), "", pos, payload
         # a content that is an object is an array of one; entries that are no objects only count as positions
         content = root.get("content")
-        stack = [(str(pos), "", pos, 1, e) for pos, e in reversed(list(enumerate(_entries(content)))) if isinstance(e, dict)] if isinstance(content, (list, dict)) else []
+        stack: list[tuple] = []
+
+        def push(content, prefix: str, parent: str, depth: int, suffix: str) -> None:
+            if isinstance(content, (list, dict)):
+                single = isinstance(content, dict)
+                for k, e in reversed(list(enumerate(_entries(content)))):
+                    if isinstance(e, dict):
+                        stack.append((f"{prefix}{k}", parent, k, depth, e, single, suffix if single else f"{suffix}_{k + 1:02d}"))
+
+        push(content, "", "", 1, "")
         while stack:
-            path, parent, pos, depth, node = stack.pop()
+            path, parent, pos, depth, node, single, suffix = stack.pop()
             n_nodes += 1
             narrative = node.get("is_narrative")
             extra = {k: v for k, v in node.items() if k not in _NODE_KEYS}
@@ -87,19 +96,18 @@ def visit(body: str, source_file: str | None) -> Iterator[tuple[str, str, str |
                 "depth": depth, "type": _string(node.get("type")), "href": _string(node.get("href")), "title": _string(node.get("title")),
                 "inferred_type": _string(node.get("inferred-type")), "true_type": _string(node.get("true-type")),
                 "is_narrative": narrative if isinstance(narrative, bool) else None, "text": _string(node.get("text")),
-                "extra": _string(extra) if extra else None,
+                "extra": _string(extra) if extra else None, "single": single, "id_suffix": suffix,
             }
             for k, image in enumerate(_entries(node.get("images"))):
                 yield "image", f"{path}#{k}", path, k, {"url": _string(image)}
-            inner = node.get("content")
-            if isinstance(inner, (list, dict)):
-                stack.extend((f"{path}/{k}", path, k, depth + 1, e) for k, e in reversed(list(enumerate(_entries(inner)))) if isinstance(e, dict))
+            push(node.get("content"), f"{path}/", path, depth + 1, suffix)
     get = root.get if isinstance(root, dict) else lambda k: None
     log = get("processing_log")
     collection = log.get("is_collection") if isinstance(log, dict) else None
     yield "book", "", None, 0, {
         "title": _string(get("title")), "source": _string(get("source")), "source_file": source_file,
         "is_collection": collection if isinstance(collection, bool) else None, "n_nodes": n_nodes, "text": _string(get("text")),
+        "meta_keys": list(get("epub_metadata")) if isinstance(get("epub_metadata"), dict) else None,
     }
 
 
