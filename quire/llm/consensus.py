@@ -47,7 +47,7 @@ def annotator_votes(annotations: DataFrame) -> DataFrame:
 
 
 def _allowed(votes: DataFrame, label_set: DataFrame) -> tuple[DataFrame, list[str]]:
-    labels = sorted({r[0] for r in label_set.select(label_key(F.col("label"))).distinct().collect() if r[0]})
+    labels = sorted({r[0] for r in label_set.select(label_key(F.col("label"))).distinct().collect() if r[0]}) or ["-"]
     return votes.where(F.col("label").isin(labels)), labels
 
 
@@ -126,7 +126,7 @@ def _fit_small(packed: DataFrame, index: dict[str, int], k: int) -> DataFrame:
         sums = packed.mapInArrow(_sums(index, log_conf, log_prior, k), "labeller string, label int, sums array<double>")
         rows = sums.groupBy("labeller", "label").agg(_vector_sum(k, "sums").alias("sums")).collect()
         new_conf, new_prior = _log_params(rows, index, k)
-        done = log_conf is not None and np.abs(np.exp(new_conf) - np.exp(log_conf)).max() < TOLERANCE
+        done = log_conf is not None and np.abs(np.exp(new_conf) - np.exp(log_conf)).max(initial=0.0) < TOLERANCE
         log_conf, log_prior = new_conf, new_prior
         if done:
             break
