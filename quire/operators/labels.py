@@ -88,7 +88,8 @@ def json_answer(answer: Column, last_brace: bool = False) -> Column:
     or with last_brace from the last opening brace to the next closing one.
     """
     def valid(s: Column) -> Column:
-        return F.when(F.json_object_keys(s).isNotNull(), s)
+        # alone in an array, so that text after the object isn't overlooked
+        return F.when(F.json_object_keys(s).isNotNull() & (F.json_array_length(F.concat(F.lit("["), s, F.lit("]"))) == 1), s)
 
     fence = F.regexp_extract(answer, r"(?s)```(?:[jsonJSON]*)\s*(.*?)```", 1)
     span = F.regexp_extract(answer, r"(?s)(\{[^{}]*\})[^{]*$" if last_brace else r"(?s)(\{.*\})", 1)

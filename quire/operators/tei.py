@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import unicode_strip
 from quire.operators.shred import events, html_text, parse_attrs
 
 #: Inline tags and their TEI rendition, and headings.
@@ -347,7 +348,7 @@ def strip_fence(answer: Column) -> Column:
 def second_fence(answer: Column) -> Column:
     """The first fenced block's body without a leading 'xml'; the answer itself without fences."""
     body = F.split_part(answer, F.lit("```"), F.lit(2))
-    return F.trim(F.when(answer.contains("```"), F.regexp_replace(body, r"^xml\s*", "")).otherwise(answer))
+    return unicode_strip(F.when(answer.contains("```"), F.regexp_replace(body, r"^xml\s*", "")).otherwise(answer))
 
 
 def div_type(answer: Column) -> Column:

@@ -17,7 +17,7 @@ def read_book_files(spark: SparkSession, path: str, recursive: bool = False) ->
     """(path, source_file, body, valid) of the .json files of a directory, or of one file."""
     reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", str(recursive).lower())
     rows = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
-    return rows.select("path", file_name(F.col("path")).alias("source_file"), "body", F.expr("try_parse_json(body) IS NOT NULL").alias("valid"))
+    return rows.select("path", file_name(F.col("path")).alias("source_file"), "body", F.expr("coalesce(json_array_length(concat('[', body, ']')) = 1, false)").alias("valid"))
 
 
 def split_rejects(books: DataFrame) -> tuple[DataFrame, DataFrame]:
