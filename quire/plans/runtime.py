@@ -79,8 +79,23 @@ def join_checked(left: DataFrame, right_cut: DataFrame, keys: Sequence[str], how
     return left.join(F.broadcast(right_cut) if small else right_cut.hint("merge"), list(keys), how)
 
 
+#: Bytes of files worth a task of their own where a scan has too few tasks.
+SPREAD_BYTES = 512 << 10
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with less than half as many tasks as cores (one file of one row group, say) spread over the cores.
+
+    Only so small a scan is moved: at most half the cores' splits. A scan with enough splits is left as it is.
+    """
+    plan = df._jdf.queryExecution()
+    size = int(plan.optimizedPlan().stats().sizeInBytes())
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES))
+    return df.repartition(tasks) if tasks >= 2 * plan.toRdd().getNumPartitions() else df
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(folder, f"{name}.parquet")))
 
 
 def table_reader(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
