@@ -152,3 +152,22 @@ def classify_chunks(spark, d):
 @query("SELECT DISTINCT id FROM chunks WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM eval_results WHERE id IS NOT NULL)")
 def pending_chunks(spark, d):
     return classify.pending(_t(spark, d, "chunks").where("id IS NOT NULL"), _t(spark, d, "eval_results")).select("id").distinct()
+
+
+@query("WITH c AS (SELECT id, max(text) AS text FROM chunks GROUP BY id) SELECT annotation_id, a.id, gold_label AS old_gold_label, md5(coalesce(text, '')) AS text_md5 FROM annotations a LEFT JOIN c USING (id)")
+def annotation_view(spark, d):
+    """Annotation rows with the text of their chunk, empty where there is none."""
+    texts = _t(spark, d, "chunks").where("id IS NOT NULL").groupBy("id").agg(F.max("text").alias("text"))
+    rows = _t(spark, d, "annotations").withColumnRenamed("gold_label", "old_gold_label").join(texts, "id", "left")
+    return rows.select("annotation_id", "id", "old_gold_label", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+@query("SELECT source_file AS batch, max(strlen(text)) AS max_tokens, avg(strlen(text)) AS avg_tokens, sum(strlen(text))::BIGINT AS sum_tokens FROM chunks GROUP BY 1")
+def batch_token_stats(spark, d):
+    return classify.batch_token_stats(_t(spark, d, "chunks"), F.octet_length("text").cast("long"), F.col("source_file"))
+
+
+@query("SELECT id, strlen('" + classify.PROMPT + "' || text) > 8192 AS over_context FROM chunks WHERE text IS NOT NULL")
+def context_check(spark, d):
+    rows = _t(spark, d, "chunks").where("text IS NOT NULL").select("id", classify.build_prompt(F.col("text")).alias("prompt"))
+    return classify.context_check(rows, 8192, F.octet_length).select("id", "over_context")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.catalog.registry import query
-from quire.operators import chunking, metadata, nested, tree
+from quire.operators import chunking, metadata, nested, relabel, tei, tree
 from quire.plans.runtime import read_table as _t
 
 _NODES = """WITH RECURSIVE start AS (SELECT record_id, source_file, body, json_extract(body, '$.content') AS c FROM book_json WHERE body IS NOT NULL AND json_valid(body) AND json_type(body) = 'OBJECT'),
@@ -121,3 +121,43 @@ k AS (SELECT unnest(json_keys(m)) AS metadata_key FROM v WHERE json_type(m) = 'O
 SELECT metadata_key, count(*) AS n FROM k GROUP BY 1 UNION ALL SELECT '(none)', count(*) FROM v WHERE m IS NULL OR json_type(m) <> 'OBJECT'""")
 def metadata_key_frequency(spark, d):
     return metadata.key_frequency(_t(spark, d, "book_json"))
+
+
+@query(_NODES + "SELECT 'inferred-type' AS kind, json_extract_string(node, '$.inferred-type') AS value, count(*) AS n FROM nodes WHERE value IS NOT NULL GROUP BY ALL UNION ALL SELECT 'true-type', json_extract_string(node, '$.true-type') AS value, count(*) FROM nodes WHERE value IS NOT NULL GROUP BY ALL UNION ALL SELECT 'metadata', value, count(*) FROM (SELECT unnest(json_keys(body, '$.epub_metadata')) AS value FROM start) GROUP BY ALL UNION ALL SELECT 'added-field', value, count(*) FROM (SELECT unnest(json_extract_string(e, '$.added_fields[*]')) AS value FROM (SELECT unnest(json_extract(body, '$.processing_log.component_log[*]')) AS e FROM start)) GROUP BY ALL")
+def record_inventory(spark, d):
+    """Distinct types, metadata keys and logged fields, with their counts."""
+    t = nested.shred(_t(spark, d, "book_json"))
+    parts = [t["node"].select(F.lit("inferred-type").alias("kind"), F.col("inferred_type").alias("value")), t["node"].select(F.lit("true-type").alias("kind"), F.col("true_type").alias("value")), t["book"].select(F.lit("metadata").alias("kind"), F.explode("meta_keys").alias("value")), t["log"].select(F.lit("added-field").alias("kind"), F.explode("added_fields").alias("value"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("value IS NOT NULL").groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+@query(_NODES + "SELECT s.record_id, coalesce(json_extract(s.body, '$.processing_log.is_collection')::VARCHAR = 'true', false) AS logged, coalesce(sec, false) AS by_section FROM start s LEFT JOIN (SELECT record_id, bool_or(json_extract_string(node, '$.type') = 'Section') AS sec FROM nodes WHERE depth = 1 GROUP BY 1) USING (record_id)")
+def collection_detection(spark, d):
+    """Collections by the log's flag and by a section among the top-level entries."""
+    t = nested.shred(_t(spark, d, "book_json"))
+    sections = t["node"].where("depth = 1").groupBy("record_id").agg(F.bool_or(F.coalesce(F.col("type") == "Section", F.lit(False))).alias("s"))
+    return t["book"].select("record_id", F.coalesce("is_collection", F.lit(False)).alias("logged")).join(sections, "record_id", "left").select("record_id", "logged", F.coalesce("s", F.lit(False)).alias("by_section"))
+
+
+@query()
+def volume_pages(spark, d):
+    return tei.book_volumes(_t(spark, d, "book_json"))
+
+
+@query()
+def label_books(spark, d):
+    """Gold labels written back into the records."""
+    gold = _t(spark, d, "eval_results").select("id", F.col("gold_label").alias("label"))
+    return relabel.label_books(_t(spark, d, "book_json"), gold)
+
+
+@query(_NODES + r""", ids AS (SELECT DISTINCT id FROM eval_results),
+p AS (SELECT id, CASE WHEN regexp_matches(id, '^(.+)_(\d+)_(\d+)$') THEN regexp_extract(id, '^(.+)_(\d+)_(\d+)$', 1) END AS f, try_cast(nullif(regexp_extract(id, '^(.+)_(\d+)_(\d+)$', 2), '') AS BIGINT) AS b, nullif(regexp_extract(id, '^(.+)_(\d+)_(\d+)$', 3), '') AS c FROM ids),
+newest AS (SELECT source_file, max(record_id) AS record_id FROM book_json WHERE body IS NOT NULL AND json_valid(body) GROUP BY 1)
+SELECT id, json_extract_string(node, '$.inferred-type') AS inferred_type, CASE WHEN f IS NULL THEN 'bad id' WHEN newest.record_id IS NULL THEN 'no file' WHEN nodes.record_id IS NULL THEN 'no position' END AS problem
+FROM p LEFT JOIN newest ON source_file = f LEFT JOIN nodes ON nodes.record_id = newest.record_id AND node_path = CASE WHEN b = 0 THEN c::BIGINT::VARCHAR ELSE (b - 1) || '/' || c::BIGINT END""".replace("\\\\d", "\\d"))
+def inferred_type_lookup(spark, d):
+    return relabel.lookup_types(_t(spark, d, "eval_results"), _t(spark, d, "book_json"))

@@ -180,3 +180,15 @@ def html_books(spark, d):
 @query()
 def tei_coverage(spark, d):
     return tei.coverage(_t(spark, d, "chunks"), "id", "text")
+
+
+_SNIPPETS = r"""WITH clean AS (SELECT DISTINCT id, regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?is)(<(?:script|style)\b[^>]*>).*?</(?:script|style)\s*>', '\1', 'g') AS t FROM chunks WHERE contains(text, '<')),
+tok AS (SELECT id, unnest(regexp_extract_all(t, '<([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>', 0)) AS token, generate_subscripts(regexp_extract_all(t, '<([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>', 0), 1) - 1 AS pos FROM clean),
+r AS (SELECT lower(regexp_extract(token, '<([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>', 1)) AS tag, id, pos, token FROM tok)
+SELECT tag, id, pos::BIGINT AS pos, token FROM r QUALIFY row_number() OVER (PARTITION BY tag ORDER BY id NULLS FIRST, pos) <= 100"""
+
+
+@query(_SNIPPETS)
+def tag_snippets(spark, d):
+    """The first hundred opening tags of each name, in order of ids and positions."""
+    return structure.snippets(_t(spark, d, "chunks"), 100)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.shred import COMMENTS, RAW_BODIES
+from quire.operators.shred import COMMENTS, OPEN_TAG, RAW_BODIES
 
 #: Tags that count as structure in the parent-child report, and headings.
 STRUCTURAL = ("div", "p", "head", "list", "item", "table", "row", "cell", "figure")
@@ -109,3 +109,14 @@ def css_properties(attrs: DataFrame) -> DataFrame:
 def tag_inventory(tags: DataFrame, attrs: DataFrame) -> DataFrame:
     """Per tag its attribute names, and per attribute the sorted distinct values."""
     return attrs.groupBy("tag", "name").agg(F.array_join(F.array_sort(F.collect_set("value")), "|").alias("value_list"), F.count("*").alias("n"))
+
+
+def snippets(chunks: DataFrame, k: int) -> DataFrame:
+    """(tag, id, pos, token): the first k opening tags of each name. Only k rows a tag and task are shuffled,
+    since the rank's limit is applied before the exchange; a repeated id with the same text counts once."""
+    clean = F.regexp_replace(F.regexp_replace("text", COMMENTS, ""), RAW_BODIES, "$1")
+    tokens = F.posexplode(F.regexp_extract_all(clean, F.lit(OPEN_TAG), F.lit(0))).alias("pos", "token")
+    rows = chunks.where(F.col("text").contains("<")).select("id", tokens)
+    rows = rows.select(F.lower(F.regexp_extract("token", OPEN_TAG, 1)).alias("tag"), "id", F.col("pos").cast("long").alias("pos"), "token").distinct()
+    w = Window.partitionBy("tag").orderBy("id", "pos")
+    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")

@@ -376,3 +376,57 @@ def front_first_strip_prefix(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"<(/?)ns\d+:", "<$1"), r" xmlns:ns\d+=\"[^\"]*\"", "")
 
 
+
+
+def prettify(text: str) -> str:
+    """The fragment re-indented, one tag or text a line."""
+    out: list[str] = []
+
+    def visit(node: Node, depth: int) -> None:
+        for c in node.content:
+            if isinstance(c, str):
+                if c.strip():
+                    out.append(" " * depth + escape(c.strip()))
+            else:
+                attrs = "".join(f" {k}={quoteattr(v)}" for k, v in c.attrs.items())
+                if c.content:
+                    out.append(f"{' ' * depth}<{c.tag}{attrs}>")
+                    visit(c, depth + 1)
+                    out.append(f"{' ' * depth}</{c.tag}>")
+                else:
+                    out.append(f"{' ' * depth}<{c.tag}{attrs}/>")
+
+    visit(parse(text), 0)
+    return "\n".join(out)
+
+
+def volumes(body: str) -> list[tuple[str, str]]:
+    """(file name, HTML) of a collection: 00_main_info for loose entries, NN_<title> for each section."""
+    import re
+
+    try:
+        book = json.loads(body)
+    except (ValueError, RecursionError):
+        return []
+    content = book.get("content") if isinstance(book, dict) else None
+    entries = [e for e in content if isinstance(e, dict)] if isinstance(content, list) else []
+    sections = [e for e in entries if e.get("type") == "Section"]
+    loose = [e for e in entries if e.get("type") != "Section"]
+    page = lambda title, nodes: book_to_html(json.dumps({"title": title, "content": nodes}))
+    out = [("00_main_info.html", page(book.get("title"), loose))] if loose else []
+    for k, s in enumerate(sections, 1):
+        safe = re.sub(r"[^\w \-]", "", str(s.get("title") or "")).rstrip()
+        out.append((f"{k:02d}_{safe}.html", page(s.get("title"), s.get("content"))))
+    return out
+
+
+def book_volumes(book_json: DataFrame) -> DataFrame:
+    """(record_id, name, html) of every volume."""
+    schema = pa.schema([("record_id", pa.int64()), ("name", pa.string()), ("html", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, n, h) for i, t in zip(b.column("record_id").to_pylist(), b.column("body").to_pylist()) if t for n, h in volumes(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), schema.types)], schema=schema)
+
+    return book_json.select(F.col("record_id").cast("long").alias("record_id"), "body").mapInArrow(run, "record_id bigint, name string, html string")

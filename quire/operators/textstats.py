@@ -74,10 +74,9 @@ def book_summary(stats: DataFrame) -> DataFrame:
 
 
 def largest(stats: DataFrame) -> DataFrame:
-    """The narrative chunk with the most markup tokens, the least id among equals; a map-side aggregate."""
-    top = F.max_by(F.struct("id", "tokens_markup", "tokens_plain", "ratio_markup"), F.struct("tokens_markup", F.reverse("id")))
-    pick = stats.where("unit_type = 'narrative'").agg(F.max("tokens_markup").alias("m")).first()["m"]
-    return stats.where((F.col("unit_type") == "narrative") & (F.col("tokens_markup") == pick)).groupBy("tokens_markup").agg(F.min("id").alias("id")) if pick is not None else stats.where("unit_type = 'narrative'").groupBy("tokens_markup").agg(top["id"].alias("id"))
+    """The narrative chunk with the most markup tokens, the least id among equals; one map-side aggregate."""
+    best = F.min_by(F.struct("tokens_markup", "id"), F.struct(-F.col("tokens_markup"), "id")).alias("b")
+    return stats.where("unit_type = 'narrative'").agg(best).where("b IS NOT NULL").select("b.tokens_markup", "b.id")
 
 
 _TEXT = pa.schema([("id", pa.string()), ("plain_text", pa.string())])

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A join side is broadcast only if its measured size stays under this many bytes.
@@ -100,3 +100,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def table_reader(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
     return lambda name: read_table(spark, folder, name)
+
+
+def numbered(df: DataFrame, key: str, name: str = "n") -> DataFrame:
+    """Rows numbered from 1 in order of a unique key, without ordering them all in one task.
+
+    The rows are ranged over tasks and written; a task's rows are numbered from the count of the rows before it.
+    """
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(tasks, key).withColumn("_p", F.spark_partition_id()), "ranged")
+    order = Window.partitionBy(F.lit(0)).orderBy("_p")  # as many rows as tasks
+    before = ranged.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(order) - F.col("_c")).select("_p", "_before")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(key))
+    return ranged.join(before, "_p").withColumn(name, F.col("_before") + place).drop("_p", "_before")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.plans.runtime import numbered
+
 BOOKS_META = T.StructType([T.StructField(c, T.StringType()) for c in ("ID", "Title", "Publisher", "Series", "Date")])
 
 
@@ -32,9 +34,8 @@ def require_object(books: DataFrame) -> DataFrame:
 
 
 def slice_sorted(files: DataFrame, start: int, end: int, key: str = "path") -> DataFrame:
-    """Files start to end - 1 in order of their paths, from 0; a listing is small against what it lists."""
-    w = Window.orderBy(key)
-    return files.withColumn("_i", F.row_number().over(w) - 1).where((F.col("_i") >= start) & (F.col("_i") < end)).drop("_i")
+    """Files start to end - 1 in order of their paths, from 0."""
+    return numbered(files, key, "_i").where((F.col("_i") > start) & (F.col("_i") <= end)).drop("_i")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -75,7 +76,7 @@ def collected_ids(names: DataFrame, column: str = "name") -> DataFrame:
 
 def epub_plan(names: DataFrame, column: str = "name") -> DataFrame:
     """(src, dst): six-digit numbers in order of names, blanks as underscores; a plan, nothing is renamed."""
-    rows = names.select(F.col(column).alias("src")).distinct().withColumn("n", F.row_number().over(Window.orderBy("src")))
+    rows = numbered(names.select(F.col(column).alias("src")).distinct(), "src")
     return rows.select("src", F.concat(F.format_string("%06d_", F.col("n")), F.replace("src", F.lit(" "), F.lit("_"))).alias("dst"))
 
 
