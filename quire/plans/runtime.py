@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -44,6 +46,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Tables of this session are deleted when its program ends; results may read them until then."""
+    if not _WRITTEN:
+        atexit.register(_forget_all)
+    _WRITTEN.append((spark, path))
+
+
+def _forget_all() -> None:
+    for spark, path in _WRITTEN:
+        with contextlib.suppress(Exception):
+            _delete(spark, path)
+    _WRITTEN.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame, name: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write df into the shared folder and read it back: a lineage cut that survives lost executors."""
     path = new_path(df.sparkSession, name)
@@ -51,6 +75,7 @@ def cut(df: DataFrame, name: str = "table", partition_by: Sequence[str] = ()) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _forget_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quire_path = path
     return out
@@ -60,9 +85,7 @@ def drop_cut(df: DataFrame) -> None:
     """Delete a table written by cut() that nothing reads any more."""
     path = getattr(df, "_quire_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
 
 
 def cut_bytes(df: DataFrame) -> int:
