@@ -96,7 +96,7 @@ def heading_context(elements: DataFrame) -> DataFrame:
 def top_per_group(counts: DataFrame, group: str, item: str, k: int, count: str = "n") -> DataFrame:
     """The k largest counts of each group, ties by item."""
     w = Window.partitionBy(group).orderBy(F.desc(count), F.asc(item))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return counts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def css_properties(attrs: DataFrame) -> DataFrame:
