@@ -89,7 +89,7 @@ def source_capacity(docs: DataFrame, targets: DataFrame) -> DataFrame:
     total = int(by.agg(F.sum("tokens")).first()[0] or 0)
     joined = _targets(targets).join(by, "source", "left").fillna(0, ["tokens", "n_docs"])
     return joined.select(
-        F.col("target_source").alias("source"), "target_permille", "max_repeats", "n_docs", "tokens", F.lit(total).alias("total_tokens"),
+        F.col("target_source").alias("source"), "target_permille", "max_repeats", "n_docs", "tokens", F.lit(total).cast("long").alias("total_tokens"),
         F.floor(F.col("target_permille") * total / 1000).cast("long").alias("quota_tokens"),
         (F.col("tokens") * F.col("max_repeats") * 1000 >= F.col("target_permille") * F.lit(total)).alias("reachable"),
     )
