@@ -8,6 +8,8 @@ chosen, at random within each signature. The exchange works on counts, so it doe
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,52 +74,103 @@ def swap_repair(available: np.ndarray, members: np.ndarray, side: list[np.ndarra
         off = np.abs(have @ members - targets).sum()
         return off + SIDE_WEIGHT * sum(np.abs(np.bincount(c, weights=have, minlength=len(g)) - g).sum() for c, g in zip(side, goals))
 
-    for _ in range(50_000):
+    best_exchange = _exchanges(members, side)
+    while True:  # each step drops a record too many or lowers the deviation, so this ends
         x = have @ members
         levels = [np.bincount(c, weights=have, minlength=len(g)) for c, g in zip(side, goals)]
-        gain = members @ step(x, targets, 1) + SIDE_WEIGHT * sum((step(v, g, 1)[c] for c, v, g in zip(side, levels, goals)), np.zeros(n))
-        loss = members @ step(x, targets, -1) + SIDE_WEIGHT * sum((step(v, g, -1)[c] for c, v, g in zip(side, levels, goals)), np.zeros(n))
-        total = int(have.sum())
-        floor_ok = ~((members > 0) & (x - 1 < floors)).any(axis=1)
-        can_add, can_drop = have < available, (have > 0) & floor_ok
-        if total > k:
-            add = None
-        else:
-            add = int(np.argmin(np.where(can_add, gain, np.inf))) if can_add.any() else None
-        drop = int(np.argmin(np.where(can_drop, loss, np.inf))) if can_drop.any() and total >= k else None
-        if drop is not None and add is not None:
-            # the two steps interact where they share classes: measure the exchange itself
-            adds = np.argsort(np.where(can_add, gain, np.inf), kind="stable")[:64]
-            drops = np.argsort(np.where(can_drop, loss, np.inf), kind="stable")[:64]
-            adds, drops = adds[can_add[adds]], drops[can_drop[drops]]
-            delta = np.abs(x + members[adds][:, None, :] - members[drops][None, :, :] - targets).sum(axis=2) - np.abs(x - targets).sum()
-            for c, v, g in zip(side, levels, goals):
-                moved = step(v, g, 1)[c[adds]][:, None] + step(v, g, -1)[c[drops]][None, :]
-                delta = delta + SIDE_WEIGHT * np.where(c[adds][:, None] == c[drops][None, :], 0.0, moved)
-            delta[adds[:, None] == drops[None, :]] = np.inf
-            i, j = np.unravel_index(np.argmin(delta), delta.shape)
-            if delta[i, j] >= -1e-9:
-                break
-            a, d = adds[i], drops[j]
-            before = deviation()
-            room = min(available[a] - have[a], have[d])
-            over = np.where((members[d] > members[a]), x - targets, np.inf).min()
-            under = np.where((members[a] > members[d]), targets - x, np.inf).min()
-            m = int(max(1, min(room, over if np.isfinite(over) else room, under if np.isfinite(under) else room))) if (members[a] != members[d]).any() else 1
-            slack = np.where(members[d] > members[a], x - floors, np.inf).min()
-            m = int(max(1, min(m, slack if np.isfinite(slack) else m)))
-            have[a] += m
-            have[d] -= m
-            if m > 1 and deviation() >= before:  # many at once overshot a publisher or series: one is sure to help
-                have[a] -= m - 1
-                have[d] += m - 1
-        elif drop is not None and total > k:
-            have[drop] -= 1
-        else:
+        ups, downs = ([SIDE_WEIGHT * step(v, g, up) for v, g in zip(levels, goals)] for up in (1, -1))
+        if int(have.sum()) > k:
+            can_drop = (have > 0) & ~((members > 0) & (x - 1 < floors)).any(axis=1)
+            if can_drop.any():
+                loss = members @ step(x, targets, -1) + sum((u[c] for c, u in zip(side, downs)), np.zeros(n))
+                have[int(np.argmin(np.where(can_drop, loss, np.inf)))] -= 1
+                continue
+        delta, a, d = best_exchange(have < available, have > 0, step(x, targets, 1), step(x, targets, -1), x - 1 < floors, ups, downs)
+        if delta >= -1e-9:
             break
+        before = deviation()
+        room = min(available[a] - have[a], have[d])
+        if (members[a] != members[d]).any():
+            over = np.where(members[d] > members[a], x - targets, np.inf).min()
+            under = np.where(members[a] > members[d], targets - x, np.inf).min()
+            slack = np.where(members[d] > members[a], x - floors, np.inf).min()
+            m = int(max(1, min(room, over, under, slack)))
+        else:  # as many as every publisher and series concerned still needs or can spare
+            spare = [min(g[c[a]] - v[c[a]] if v[c[a]] < g[c[a]] else np.inf, v[c[d]] - g[c[d]] if v[c[d]] > g[c[d]] else np.inf) for c, v, g in zip(side, levels, goals) if c[a] != c[d]]
+            m = int(max(1, min([room, *spare])))
+        have[a] += m
+        have[d] -= m
+        if m > 1 and deviation() >= before:  # many at once overshot a publisher or series: one is sure to help
+            have[a] -= m - 1
+            have[d] += m - 1
     return have
 
 
+def _exchanges(members: np.ndarray, side: list[np.ndarray]):
+    """The search for the best exchange (change, signature that gains one, signature that loses one) over all pairs.
+
+    A class both signatures share doesn't change, and leaving it out of the sum never overrates an exchange. So
+    for each set of shared classes the best gain and loss per shared classes and membership pattern are enough:
+    every pair is covered, and no matrix of pairs is made.
+    """
+    patterns, pattern = np.unique(members, axis=0, return_inverse=True)
+    pattern, p = pattern.reshape(-1), len(patterns)
+    inside, outside = patterns.astype(float), 1.0 - patterns
+    forms = []
+    for chosen in itertools.product((False, True), repeat=len(side)):
+        key = np.zeros(len(members), dtype=np.int64)
+        for c, shared in zip(side, chosen):
+            if shared:
+                key = np.unique(key * (int(c.max()) + 1) + c, return_inverse=True)[1].reshape(-1)
+        group = key * p + pattern
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        of_key, of_pattern = key[order[starts]], pattern[order[starts]]
+        by_pattern = np.argsort(of_pattern, kind="stable")
+        own = np.split(by_pattern, np.cumsum(np.bincount(of_pattern, minlength=p))[:-1])
+        forms.append((chosen, order, starts, of_key, of_pattern, own, np.full(int(key.max()) + 1, np.inf)))
+
+    def search(can_add, can_drop, up, down, at_floor, ups, downs) -> tuple[float, int, int]:
+        best, found = np.inf, None
+        costs = []
+        for chosen, order, starts, _, of_pattern, *_ in forms:
+            plus, minus = np.where(can_add, 0.0, np.inf), np.where(can_drop, 0.0, np.inf)
+            for c, u, w, shared in zip(side, ups, downs, chosen):
+                if not shared:
+                    plus, minus = plus + u[c], minus + w[c]
+            gain, loss = np.minimum.reduceat(plus[order], starts), np.minimum.reduceat(minus[order], starts)
+            least = np.full((2, p), np.inf)
+            np.minimum.at(least[0], of_pattern, gain)
+            np.minimum.at(least[1], of_pattern, loss)
+            costs.append((plus, minus, gain, loss, least))
+        for low in range(0, p, 1024):
+            drops = slice(low, low + 1024)
+            strata_change = (inside * up) @ outside[drops].T + outside @ (inside[drops] * down).T
+            strata_change[outside @ (inside[drops] * at_floor).T > 0] = np.inf  # would break a floor
+            for f, (_, _, _, of_key, of_pattern, own, lost) in enumerate(forms):
+                gain, loss, least = costs[f][2:]
+                bound = (least[0][:, None] + strata_change).min(axis=0) + least[1][drops]
+                for q in np.argsort(bound, kind="stable"):
+                    if bound[q] >= min(best, 0.0) - 1e-12:
+                        break
+                    mine = own[low + q]
+                    lost[of_key[mine]] = loss[mine]
+                    total = gain + lost[of_key] + strata_change[of_pattern, q]
+                    lost[of_key[mine]] = np.inf
+                    i = int(np.argmin(total))
+                    if total[i] < best:
+                        best, found = float(total[i]), (f, i, mine[of_key[mine] == of_key[i]][0])
+        if found is None:
+            return np.inf, -1, -1
+        f, i, j = found
+        _, order, starts, *_ = forms[f]
+        ends = np.append(starts[1:], len(order))
+        adds, drops = order[starts[i] : ends[i]], order[starts[j] : ends[j]]
+        return best, int(adds[np.argmin(costs[f][0][adds])]), int(drops[np.argmin(costs[f][1][drops])])
+
+    return search
+
+
 def _signatures(books: DataFrame, targets: DataFrame) -> DataFrame:
     """(id, member strata joined, publisher, series): publisher and series of an id's last loaded row."""
     mine = strata(books, targets).groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("stratum")), "\x1e").alias("strata"))

@@ -40,6 +40,40 @@ def test_swaps_reach_the_targets():
     assert np.abs(have @ members - targets).sum() <= 2
 
 
+def improving(have, available, members, side, floors, targets, k):
+    """The best change of the deviation by one exchange, every pair of signatures tried."""
+    goals = [np.bincount(c, weights=available, minlength=c.max() + 1) * k / available.sum() for c in side]
+    floors = np.minimum(floors, available @ members)
+
+    def deviation(h):
+        return np.abs(h @ members - targets).sum() + S.SIDE_WEIGHT * sum(np.abs(np.bincount(c, weights=h, minlength=len(g)) - g).sum() for c, g in zip(side, goals))
+
+    best = 0.0
+    for a in np.flatnonzero(have < available):
+        for d in np.flatnonzero(have > 0):
+            one = have.copy()
+            one[a] += 1
+            one[d] -= 1
+            if (one @ members >= floors).all():
+                best = min(best, deviation(one) - deviation(have))
+    return best
+
+
+def test_swaps_end_only_when_none_helps():
+    rng = np.random.default_rng(3)
+    # 150 signatures without a stratum cost least by themselves; those of a stratum help only within it
+    for floor in (5, 60):
+        kind = np.r_[np.full(150, 3), rng.integers(0, 3, 150)]
+        members = np.vstack([np.eye(3, dtype=np.int64), np.zeros((1, 3), dtype=np.int64)])[kind]
+        members[-9:, 0] = 1  # some in several strata
+        available = rng.integers(1, 6, 300)
+        side = [rng.integers(0, 12, 300), rng.integers(0, 25, 300)]
+        floors, targets = np.array([floor] * 3), np.array([30.0, 20.0, 10.0])
+        have = S.swap_repair(available, members, side, floors, targets, 100, 1)
+        assert (have @ members >= np.minimum(floors, available @ members)).all() and have.sum() >= 100
+        assert improving(have, available, members, side, floors, targets, 100) > -1e-9
+
+
 def test_one_id_in_several_strata(spark):
     df = books(spark, [("x", "P", "?", "A", "N/A"), ("x", "P", "?", "B", "N/A"), ("x", "P", "?", "B", "N/A")] + [(f"k{i}", "P", "?", "A", "N/A") for i in range(19)])
     targets = spark.createDataFrame([("A", "N/A", 50, 1), ("B", "N/A", 50, 1)], TARGETS)
