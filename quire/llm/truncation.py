@@ -1,7 +1,7 @@
 """Texts cut off by field limits or in transfer, and how often each source truncates.
 
 The site's repeated lines are left aside first. Near-copies are found by min-hash banding over
-shingles of five words (similarity 0.8) and verified; where one copy's alignment with a longer copy
+shingles of five words (similarity 0.8) and verified; where one copy's alignment with another copy
 ends early and inside a sentence or word, it is truncated. Other texts are scored by how terminal
 their closing word is: word counts over all texts say how often a word closes a sentence, line or
 entry, and whether a line without a final mark reads like whole entries or like prose. All counts
@@ -37,6 +37,8 @@ OFTEN_CLOSING = 0.3
 MAX_WORDS = 300_000
 #: Texts profiled at once.
 SLICE = 2000
+#: A bucket of more texts is split into parts of about so many, which an open text meets one after the other.
+BUCKET_TEXTS = 1000
 
 #: Marks around words and after sentences.
 _AROUND = "\"'»«”“„’‘‚)(][›‹.!?…,;:*_~`#|=<>&{}$/\\–—-·•©"
@@ -117,9 +119,15 @@ def band_matrix(hashes: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
 
 _PROFILE = pa.schema([
     ("word", pa.string()), ("n_all", pa.int64()), ("n_end", pa.int64()), ("n_entry", pa.int64()), ("n_prose", pa.int64()), ("n_start", pa.int64()),
-    ("item_id", pa.int64()), ("grp", pa.string()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64())), ("tail", pa.list_(pa.string())), ("tail_hashes", pa.list_(pa.int64())),
+    ("item_id", pa.int64()), ("grp", pa.string()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64())), ("tail", pa.list_(pa.string())), ("tail_hashes", pa.list_(pa.int64())), ("digest", pa.int64()),
 ])
-_PROFILE_DDL = "word string, n_all bigint, n_end bigint, n_entry bigint, n_prose bigint, n_start bigint, item_id bigint, grp string, n_words bigint, bands array<bigint>, tail array<string>, tail_hashes array<bigint>"
+_PROFILE_DDL = "word string, n_all bigint, n_end bigint, n_entry bigint, n_prose bigint, n_start bigint, item_id bigint, grp string, n_words bigint, bands array<bigint>, tail array<string>, tail_hashes array<bigint>, digest bigint"
+
+
+def digest_of(lines: list[str]) -> int:
+    """Hash of a text's lines that aren't blank: equal for exact copies, as a signed number."""
+    h = xxhash.xxh64_intdigest("\n".join(lines))
+    return h - (1 << 64) if h >> 63 else h
 
 
 class Counts:
@@ -143,8 +151,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = Counts()
 
     def emit(docs: list[tuple], words: list[tuple]) -> pa.RecordBatch:
-        rows = [(None,) * 6 + d for d in docs] + [w + (None,) * 6 for w in words]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 12, _PROFILE.types)], schema=_PROFILE)
+        rows = [(None,) * 6 + d for d in docs] + [w + (None,) * 7 for w in words]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 13, _PROFILE.types)], schema=_PROFILE)
 
     for b in (x.slice(k, SLICE) for x in batches for k in range(0, x.num_rows, SLICE)):
         docs, sets, flat, sizes, last = [], {}, [], [], []
@@ -167,7 +175,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last[-1] = True
             tail = lines[-TAIL_LINES:]
             masked = [mask_line(x) for x in tail]
-            docs.append([item, grp, len(flat) - before, None, tail, [template_hash(m) if enough_letters(m) else 0 for m in masked]])
+            docs.append([item, grp, len(flat) - before, None, tail, [template_hash(m) if enough_letters(m) else 0 for m in masked], digest_of(lines)])
         if docs:
             t = counts.tokens
             ids = np.fromiter(map(t.__getitem__, flat), dtype=np.int64, count=len(flat))
@@ -264,67 +272,108 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 5, _TAILS.types)], schema=_TAILS)
 
 
-_ALIGNED = pa.schema([("item_id", pa.int64()), ("early", pa.bool_())])
+_ALIGNED = pa.schema([("digest", pa.int64()), ("other", pa.int64()), ("early", pa.bool_())])
 
 
 def aligned_early(short: str, long: str) -> bool | None:
     """None if the texts aren't near-copies; else whether the short one's end is followed, in the long one, by the
-    rest of the word or of the sentence."""
-    a, b = words_of(short), words_of(long)
+    rest of the word or of the sentence. Lines the long one doesn't have may stand behind the short one's end."""
+    placed = [(w, k) for k, line in enumerate(short.split("\n")) for w in words_of(line)]
+    a, b = [w for w, _ in placed], words_of(long)
     x, y = shingle_hashes(a), shingle_hashes(b)
     common = len(np.intersect1d(x, y, assume_unique=True))
     if not common or common < SIMILARITY * (len(x) + len(y) - common):
         return None
-    tail, final = a[-SHINGLE - 1 : -1], a[-1]
-    if len(tail) < SHINGLE:
-        return False
     lines = [(w, k) for k, line in enumerate(long.split("\n")) for w in line.split()]
     tokens = [(w.strip(_AROUND), w, k) for w, k in lines if w.strip(_AROUND)]
-    for i in range(len(tokens) - SHINGLE - 1, -1, -1):
-        if [t[0] for t in tokens[i : i + SHINGLE]] == tail:
-            word, raw, line = tokens[i + SHINGLE]
-            if word != final:
-                return word.startswith(final)
-            if raw.rstrip(_CLOSING)[-1:] in (".", "!", "?", "…"):
-                return not _MARKED.search(short)  # only the mark is missing
-            return i + SHINGLE + 1 < len(tokens) and tokens[i + SHINGLE + 1][2] == line
+    last = {tuple(b[i : i + SHINGLE]): i for i in range(len(b) - SHINGLE)}
+    for j in range(len(a) - 1, SHINGLE - 1, -1):
+        added = j + 1 < len(a)
+        if added and placed[j][1] == placed[j + 1][1]:
+            continue
+        i = last.get(tuple(a[j - SHINGLE : j]))
+        if i is None:
+            continue
+        final, (word, raw, line) = a[j], tokens[i + SHINGLE]
+        if word != final:
+            return word.startswith(final) and not (added and word == final + a[j + 1])
+        if raw.rstrip(_CLOSING)[-1:] in (".", "!", "?", "…"):
+            return not added and not _MARKED.search(short)  # only the mark is missing
+        more = tokens[i + SHINGLE + 1 : i + SHINGLE + 2]
+        return bool(more) and more[0][2] == line and not (added and more[0][0] == a[j + 1])
     return False
 
 
+_ALIGN = "digest bigint, other bigint, early boolean"
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for item, short, long in zip(*(b.column(k).to_pylist() for k in ("item_id", "short", "long"))):
+        for digest, other, short, long in zip(*(b.column(k).to_pylist() for k in ("digest", "other", "short", "long"))):
             early = aligned_early(short, long)
             if early is not None:
-                rows.append((item, early))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], []), _ALIGNED.types)], schema=_ALIGNED)
+                rows.append((digest, other, early))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), _ALIGNED.types)], schema=_ALIGNED)
 
 
-_OWN = pa.schema([("item_id", pa.int64()), ("own", pa.string())])
+_OWN = pa.schema([("digest", pa.int64()), ("own", pa.string()), ("n_shingles", pa.int64())])
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(item, "\n".join(split_lines(text, frozenset(known or ()))[0]).rstrip()) for item, text, known in zip(*(b.column(k).to_pylist() for k in ("item_id", "text", "known")))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], []), _OWN.types)], schema=_OWN)
+        rows = []
+        for text, known in zip(*(b.column(k).to_pylist() for k in ("text", "known"))):
+            lines = split_lines(text, frozenset(known or ()))[0]
+            own = "\n".join(lines).rstrip()
+            rows.append((digest_of([x for x in lines if x and not x.isspace()]), own, len(shingle_hashes(words_of(own)))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), _OWN.types)], schema=_OWN)
 
 
 def _copies(base: DataFrame, docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """(item_id, early) of open texts that are verified near-copies of a longer text.
+    """(item_id, early) of open texts that are verified near-copies of another text.
 
-    In each band bucket an open text meets the bucket's longest text, found by a map-side maximum, so no
-    bucket is gathered and no pairs within one are emitted.
+    Exact copies count as one text. In each band bucket an open text first meets the bucket's longest text,
+    found by a map-side maximum. Texts that no alignment has ended early yet then meet all other texts of
+    their buckets: large buckets are split into parts by hash, and each round takes twice the parts of the last.
     """
-    keyed = docs.select("item_id", "n_words", F.posexplode("bands").alias("band", "key"))
-    longest = keyed.groupBy("band", "key").agg(F.max(F.struct("n_words", "item_id")).alias("top"), F.count("*").alias("c")).where("c > 1").drop("c")
-    mine = keyed.join(open_.select("item_id"), "item_id", "left_semi")
-    met = mine.join(longest, ["band", "key"]).where("top.n_words > n_words AND top.item_id <> item_id")
-    pairs = cut(met.select("item_id", F.col("top.item_id").alias("other")).distinct(), "pairs")
-    wanted = pairs.select("item_id").union(pairs.select("other")).distinct()
-    texts = cut(base.join(wanted, "item_id", "left_semi").select("item_id", "text", "known").mapInArrow(_own_text, "item_id bigint, own string"), "texts")
-    both = pairs.join(texts.withColumnRenamed("own", "short"), "item_id").join(texts.select(F.col("item_id").alias("other"), F.col("own").alias("long")), "other")
-    return both.select("item_id", "short", "long").mapInArrow(_align, "item_id bigint, early boolean").groupBy("item_id").agg(F.bool_or("early").alias("early"))
+    mine = docs.join(open_.select("item_id").distinct(), "item_id", "left_semi").select("item_id", "digest", "bands")
+    keyed = docs.select("digest", "n_words", F.posexplode("bands").alias("band", "key"))
+    longest = keyed.groupBy("band", "key").agg(F.max(F.struct("n_words", "digest")).alias("top"), F.count("*").alias("c")).where("c > 1")
+    asking = mine.select("digest", F.posexplode("bands").alias("band", "key")).distinct()
+    asking = cut(asking.join(longest.select("band", "key", F.col("top.digest").alias("other")), ["band", "key"]), "asking")
+    live = cut(asking.select("band", "key").distinct(), "live")
+    held = cut(join_checked(keyed.select("band", "key", "digest"), live, ["band", "key"], "left_semi").distinct(), "held")
+    parts = held.groupBy("band", "key").agg(F.ceil(F.count("*") / BUCKET_TEXTS).alias("parts"), F.count("*").alias("c")).where("c > 1").drop("c")
+    parts = cut(parts, "parts")
+    # the texts of these buckets, each once
+    wanted = docs.join(held.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("item_id").alias("item_id")).select("item_id").distinct()
+    texts = base.join(wanted, "item_id", "left_semi").select("text", "known").mapInArrow(_own_text, "digest bigint, own string, n_shingles bigint")
+    texts = cut(texts.dropDuplicates(["digest"]), "texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Pairs at the similarity, aligned. Texts whose numbers of shingles differ too much can't be at it and don't travel."""
+        size = texts.select("digest", F.col("n_shingles").alias("n"))
+        near = pairs.join(size, "digest").join(size.toDF("other", "m"), "other").where(F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")).select("digest", "other")
+        both = near.join(texts.select("digest", F.col("own").alias("short")), "digest").join(texts.select(F.col("digest").alias("other"), F.col("own").alias("long")), "other")
+        return cut(both.select("digest", "other", "short", "long").mapInArrow(_align, _ALIGN), "aligned")
+
+    tried = cut(asking.where("digest <> other").select("digest", "other").distinct(), "pairs")
+    found = verify(tried)
+    part = F.pmod(F.xxhash64("digest"), F.col("parts"))
+    members = join_checked(held, parts, ["band", "key"], "inner").select("band", "key", part.alias("part"), F.col("digest").alias("other"))
+    low, high = 0, 1
+    most = int(parts.agg(F.max("parts")).first()[0] or 0)
+    while low < most:
+        rest = join_checked(asking.select("band", "key", "digest"), parts, ["band", "key"], "inner").where(F.col("parts") > low)
+        rest = rest.join(found.where("early").select("digest").distinct(), "digest", "left_anti")
+        rest = rest.select("band", "key", "digest", F.explode(F.sequence(F.lit(low).cast("bigint"), F.least(F.lit(high).cast("bigint"), "parts") - 1)).alias("part"))
+        pairs = rest.join(members, ["band", "key", "part"]).where("digest <> other").select("digest", "other").distinct()
+        pairs = cut(pairs.join(tried, ["digest", "other"], "left_anti"), "pairs")
+        tried, found = tried.union(pairs), found.union(verify(pairs))
+        low, high = high, 2 * high + 1
+    early = found.groupBy("digest").agg(F.bool_or("early").alias("early"))
+    return mine.join(early, "digest").groupBy("item_id").agg(F.bool_or("early").alias("early"))
 
 
 def judge(docs: DataFrame, explain: bool = False) -> DataFrame:
@@ -352,7 +401,7 @@ def judge(docs: DataFrame, explain: bool = False) -> DataFrame:
     lasts = tails.where("kind = 'bare' AND NOT after_sentence").groupBy(F.col("words")[0].alias("word")).agg(F.count("*").alias("n_last"))
     lasts = cut(lasts, "lasts")
     n_last = float(lasts.agg(F.sum("n_last")).first()[0] or 0) + 1
-    copies = _copies(base, rows.select("item_id", "n_words", "bands"), open_)
+    copies = _copies(base, rows.select("item_id", "n_words", "bands", "digest"), open_)
     # the closing word and the other words of the last unit, each with its counts
     one = open_.select("item_id", F.posexplode("words").alias("pos", "word"), F.size("words").alias("n"))
     stat = one.join(words, "word", "left").join(lasts, "word", "left").fillna(0, ["n_all", "n_end", "n_entry", "n_prose", "n_start", "n_last"])

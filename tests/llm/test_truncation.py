@@ -58,6 +58,37 @@ def test_alignment(spark):
     assert got[1]["near_copy"] and got[1]["aligned_early"] and got[1]["truncated"] and not got[2]["truncated"]
 
 
+def test_alignment_needs_no_more_words():
+    rng = random.Random(21)
+    whole = text(rng, 40)
+    cut = whole[: whole.rindex(" hinter") + 4]
+    assert T.aligned_early(whole[:-4], whole) is True  # as many words as the whole text
+    assert T.aligned_early(cut + "\nWeiter auf unserer neuen Seite im Netz", whole) is True
+    assert T.aligned_early(whole + "\nWeiter auf unserer neuen Seite im Netz", whole) is False
+    head, rest = cut.rsplit(" ", 6)[0], " ".join(cut.rsplit(" ", 6)[1:])
+    assert T.aligned_early(head + "\n" + rest + "x ganz anders", whole) is False  # only broken into lines
+
+
+def test_every_text_of_a_bucket_is_met(spark, monkeypatch):
+    rng = random.Random(33)
+    whole = text(rng, 40)
+    cut = whole[: int(len(whole) * 0.93)]
+    while not (cut[-1].isalpha() and whole[len(cut)].isalpha()):
+        cut = cut[:-1]
+    inner = text(rng, 40)[:-4]
+    # each bucket's longest text is a copy with a long appendix, too unlike the cut one
+    rows = [(1, cut, "a"), (2, whole, "b"), (3, cut, "c")] + [(100 + i, whole + "\n" + text(rng, 16), f"s{i}") for i in range(60)]
+    rows += [(4, inner, "a"), (5, inner + "rsa.", "b")] + [(10 + i, text(rng), "a") for i in range(30)]
+    df = spark.createDataFrame(rows, DDL)
+    assert all(T.aligned_early(cut, t) is None for i, t, _ in rows if i >= 100)
+    for most in (1000, 7):
+        monkeypatch.setattr(T, "BUCKET_TEXTS", most)
+        got = {r["item_id"]: r for r in T.judge(df).collect()}
+        for i in (1, 3, 4):
+            assert got[i]["near_copy"] and got[i]["aligned_early"] and got[i]["truncated"], i
+        assert not got[2]["truncated"]
+
+
 def test_bands_find_near_copies():
     rng = random.Random(2)
     hit = 0
