@@ -27,7 +27,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 16 bands of 4: a pair at the similarity meets in some band with a chance of 0.9998.
 BANDS, BAND_ROWS = 16, 4
 BINS = BANDS * BAND_ROWS
-#: Own lines at the end that are looked at for the closing word; marks without words don't count.
+#: Own lines with words at the end that are looked at first for the closing word; all lines are, if these are other sites' lines.
 TAIL_LINES = 6
 #: A word that closes a unit in less than this share of its uses is no closing word.
 NOT_CLOSING = 0.004
@@ -119,9 +119,9 @@ def band_matrix(hashes: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
 
 _PROFILE = pa.schema([
     ("word", pa.string()), ("n_all", pa.int64()), ("n_end", pa.int64()), ("n_entry", pa.int64()), ("n_prose", pa.int64()), ("n_start", pa.int64()),
-    ("item_id", pa.int64()), ("grp", pa.string()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64())), ("tail", pa.list_(pa.string())), ("tail_hashes", pa.list_(pa.int64())), ("digest", pa.int64()),
+    ("item_id", pa.int64()), ("grp", pa.string()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64())), ("tail", pa.list_(pa.string())), ("tail_hashes", pa.list_(pa.int64())), ("digest", pa.int64()), ("more", pa.bool_()),
 ])
-_PROFILE_DDL = "word string, n_all bigint, n_end bigint, n_entry bigint, n_prose bigint, n_start bigint, item_id bigint, grp string, n_words bigint, bands array<bigint>, tail array<string>, tail_hashes array<bigint>, digest bigint"
+_PROFILE_DDL = "word string, n_all bigint, n_end bigint, n_entry bigint, n_prose bigint, n_start bigint, item_id bigint, grp string, n_words bigint, bands array<bigint>, tail array<string>, tail_hashes array<bigint>, digest bigint, more boolean"
 
 
 def digest_of(lines: list[str]) -> int:
@@ -130,6 +130,21 @@ def digest_of(lines: list[str]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def closing_lines(lines: list[str]) -> list[str]:
+    """The lines from the TAIL_LINES-th last one with words on."""
+    seen = 0
+    for k in range(len(lines) - 1, -1, -1):
+        seen += bool(words_of(_TAGS.sub(" ", lines[k])))
+        if seen == TAIL_LINES:
+            return lines[k:]
+    return lines
+
+
+def line_hashes(lines: list[str]) -> list[int]:
+    """Each line's template hash, 0 if it has too few letters to be a site's line."""
+    return [template_hash(m) if enough_letters(m) else 0 for m in map(mask_line, lines)]
+
+
 class Counts:
     """Word counts of a task: all uses, unit-closing uses, uses in unmarked and marked lines, marked line starts."""
 
@@ -151,8 +166,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = Counts()
 
     def emit(docs: list[tuple], words: list[tuple]) -> pa.RecordBatch:
-        rows = [(None,) * 6 + d for d in docs] + [w + (None,) * 7 for w in words]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 13, _PROFILE.types)], schema=_PROFILE)
+        rows = [(None,) * 6 + d for d in docs] + [w + (None,) * 8 for w in words]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 14, _PROFILE.types)], schema=_PROFILE)
 
     for b in (x.slice(k, SLICE) for x in batches for k in range(0, x.num_rows, SLICE)):
         docs, sets, flat, sizes, last = [], {}, [], [], []
@@ -173,9 +188,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     last.append(False)
             if len(flat) > before:
                 last[-1] = True
-            tail = lines[-TAIL_LINES:]
-            masked = [mask_line(x) for x in tail]
-            docs.append([item, grp, len(flat) - before, None, tail, [template_hash(m) if enough_letters(m) else 0 for m in masked], digest_of(lines)])
+            tail = closing_lines(lines)
+            docs.append([item, grp, len(flat) - before, None, tail, line_hashes(tail), digest_of(lines), len(tail) < len(lines)])
         if docs:
             t = counts.tokens
             ids = np.fromiter(map(t.__getitem__, flat), dtype=np.int64, count=len(flat))
@@ -216,6 +230,9 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit([], counts.rows())
 
 
+_NO_WORDS: tuple[str, str, list[str], bool] = ("whole", "", [], False)
+
+
 def analyse_tail(lines: list[str]) -> tuple[str, str, list[str], bool]:
     """(kind, closing word, words of the last unit, whether sentences stand before it in its line).
 
@@ -234,7 +251,7 @@ def analyse_tail(lines: list[str]) -> tuple[str, str, list[str], bool]:
     text = re.sub(r"(?:\s*\$[^$\n]*\$)+\s*\Z", "", text)
     rows = [x for x in text.split("\n") if words_of(x)]
     if not rows:
-        return "whole", "", [], False
+        return _NO_WORDS
     last = rows[-1].strip()
     if last.endswith("�"):
         return "broken", "", [], False
@@ -263,15 +280,28 @@ _TAILS = pa.schema([("item_id", pa.int64()), ("kind", pa.string()), ("closing",
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for item, tail, foreign in zip(*(b.column(k).to_pylist() for k in ("item_id", "tail", "foreign"))):
+        for item, tail, more, foreign in zip(*(b.column(k).to_pylist() for k in ("item_id", "tail", "more", "foreign"))):
             out = frozenset(foreign or ())
             own = list(tail)
             while own and enough_letters(m := mask_line(own[-1])) and template_hash(m) in out:
                 own.pop()
-            rows.append((item, *analyse_tail(own)))
+            found = analyse_tail(own)
+            rows.append((item, "further", *found[1:]) if more and found is _NO_WORDS else (item, *found))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 5, _TAILS.types)], schema=_TAILS)
 
 
+_LINES = pa.schema([("item_id", pa.int64()), ("tail", pa.list_(pa.string())), ("tail_hashes", pa.list_(pa.int64())), ("more", pa.bool_())])
+
+
+def _all_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for item, text, known in zip(*(b.column(k).to_pylist() for k in ("item_id", "text", "known"))):
+            lines = [x for x in split_lines(text, frozenset(known or ()))[0] if x and not x.isspace()]
+            rows.append((item, lines, line_hashes(lines), False))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 4, _LINES.types)], schema=_LINES)
+
+
 _ALIGNED = pa.schema([("digest", pa.int64()), ("other", pa.int64()), ("early", pa.bool_())])
 
 
@@ -392,10 +422,18 @@ def judge(docs: DataFrame, explain: bool = False) -> DataFrame:
     n_entry, n_prose, n_start = (float(x or 0) + 1 for x in totals)
     rows = profile.where("item_id IS NOT NULL")
     anywhere = cut(templates.select(F.col("template_hash").alias("hash")).distinct(), "anywhere")
-    hashes = rows.select("item_id", F.explode("tail_hashes").alias("hash")).where("hash <> 0")
-    foreign = join_checked(hashes, anywhere, ["hash"], "inner").groupBy("item_id").agg(F.collect_set("hash").alias("foreign"))
-    tails = rows.select("item_id", "tail").join(foreign, "item_id", "left").mapInArrow(_tails, "item_id bigint, kind string, closing string, words array<string>, after_sentence boolean")
-    tails = cut(tails, "tails")
+
+    def closings(ends: DataFrame) -> DataFrame:
+        hashes = ends.select("item_id", F.explode("tail_hashes").alias("hash")).where("hash <> 0")
+        foreign = join_checked(hashes, anywhere, ["hash"], "inner").groupBy("item_id").agg(F.collect_set("hash").alias("foreign"))
+        found = ends.select("item_id", "tail", "more").join(foreign, "item_id", "left").mapInArrow(_tails, "item_id bigint, kind string, closing string, words array<string>, after_sentence boolean")
+        return cut(found, "tails")
+
+    tails = closings(rows)
+    further = tails.where("kind = 'further'").select("item_id").distinct()
+    if not further.isEmpty():  # nothing but other sites' lines so far: all lines of these texts
+        lines = base.join(further, "item_id", "left_semi").select("item_id", "text", "known").mapInArrow(_all_lines, "item_id bigint, tail array<string>, tail_hashes array<bigint>, more boolean")
+        tails = tails.join(further, "item_id", "left_anti").union(closings(cut(lines, "lines")))
     open_ = tails.where("kind <> 'whole'")
     # how texts without a final mark begin their last line, against how prose lines begin
     lasts = tails.where("kind = 'bare' AND NOT after_sentence").groupBy(F.col("words")[0].alias("word")).agg(F.count("*").alias("n_last"))

@@ -89,6 +89,16 @@ def test_every_text_of_a_bucket_is_met(spark, monkeypatch):
         assert not got[2]["truncated"]
 
 
+def test_any_number_of_lines_behind_the_end(spark):
+    rng = random.Random(12)
+    site = [f"{a} Hinweise des Verlags zum {b} Rundbrief" for a in ("Bitte", "Noch", "Neue", "Alle") for b in ("ersten", "zweiten")]
+    marks = ["</p>", "</div>", "</section>", "</article>", "</main>", "</body>", "</html>"]
+    rows = [(i, text(rng), "a") for i in range(60)] + [(100 + i, text(rng) + "\n" + "\n".join(site), "b") for i in range(12)]
+    rows += [(1000, text(rng)[:-9] + "\n" + "\n".join(marks), "a"), (1001, text(rng)[:-9] + "\n" + "\n".join(site), "a"), (1002, text(rng) + "\n" + "\n".join(marks), "a"), (1003, text(rng) + "\n" + "\n".join(site), "a")]
+    got = {r[0] for r in T.find_truncated(spark.createDataFrame(rows, DDL)).collect()}
+    assert got == {1000, 1001}
+
+
 def test_bands_find_near_copies():
     rng = random.Random(2)
     hit = 0
