@@ -34,7 +34,7 @@ def rule_stub(prompts: list[str]) -> list[str]:
     out = []
     for p in prompts:
         body = p[len(PROMPT):] if p.startswith(PROMPT) else p
-        low = body[:2000].lower()
+        low = body.lower()
         if "<graphic" in low and len(body) < 400:
             label = "cover-image"
         elif low.count("<item") + low.count("<ref") > 4:
