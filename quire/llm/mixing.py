@@ -10,7 +10,7 @@ of the UTF-8 text.
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,63 +19,84 @@ from quire.functions.text import byte_tokens, source_key
 from quire.llm.seeded import take_by_hash
 from quire.plans.runtime import cut, join_checked
 
-#: Texts are of one class if their longest line agrees, if that has so many characters; else if all their text agrees.
-CLASS_LINE = 200
-#: Patterns of several sources kept apart in the flow; the rest is routed by source alone.
-MAX_PATTERNS = 2000
-#: Rounds in which each source may add one more document to come nearer to its quota.
-TOP_UPS = 3
-
-
-def min_cost_flow(n: int, edges: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
-    """Flow on each edge (from, to, capacity, cost) of a maximum flow of least cost; successive shortest paths."""
-    graph: list[list[list]] = [[] for _ in range(n)]
-    where = []
-    for u, v, cap, cost in edges:
-        where.append((u, len(graph[u])))
-        graph[u].append([v, cap, cost, len(graph[v])])
-        graph[v].append([u, 0, -cost, len(graph[u]) - 1])
-    potential = [0] * n
-    while True:
-        dist, via = [float("inf")] * n, [None] * n
-        dist[source] = 0
-        heap = [(0, source)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > dist[u]:
-                continue
-            for k, (v, cap, cost, _) in enumerate(graph[u]):
-                nd = d + cost + potential[u] - potential[v]
-                if cap > 0 and nd < dist[v]:
-                    dist[v], via[v] = nd, (u, k)
-                    heapq.heappush(heap, (nd, v))
-        if via[sink] is None:
-            break
-        for u in range(n):
-            if dist[u] < float("inf"):
-                potential[u] += dist[u]
-        push, v = float("inf"), sink
-        while v != source:
-            u, k = via[v]
-            push, v = min(push, graph[u][k][1]), u
-        v = sink
-        while v != source:
-            u, k = via[v]
-            graph[u][k][1] -= push
-            graph[v][graph[u][k][3]][1] += push
-            v = u
-    return [cap - graph[u][k][1] for (u, k), (_, _, cap, _) in zip(where, edges)]
+
+def min_cost_flow(cells: Sequence[tuple[int, int, int]], units: Sequence[int], quotas: Sequence[int]) -> list[int]:
+    """Flow on each cell (pattern, source, capacity) of a maximum flow to the quotas of least cost.
+
+    The k-th use of a pattern's `units` tokens costs k - 1 a token; all other edges are free. So every path costs
+    what the use it starts from costs, and successive shortest paths go through the uses from cheap to dear. A path
+    may take from a source what another one can't get elsewhere: it then runs through the pattern both share.
+    """
+    of_pattern: list[list[int]] = [[] for _ in units]
+    of_source: list[list[int]] = [[] for _ in quotas]
+    for c, (p, s, _) in enumerate(cells):
+        of_pattern[p].append(c)
+        of_source[s].append(c)
+    flow, room = [0] * len(cells), list(quotas)
+    held = [sum(cells[c][2] for c in own) for own in of_pattern]
+    closed = [False] * len(quotas)  # sources from which no path leads to a quota with room; this never changes again
+
+    def path(p: int) -> list[tuple[int, int]] | None:
+        """Cells to fill and to take from on a shortest path from the pattern to a quota with room."""
+        came: dict[int, tuple[int, int | None]] = {}
+        todo = []
+        for c in of_pattern[p]:
+            s = cells[c][1]
+            if flow[c] < cells[c][2] and s not in came and not closed[s]:
+                came[s] = (c, None)
+                todo.append(s)
+        for s in todo:
+            if room[s] > 0:
+                steps = []
+                while True:
+                    fill, taken = came[s]
+                    steps.append((fill, +1))
+                    if taken is None:
+                        return steps
+                    steps.append((taken, -1))
+                    s = cells[taken][1]
+            for taken in of_source[s]:
+                if flow[taken] > 0:
+                    for c in of_pattern[cells[taken][0]]:
+                        t = cells[c][1]
+                        if t not in came and not closed[t] and flow[c] < cells[c][2]:
+                            came[t] = (c, taken)
+                            todo.append(t)
+        for s in todo:
+            closed[s] = True
+        return None
+
+    live = [p for p in range(len(units)) if held[p] > 0]
+    while live:
+        later = []
+        for p in live:  # one use of each pattern's content
+            left, stuck = min(units[p], held[p]), False
+            while left > 0:
+                steps = path(p)
+                if steps is None:
+                    stuck = True
+                    break
+                push = min([left, room[cells[steps[0][0]][1]], *(cells[c][2] - flow[c] if sign > 0 else flow[c] for c, sign in steps)])
+                for c, sign in steps:
+                    flow[c] += sign * push
+                room[cells[steps[0][0]][1]] -= push
+                held[p] -= push
+                left -= push
+            if held[p] > 0 and not stuck:
+                later.append(p)
+        live = later
+    return flow
 
 
 def _classed(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, tokens, content) of the documents with non-empty text."""
+    """(doc_id, source, tokens, content) of the documents with non-empty text. Texts are the same content if their
+    letters and digits agree, whatever their case, blanks and marks; without letters and digits, if all agrees."""
     text = F.col("text")
-    longest = F.array_max(F.transform(F.split(text, "\n"), lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))
-    base = docs.where(text.isNotNull() & (text != "")).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(source_key(F.col("source")), F.lit("")).alias("source"), byte_tokens(text).alias("tokens"), text.alias("text"), longest.alias("l")
+    plain = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
+    return docs.where(text.isNotNull() & (text != "")).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(source_key(F.col("source")), F.lit("")).alias("source"), byte_tokens(text).alias("tokens"),
+        F.xxhash64(F.when(plain != "", plain).otherwise(text)).alias("content"),
     )
-    plain = F.when(F.col("l.n") >= CLASS_LINE, F.col("l.line")).otherwise(F.col("text"))
-    return base.select("doc_id", "source", "tokens", F.xxhash64(F.lower(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")))).alias("content"))
 
 
 def _targets(targets: DataFrame) -> DataFrame:
@@ -95,58 +116,56 @@ def source_capacity(docs: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def route(classed: DataFrame, targets: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with their cell (pattern and source), and the tokens to take of each cell."""
+def route(classed: DataFrame, targets: DataFrame, total: int) -> tuple[DataFrame, DataFrame, list[tuple[str, int, int]]]:
+    """Documents with their cell (pattern and source), the tokens to take of each cell, and (source, need, flow).
+
+    The driver holds one row per pattern and source in it; there are never more patterns than sets of wanted sources.
+    A target without share or cap on repetition is none.
+    """
     spark = classed.sparkSession
-    wanted = cut(_targets(targets), "targets")
+    wanted = cut(_targets(targets).where("target_permille IS NOT NULL AND max_repeats IS NOT NULL"), "targets")
     docs = classed.join(wanted.select("source", "max_repeats"), "source", "left_semi")
     # only classes held by several sources have a pattern of their own
     multi = docs.groupBy("content").agg(F.sort_array(F.collect_set("source")).alias("members"), F.min("tokens").alias("unit")).where("size(members) > 1")
     multi = cut(multi.select("content", F.array_join("members", "\x1f").alias("pattern"), "unit"), "multi")
-    top = cut(multi.groupBy("pattern").agg(F.sum("unit").alias("unique_tokens")).orderBy(F.desc("unique_tokens"), "pattern").limit(MAX_PATTERNS), "patterns")
-    multi = join_checked(multi, top, ["pattern"], "inner").select("content", "pattern")
-    docs = join_checked(docs, cut(multi, "content"), ["content"], "left")
+    units = {r["pattern"]: int(r["u"]) for r in multi.groupBy("pattern").agg(F.sum("unit").alias("u")).collect()}
+    docs = join_checked(docs, cut(multi.select("content", "pattern"), "content"), ["content"], "left")
     docs = docs.select("doc_id", "source", "tokens", F.concat_ws("\x1e", F.coalesce("pattern", F.lit("")), "source").alias("cell"))
     docs = cut(docs, "cells")
-    sums = docs.groupBy("cell").agg(F.sum("tokens").alias("tokens")).collect()  # patterns kept x their sources
-    unique = {r["pattern"]: r["unique_tokens"] for r in top.collect()}
-    quota = {r["source"]: (int(r["target_permille"]) * total // 1000, int(r["max_repeats"])) for r in wanted.collect()}
-    cells = sorted((r["cell"], int(r["tokens"])) for r in sums)
-    patterns = sorted({tuple(c.split("\x1e")) if c.split("\x1e")[0] == "" else (c.split("\x1e")[0], "") for c, _ in cells})
-    index = {p: i + 2 for i, p in enumerate(patterns)}
-    sinks = {s: len(patterns) + 2 + i for i, s in enumerate(sorted(quota))}
-    edges, of_cell = [], {}
-    held: dict[tuple, int] = {}
-    for c, tokens in cells:
-        pattern, source = c.split("\x1e")
-        p = (pattern, "") if pattern else ("", source)
-        held[p] = held.get(p, 0) + tokens * quota[source][1]
-        of_cell[c] = len(edges)
-        edges.append((index[p], sinks[source], tokens * quota[source][1], 0))
-    for p in patterns:
-        unit = unique.get(p[0]) or next(t for c, t in cells if c == f"\x1e{p[1]}")
-        left, use = held[p], 0
-        while left > 0:  # the k-th use of the content costs k - 1
-            edges.append((0, index[p], min(unit, left), use))
-            left, use = left - unit, use + 1
-    for s, (tokens, _) in quota.items():
-        edges.append((sinks[s], 1, tokens, 0))
-    flow = min_cost_flow(len(patterns) + 2 + len(sinks), edges, 0, 1)
-    rows = [(c, c.split("\x1e")[1], t, flow[of_cell[c]]) for c, t in cells]
+    held = sorted((r["cell"], int(r["tokens"])) for r in docs.groupBy("cell").agg(F.sum("tokens").alias("tokens")).collect())
+    # the least whole number of tokens that reaches the target
+    quota = {r["source"]: (-(-int(r["target_permille"]) * total // 1000), int(r["max_repeats"])) for r in wanted.collect()}
+    sources, patterns = {s: i for i, s in enumerate(sorted(quota))}, {}
+    cells, sizes = [], []
+    for cell, tokens in held:
+        pattern, source = cell.split("\x1e")
+        key = pattern or cell  # what one source alone holds is a pattern, too
+        if key not in patterns:
+            patterns[key] = len(sizes)
+            sizes.append(units.get(pattern, tokens))
+        cells.append((patterns[key], sources[source], tokens * quota[source][1]))
+    flow = min_cost_flow(cells, sizes, [max(0, quota[s][0]) for s in sources])
+    rows, got = [], dict.fromkeys(sources, 0)
+    for (cell, tokens), f in zip(held, flow):
+        source = cell.split("\x1e")[1]
+        rows.append((cell, source, tokens, f))
+        got[source] += f
     plan = spark.createDataFrame(rows, "cell string, source string, cell_tokens bigint, flow bigint")
-    return docs, plan
+    return docs, plan, [(s, quota[s][0], got[s]) for s in sources]
 
 
 def _top_up(rows: DataFrame, taken: DataFrame, quotas: DataFrame) -> DataFrame:
-    """What seeded order left of a cell's quota, filled by the largest documents that still fit, one a round."""
-    for _ in range(TOP_UPS):
+    """What seeded order left of a cell's quota, filled by the largest documents that still fit, until none does."""
+    while True:
         used = taken.groupBy("cell").agg(F.sum("tokens").alias("used"))
         room = quotas.join(used, "cell", "left").select("cell", (F.col("quota") - F.coalesce("used", F.lit(0))).alias("room")).where("room > 0")
         fits = join_checked(rows, cut(room, "room"), ["cell"], "inner").where(F.col("tokens") <= F.col("room"))
         fits = fits.join(taken.select("row"), "row", "left_anti")
         best = fits.groupBy("cell").agg(F.max(F.struct("tokens", "row")).alias("b")).select(F.col("b.row").alias("row"), "cell", F.col("b.tokens").alias("tokens"))
-        taken = cut(taken.unionByName(best), "extra")
-    return taken
+        best = cut(best, "best")
+        if best.isEmpty():
+            return taken
+        taken = taken.unionByName(best)
 
 
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
@@ -157,7 +176,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """
     classed = cut(_classed(docs), "classed")
     total = int(docs.agg(F.sum(byte_tokens(F.col("text")))).first()[0] or 0)
-    rows, plan = route(classed, targets, total)
+    rows, plan, _ = route(classed, targets, total)
     plan = cut(plan.where("cell_tokens > 0").withColumn("whole", F.floor(F.col("flow") / F.col("cell_tokens")).cast("long")).withColumn("quota", F.col("flow") - F.col("whole") * F.col("cell_tokens")), "plan")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     extra = take_by_hash(rows, "cell", "row", "tokens", plan.where("quota > 0").select("cell", "quota"), seed)
@@ -178,11 +197,10 @@ def shares(docs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def find_short_sources(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Sources whose routed flow stays below the quota because all their documents, repeated as allowed, are too few."""
+    """Sources (as in the targets) whose quota the flow doesn't fill: all they hold, repeated as allowed, is too little."""
     classed = cut(_classed(docs), "classed")
     total = int(docs.agg(F.sum(byte_tokens(F.col("text")))).first()[0] or 0)
-    _, plan = route(classed, targets, total)
-    got = plan.groupBy(F.col("source").alias("key")).agg(F.sum("flow").alias("flow"))
-    capacity = source_capacity(docs, targets).withColumn("key", source_key(F.col("source"))).join(got, "key", "left")
-    # the flow is whole tokens below the quota; the exact test has no rounding
-    return capacity.where((F.coalesce("flow", F.lit(0)) <= F.col("quota_tokens")) & ~F.col("reachable")).select("source")
+    _, _, reached = route(classed, targets, total)
+    short = [(source,) for source, need, flow in reached if flow < need]
+    rows = docs.sparkSession.createDataFrame(short, "source string")
+    return _targets(targets).join(rows, "source", "left_semi").select(F.col("target_source").alias("source"))
