@@ -3,7 +3,11 @@
 Records are grouped by signature (stratum memberships, publisher, series). A random sample that meets
 the floors is drawn as counts per signature; then counts are exchanged between signatures, each time
 the exchange that lowers the deviation from the targets most, until none does. Only then are rows
-chosen, at random within each signature. The exchange works on counts, so it doesn't grow with the books.
+chosen, at random within each signature. The exchange works on counts, so it doesn't grow with the books:
+the driver holds one number per signature, and signatures are categories.
+
+Which targets can't be met shows in a sample that has each stratum's need as its floor: after the repair,
+a stratum below its need has no book left to exchange.
 """
 
 from __future__ import annotations
@@ -17,8 +21,6 @@ from pyspark.sql import functions as F
 from quire.llm.seeded import take_by_hash
 from quire.plans.runtime import cut
 
-#: Signatures handled on the driver; with more, series and publishers are hashed into fewer classes.
-MAX_SIGNATURES = 200_000
 #: Weight of a book too many or too few in a publisher or series, against one in a stratum.
 SIDE_WEIGHT = 0.1
 
@@ -55,10 +57,20 @@ def swap_repair(available: np.ndarray, members: np.ndarray, side: list[np.ndarra
     have = np.zeros(n, dtype=np.int64)
 
     def draw(pool: np.ndarray, m: int) -> None:
-        room = np.where(pool, available - have, 0)
-        m = int(min(m, room.sum()))
+        """m more records at equal intervals, from a random start, of all the pool's records in random signature order."""
+        order = rng.permutation(n)
+        room = np.where(pool, available - have, 0)[order]
+        ends = np.cumsum(room)
+        total = int(ends[-1]) if n else 0
+        m = int(min(m, total))
         if m > 0:
-            have[:] += rng.multivariate_hypergeometric(room, m, method="marginals")
+            start = rng.random() * total
+            whole, part = np.divmod(ends, total)  # split, so that no product is larger than a float holds exactly
+            upto = np.floor((part * float(m) + start) / total).astype(np.int64) + whole * m
+            have[order] += np.minimum(np.diff(upto, prepend=0), room)
+            short = m - int(np.minimum(np.diff(upto, prepend=0), room).sum())
+            for i in order[np.argsort(have[order] - available[order], kind="stable")][:short]:  # only by rounding
+                have[i] += 1
 
     for s in np.argsort(available @ members, kind="stable"):
         draw(members[:, s] > 0, int(floors[s] - have @ members[:, s]))
@@ -179,29 +191,16 @@ def _signatures(books: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select("id", F.coalesce("strata", F.lit("")).alias("strata"), F.col("r.publisher").alias("publisher"), F.col("r.series").alias("series"))
 
 
-def _coarse(signed: DataFrame, most: int) -> tuple[DataFrame, list]:
-    """Signed books with their signature, and the signatures' counts, at most `most` of them."""
-    classes = None
-    while True:
-        series, publisher = F.col("series"), F.col("publisher")
-        if classes:
-            series, publisher = (F.pmod(F.xxhash64(c), F.lit(classes)).cast("string") for c in (series, publisher))
-        rows = signed.withColumn("signature", F.concat_ws("\x1d", "strata", publisher, series))
-        counts = rows.groupBy("signature").agg(F.count("*").alias("n"))
-        got = counts.limit(most + 1).collect()
-        if len(got) <= most:
-            return rows, sorted((r["signature"], int(r["n"])) for r in got)
-        classes = (classes or 8192) // 4
-        if classes == 0:
-            raise ValueError("too many strata signatures")
-
-
-def plan_sample(books: DataFrame, targets: DataFrame, share: int = 10, seed: int = 42) -> tuple[DataFrame, list, list, dict]:
-    """Books with signatures, wanted counts per signature, and a report per stratum."""
+def plan_sample(books: DataFrame, targets: DataFrame, share: int = 10, seed: int = 42, need_as_floor: bool = False) -> tuple[DataFrame, list, list]:
+    """Books with signatures, wanted counts per signature, and a report per stratum.
+
+    need_as_floor makes the greater of floor and rounded-up target every stratum's floor, even if that needs a larger sample.
+    """
     signed = cut(_signatures(books, targets), "signed")
     k = signed.count() // share
     needs = _needs(targets, k)
-    rows, counts = _coarse(signed, MAX_SIGNATURES)
+    rows = signed.withColumn("signature", F.concat_ws("\x1d", "strata", "publisher", "series"))
+    counts = sorted((r["signature"], int(r["n"])) for r in rows.groupBy("signature").agg(F.count("*").alias("n")).collect())
     place = {s: i for i, (s, *_) in enumerate(needs)}
     members = np.zeros((len(counts), len(needs)), dtype=np.int64)
     sides: list[list[str]] = [[], []]
@@ -213,12 +212,12 @@ def plan_sample(books: DataFrame, targets: DataFrame, share: int = 10, seed: int
         sides[1].append(series)
     available = np.asarray([n for _, n in counts], dtype=np.int64)
     side = [np.unique(np.asarray(v, dtype=object).astype(str), return_inverse=True)[1] for v in sides] if counts else []
-    floors, goals = np.asarray([n[1] for n in needs], dtype=np.int64), np.asarray([n[2] for n in needs])
+    floors, goals = np.asarray([n[3 if need_as_floor else 1] for n in needs], dtype=np.int64), np.asarray([n[2] for n in needs])
     have = swap_repair(available, members, side, floors, goals, k, seed) if counts else np.zeros(0, dtype=np.int64)
     quotas = [(s, int(m)) for (s, _), m in zip(counts, have) if m > 0]
     capacity, reached = available @ members, have @ members
-    report = [(*s.split("\x1f"), int(c), floor, goal, need, int(x), bool(c < need), bool(x < floor)) for (s, floor, goal, need), c, x in zip(needs, capacity, reached)]
-    return rows, quotas, report, {"k": k}
+    report = [(*s.split("\x1f"), int(c), floor, goal, need, int(x), bool(x < need), bool(x < floor)) for (s, floor, goal, need), c, x in zip(needs, capacity, reached)]
+    return rows, quotas, report
 
 
 def draw_sample(books: DataFrame, targets: DataFrame, share: int = 10, seed: int = 42) -> DataFrame:
@@ -228,19 +227,23 @@ def draw_sample(books: DataFrame, targets: DataFrame, share: int = 10, seed: int
     Null ids are no books; rows of one id are one book. Strata unknown to the targets have no target.
     An empty table gives an empty sample.
     """
-    rows, quotas, _, _ = plan_sample(books, targets, share, seed)
+    rows, quotas, _ = plan_sample(books, targets, share, seed)
     spark = books.sparkSession
     want = spark.createDataFrame(quotas, "signature string, quota bigint")
     got = take_by_hash(rows.withColumn("one", F.lit(1).cast("long")), "signature", "id", "one", want, seed)
     return got.select("id", F.split("strata", "\x1e").alias("strata"), "publisher", "series")
 
 
-def strata_report(books: DataFrame, targets: DataFrame, share: int = 10, seed: int = 42) -> DataFrame:
-    """Per stratum: books held, floor, target, need, sampled, too_few (held < need), below_floor (sampled < floor)."""
-    _, _, report, _ = plan_sample(books, targets, share, seed)
-    return books.sparkSession.createDataFrame(report, "publisher_tier string, series_size_category string, n_books bigint, min_books bigint, target_books double, need bigint, n_sampled bigint, too_few boolean, below_floor boolean")
+_REPORT = "publisher_tier string, series_size_category string, n_books bigint, min_books bigint, target_books double, need bigint, n_sampled bigint, below_need boolean, below_floor boolean"
+
+
+def strata_report(books: DataFrame, targets: DataFrame, share: int = 10, seed: int = 42, need_as_floor: bool = False) -> DataFrame:
+    """Per stratum: books held, floor, target, need, sampled, below_need (sampled < need), below_floor (sampled < floor)."""
+    _, _, report = plan_sample(books, targets, share, seed, need_as_floor)
+    return books.sparkSession.createDataFrame(report, _REPORT)
 
 
-def find_short_strata(books: DataFrame, targets: DataFrame, share: int = 10) -> DataFrame:
-    """Strata whose books are fewer than the greater of floor and rounded-up target."""
-    return strata_report(books, targets, share).where("too_few").select("publisher_tier", "series_size_category")
+def find_short_strata(books: DataFrame, targets: DataFrame, share: int = 10, seed: int = 42) -> DataFrame:
+    """Strata that stay below the greater of floor and rounded-up target in the repaired sample that has these needs
+    as floors: it holds all their books, and they are too few."""
+    return strata_report(books, targets, share, seed, need_as_floor=True).where("below_need").select("publisher_tier", "series_size_category")

@@ -24,7 +24,8 @@ def test_shares_and_floors(spark):
     # what C and D can't give is the rest's
     assert c["c"] == 4 and c["a"] >= 50 and c["b"] >= 40 and c["a"] + c["b"] <= 96
     rep = {r["publisher_tier"]: r for r in S.strata_report(df, targets).collect()}
-    assert (rep["C"]["n_books"], rep["C"]["need"], rep["C"]["too_few"]) == (4, 6, True) and rep["D"]["too_few"] and not rep["A"]["too_few"]
+    assert (rep["C"]["n_books"], rep["C"]["need"], rep["C"]["below_need"]) == (4, 6, True) and rep["D"]["below_need"] and not rep["A"]["below_need"]
+    assert {r[0] for r in S.find_short_strata(df, targets).collect()} == {"C", "D"}
     again = S.draw_sample(df, targets).collect()
     assert {r["id"] for r in got} == {r["id"] for r in again}
 
@@ -81,11 +82,30 @@ def test_one_id_in_several_strata(spark):
     assert rep == {"A": 20, "B": 1}
 
 
-def test_many_signatures_are_hashed(spark, monkeypatch):
-    monkeypatch.setattr(S, "MAX_SIGNATURES", 30)
-    df = books(spark, [(f"i{k}", f"P{k}", f"S{k}", "A", "N/A") for k in range(200)])
-    targets = spark.createDataFrame([("A", "N/A", 100, 1)], TARGETS)
-    assert S.draw_sample(df, targets).count() == 20
+def test_short_strata_are_those_the_repair_leaves_short(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(f"i{k}", f"P{k % 7}", f"S{k % 11}", "ABC"[min(2, int(rng.exponential()))], ("Large", "Small")[k % 2]) for k in range(400)]
+    rows += [(f"i{k}", "P1", "S1", "C", "Small") for k in range(0, 40, 3)]  # in two strata
+    df = books(spark, rows)
+    targets = spark.createDataFrame([(t, c, pct, least) for (t, c), pct, least in zip([(t, c) for t in "ABC" for c in ("Large", "Small")], (20, 20, 20, 20, 15, 5), (3, 70, 60, 5, 90, 8))], TARGETS)
+    held = {(t, c): len({i for i, _, _, x, y in rows if (x, y) == (t, c)}) for t, c in [(t, c) for t in "ABC" for c in ("Large", "Small")]}
+    k = len({r[0] for r in rows}) // 10
+    wanted = {(r[0], r[1]) for r in targets.collect() if held[r[0], r[1]] < max(r[3], -(-r[2] * k // 100))}
+    assert wanted and {tuple(r) for r in S.find_short_strata(df, targets).collect()} == wanted
+    monkeypatch.setattr(S, "swap_repair", lambda available, *a: np.zeros(len(available), dtype=np.int64))
+    assert S.find_short_strata(df, targets).count() == 6
+
+
+def test_the_start_draws_as_many_as_asked():
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 300):
+        available = rng.integers(0, 9, n)
+        for k in (0, 1, int(available.sum()) // 2, int(available.sum())):
+            have = S.swap_repair(available, np.zeros((n, 1), dtype=np.int64), [np.zeros(n, dtype=np.int64)], np.array([0]), np.array([0.0]), k, 3)
+            assert have.sum() == k and (have <= available).all()
+    big = np.array([3 * 10**9, 10**10, 7])
+    have = S.swap_repair(big, np.eye(3, dtype=np.int64), [np.zeros(3, dtype=np.int64)], np.array([1, 1, 7]), np.array([10**9 * 0.3, 10.0**9, 1]), 1_300_000_000, 3)
+    assert have.sum() == 1_300_000_000 and (have <= big).all() and have[2] == 7
 
 
 def test_edges(spark):
