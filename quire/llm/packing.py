@@ -1,10 +1,12 @@
 """Documents packed whole into containers of fixed capacity: bound-certified repacking.
 
-Documents are spread over parts of bounded size; each part is packed best-fit decreasing. Lower bounds
-from dual-feasible functions certify a part whose container count can't be lowered. Parts with a gap
-exchange the documents of their containers that aren't full and are packed again, while that saves
-containers. A document is split only if it alone exceeds the capacity: its full pieces are containers
-of their own and its rest is packed like a document. A token is one byte of the UTF-8 text.
+Documents are spread over parts of bounded size; each part is packed best-fit decreasing, and only there a
+document that alone exceeds the capacity is split: its full pieces fill containers of their own, and its rest
+is packed like a document. Lower bounds from dual-feasible functions certify a part whose container count
+can't be lowered. Parts with a gap exchange the documents of their containers that aren't full: these are
+pooled by new parts and packed again; a new part that needs no fewer containers so keeps the old ones. This
+goes on until no gap is left, all of them were in one part, or a round closes less than a hundredth of the
+gap. A token is one byte of the UTF-8 text.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from quire.plans.runtime import cut
 
 CAPACITY = 4096
 #: Expected items of a part; a part is packed by one task.
-PART_ITEMS = 40_000
-EXCHANGES = 3
+PART_ITEMS = 20_000
+#: A round of exchanges that closes less than this share of the gap is the last.
+LEAST_CLOSED = 0.01
 
 
 def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -79,62 +82,84 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, place
 
 
+def take_apart(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, part_no, size) of the pieces: an item above the capacity gives full pieces and a rest, any other itself."""
+    n_parts = np.maximum(1, -(-sizes // capacity))
+    item = np.repeat(np.arange(len(sizes)), n_parts)
+    part_no = np.arange(len(item)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts) + 1
+    return item, part_no, np.minimum(capacity, sizes[item] - (part_no - 1) * capacity)
+
+
+def _certified(pdf: pd.DataFrame, bins: np.ndarray, place: np.ndarray, capacity: int, saved: int) -> pd.DataFrame:
+    sizes = pdf["size"].to_numpy()
+    n_bins = int(bins.max()) + 1 if len(bins) else 0
+    fill = np.bincount(bins, weights=sizes, minlength=n_bins).astype(np.int64)
+    gap = n_bins - lower_bound(*np.unique(sizes, return_counts=True), capacity)
+    return pdf.assign(bin=bins, place=place, gap=gap, fill=fill[bins], saved=saved)[_PACKED_COLUMNS]
+
+
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["size", "doc_id", "part_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+
+
 def _pack_part(capacity: int):
+    """Whole documents of a part, split where they must be, and packed."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "part_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        sizes = pdf["size"].to_numpy()
-        bins, place = best_fit_decreasing(sizes, capacity)
-        values, counts = np.unique(sizes, return_counts=True)
-        n_bins = int(bins.max()) + 1 if len(bins) else 0
-        fill = np.bincount(bins, weights=sizes, minlength=n_bins).astype(np.int64)
-        return pdf.assign(bin=bins, place=place, gap=n_bins - lower_bound(values, counts, capacity), fill=fill[bins])
+        item, part_no, size = take_apart(pdf["n"].to_numpy(), capacity)
+        rows = _ordered(pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[item], "part_no": part_no, "size": size, "part": pdf["part"].to_numpy()[item]}))
+        bins, place = best_fit_decreasing(rows["size"].to_numpy(), capacity)
+        return _certified(rows, bins, place, capacity, 0)
 
     return run
 
 
-_ITEMS = "doc_id bigint, part_no bigint, n_parts bigint, size bigint, part bigint"
-_PACKED = _ITEMS + ", bin bigint, place bigint, gap bigint, fill bigint"
+def _repack_part(capacity: int):
+    """Pooled open containers packed again; the old ones stay unless there are fewer new ones."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _ordered(pdf)
+        bins, place = best_fit_decreasing(rows["size"].to_numpy(), capacity)
+        old = pd.factorize(rows["container"])[0].astype(np.int64)
+        saved = int(old.max()) - int(bins.max())
+        if saved <= 0:
+            bins, place = old, rows["place"].to_numpy()
+        return _certified(rows, bins, place, capacity, max(0, saved))
 
-def _items(docs: DataFrame, capacity: int, id_col: str, text_col: str) -> DataFrame:
-    """Pieces to pack: (doc_id, part_no, n_parts, size); parts of a split document are full but the last."""
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), byte_tokens(F.col(text_col)).alias("n")).where("n IS NOT NULL")
-    n_parts = F.greatest(F.lit(1), F.ceil(F.col("n") / capacity)).cast("long")
-    sized = sized.withColumn("n_parts", n_parts)
-    parts = sized.withColumn("part_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_parts"))))
-    size = F.when(F.col("part_no") < F.col("n_parts"), F.lit(capacity)).otherwise(F.col("n") - (F.col("n_parts") - 1) * capacity)
-    return parts.select("doc_id", "part_no", "n_parts", size.cast("long").alias("size"))
+    return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, exchanges: int = EXCHANGES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, part_no, n_parts, size, container, place): where each document, or part of a split one, lies.
+_PACKED_COLUMNS = ["doc_id", "part_no", "size", "part", "bin", "place", "gap", "fill", "saved"]
+_PACKED = ", ".join(f"{c} bigint" for c in _PACKED_COLUMNS)
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, exchange: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, part_no, size, container, place): where each document, or part of a split one, lies.
 
     Null texts lie nowhere; an empty text takes a place but no room. A doc_id given twice is packed twice.
     An empty table gives no rows. Extra columns are not carried.
     """
-    items = cut(_items(docs, capacity, id_col, text_col), "items")
-    full = items.where(F.col("size") == capacity)
-    loose = items.where(F.col("size") < capacity)
-    parts = max(1, -(-loose.count() // part_items))
-    # equal (doc_id, part_no) of repeated rows are told apart by nothing but their place
-    todo = loose.withColumn("part", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(parts)))
-    done, round_no = [full.select("doc_id", "part_no", "n_parts", "size", F.concat_ws("-", F.lit("w"), "doc_id", "part_no", F.monotonically_increasing_id()).alias("container"), F.lit(0).cast("long").alias("place"))], 0
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), byte_tokens(F.col(text_col)).alias("n")).where("n IS NOT NULL")
+    items = cut(sized.withColumn("row", F.monotonically_increasing_id()), "items")
+    parts = max(1, -(-items.count() // part_items))
+    todo = items.select("doc_id", "n", F.pmod(F.xxhash64("doc_id", "row"), F.lit(parts)).alias("part"))
+    packed = cut(todo.groupBy("part").applyInPandas(_pack_part(capacity), _PACKED), "packed")
+    done, round_no, gap_before = [], 0, None
     while True:
-        packed = cut(todo.groupBy("part").applyInPandas(_pack_part(capacity), _PACKED), "packed")
-        gaps = packed.groupBy("part").agg(F.max("gap").alias("gap")).agg(F.sum((F.col("gap") > 0).cast("long")), F.sum("gap")).first()
-        more = round_no < exchanges and (gaps[0] or 0) > 1
+        by_part = packed.groupBy("part").agg(F.max("gap").alias("gap"), F.max("saved").alias("saved"))
+        open_parts, gap, saved = by_part.agg(F.count_if(F.col("gap") > 0), F.sum("gap"), F.sum("saved")).first()
+        more = exchange and (open_parts or 0) > 1 and (gap_before is None or saved >= max(1, LEAST_CLOSED * gap_before))
         free = (F.col("gap") > 0) & (F.col("fill") < capacity) if more else F.lit(False)
-        name = F.concat_ws("-", F.lit(str(round_no)), "part", "bin")
-        done.append(packed.where(~free).select("doc_id", "part_no", "n_parts", "size", name.alias("container"), "place"))
+        named = packed.withColumn("container", F.concat_ws("-", F.lit(str(round_no)), "part", "bin"))
+        done.append(named.where(~free).select("doc_id", "part_no", "size", "container", "place"))
         if not more:
             break
-        # parts with a gap meet in half as many new parts, each holding open containers of several
-        open_ = packed.where(free)
-        groups = max(1, -(-open_.count() // part_items))
-        if groups >= parts:
-            groups = max(1, parts // 2)
-        todo = open_.select("doc_id", "part_no", "n_parts", "size", F.pmod(F.xxhash64("part", "bin", F.lit(round_no)), F.lit(groups)).alias("part"))
-        parts, round_no = groups, round_no + 1
+        open_ = named.where(free).select("doc_id", "part_no", "size", "container", "place")
+        parts = max(1, -(-open_.count() // part_items))
+        # whole containers move, so that the old packing of a new part is known
+        todo = open_.withColumn("part", F.pmod(F.xxhash64("container"), F.lit(parts)))
+        packed = cut(todo.groupBy("part").applyInPandas(_repack_part(capacity), _PACKED), "packed")
+        round_no, gap_before = round_no + 1, gap
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
@@ -151,5 +176,5 @@ def report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def find_split(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id of the documents that had to be split."""
-    return pack(docs, capacity).where("n_parts > 1").select("doc_id").distinct()
+    """doc_id of the documents that the packing laid into more than one container."""
+    return pack(docs, capacity).where("part_no > 1").select("doc_id").distinct()

@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm.packing import best_fit_decreasing, find_split, lower_bound, pack, report
+from quire.llm.packing import best_fit_decreasing, find_split, lower_bound, pack, report, take_apart
 from quire.plans.runtime import read_table
 
 DDL = "doc_id long, text string"
@@ -20,7 +20,7 @@ def valid(rows, capacity, sizes):
         total.setdefault(r["doc_id"], []).append(r)
     for doc, n in sizes.items():
         own = total[doc]
-        assert sum(r["size"] for r in own) == n and len(own) == max(1, -(-n // capacity)) == own[0]["n_parts"]
+        assert sum(r["size"] for r in own) == n and sorted(r["part_no"] for r in own) == list(range(1, max(1, -(-n // capacity)) + 1))
     return fill
 
 
@@ -41,6 +41,19 @@ def test_bound_beats_volume():
     assert lower_bound(np.array([34]), np.array([6]), 100) == 3
 
 
+def test_take_apart():
+    item, part_no, size = take_apart(np.array([0, 10, 100, 101, 250]), 100)
+    assert item.tolist() == [0, 1, 2, 3, 3, 4, 4, 4] and part_no.tolist() == [1, 1, 1, 1, 2, 1, 2, 3] and size.tolist() == [0, 10, 100, 100, 1, 100, 100, 50]
+
+
+def test_an_exchange_never_costs_containers(spark):
+    # sizes that best-fit decreasing packs badly: no exchange may end with more containers than none
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, "x" * int(n)) for i, n in enumerate(rng.choice([23, 27, 34, 41, 50, 51], 900))], DDL)
+    with_, without = ([pack(df, 100, part_items=60, exchange=e).select("container").distinct().count()] for e in (True, False))
+    assert with_ <= without
+
+
 def test_packs_well_and_exchanges(spark):
     rng = np.random.default_rng(3)
     sizes = {i: int(n) for i, n in enumerate(rng.integers(0, 300, 2000))}
@@ -49,7 +62,7 @@ def test_packs_well_and_exchanges(spark):
     fill = valid(rows, 100, sizes)
     r = report(pack(df, 100, part_items=200), 100).first()
     assert r["n_containers"] == len(fill) >= r["lower_bound"] and r["n_containers"] <= r["lower_bound"] * 1.01 + 2
-    alone = pack(df, 100, part_items=200, exchanges=0).select("container").distinct().count()
+    alone = pack(df, 100, part_items=200, exchange=False).select("container").distinct().count()
     assert len(fill) <= alone
 
 
