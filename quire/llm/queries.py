@@ -36,10 +36,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_own_text(spark: SparkSession, d: str) -> DataFrame:
-    items = sitelines.document_items(_t(spark, d, "documents")).unionByName(sitelines.description_items(_t(spark, d, "book_json")))
+    items = sitelines.all_items(_t(spark, d, "documents"), _t(spark, d, "book_json"))
     return sitelines.remove_repeated(items, sitelines.mine_templates(items))
 
 
+def p3_templates(spark: SparkSession, d: str) -> DataFrame:
+    mined = sitelines.mine_templates(sitelines.all_items(_t(spark, d, "documents"), _t(spark, d, "book_json")))
+    return mined.select("origin", "grp", "template", "n_items", "n_group")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus.find_wrong_gold(_t(spark, d, "eval_results"), _t(spark, d, "annotations"), _t(spark, d, "label_set"))
 
@@ -114,12 +119,10 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_plain_text, p1_templates, p2_found, p2_pieces, p3_found, p3_own_text, p4_found, p4_consensus, p4_reliability, p4_agreement, p5_found, p5_sample, p5_report, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares, p8_capacity, p9_found, p9_judged, p9_by_source)
+    f.__name__: f for f in (p1_found, p1_plain_text, p1_templates, p2_found, p2_pieces, p3_found, p3_own_text, p3_templates, p4_found, p4_consensus, p4_reliability, p4_agreement, p5_found, p5_sample, p5_report, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_shares, p8_capacity, p9_found, p9_judged, p9_by_source)
 }
 
-SQL: dict[str, str] = {
-    "p2_found": "SELECT DISTINCT id FROM chunks WHERE strlen(text) > 8192",
-    "p3_found": r"""
+_LINES = r"""
 WITH docs AS (SELECT 'documents' AS origin, coalesce(lower(trim(source)), '') AS grp, doc_id AS item_id, text FROM documents WHERE text IS NOT NULL),
 books AS (
   SELECT 'book_json' AS origin, coalesce(lower(trim(portal)), '') AS grp, record_id AS item_id,
@@ -134,7 +137,12 @@ lines AS (SELECT origin, grp, item_id, unnest(string_split(text, chr(10))) AS li
 masked AS (SELECT *, regexp_replace(lower(trim(regexp_replace(line, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS k FROM lines),
 long AS (SELECT * FROM masked WHERE length(regexp_replace(k, '[^\p{L}]', '', 'g')) >= 20),
 counts AS (SELECT origin, grp, k, count(DISTINCT item_id) AS c FROM long GROUP BY ALL)
-SELECT DISTINCT origin, item_id, line_no FROM long JOIN counts USING (origin, grp, k) JOIN n USING (origin, grp) WHERE c >= 5 AND c * 100 >= 3 * n_group""",
+"""
+
+SQL: dict[str, str] = {
+    "p2_found": "SELECT DISTINCT id FROM chunks WHERE strlen(text) > 8192",
+    "p3_found": _LINES + "SELECT DISTINCT origin, item_id, line_no FROM long JOIN counts USING (origin, grp, k) JOIN n USING (origin, grp) WHERE c >= 5 AND c * 100 >= 3 * n_group",
+    "p3_templates": _LINES + "SELECT origin, grp, k AS template, c AS n_items, n_group FROM counts JOIN n USING (origin, grp) WHERE c >= 5 AND c * 100 >= 3 * n_group",
     "p4_agreement": r"""
 WITH lab AS (SELECT label FROM label_set),
 m AS (SELECT DISTINCT id, 'openai_gpt_oss_120b' AS labeller, openai_gpt_oss_120b AS l FROM eval_results

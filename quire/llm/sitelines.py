@@ -1,10 +1,13 @@
 """Lines repeated across one site's texts: mined as templates with wildcard slots, then removed.
 
-Every partition parses its lines into a fixed-depth token tree: the levels are the group, the number
-of tokens and the first tokens; a leaf holds templates, whose wildcard slots are the digit runs (and,
-with a similarity below 1, whole tokens that differ). A tree counts in how many items each template
-stands; trees are merged by summing these counts by template, which is exact, as an item is in
-one partition only. Templates that stand in enough of a group's items are removed from its texts.
+Every task parses its lines into a fixed-depth token tree: group, number of tokens, first tokens. A leaf is a
+template: its first tokens, and a wildcard slot for each further token and for each token with digits. The tree
+counts in how many items a template stands. Trees are merged by summing these counts by path, which is exact, as
+an item is in one task only. Templates that cover too few of their group's items can't hold a repeated line and
+are cut off. In those that are left the slots are filled again, all but the digit runs, and counted in the same
+way: the templates that then still cover enough items are removed. (Only lines that agree in all but digits count
+as the same.) Texts are cleaned by walking each line down the merged tree.
+
 A full tree is emitted and begun anew, so a task's memory is bounded whatever its partition holds.
 """
 
@@ -12,7 +15,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -25,8 +28,9 @@ from quire.plans.runtime import cut, join_checked
 MIN_LETTERS = 20
 MIN_ITEMS = 5
 MIN_PERCENT = 3
-DEPTH = 4
-#: A partition's tree is emitted once it holds so many templates.
+#: First tokens of a line that are levels of the tree.
+DEPTH = 2
+#: A task's tree is emitted once it holds so many templates; so is the memory of paths looked up.
 MAX_TEMPLATES = 200_000
 
 _DIGITS = re.compile(r"[0-9]+")
@@ -49,77 +53,141 @@ def template_hash(template: str) -> int:
     return xxhash.xxh64_intdigest(template) - (1 << 63)
 
 
+def path_of(tokens: list[str], depth: int = DEPTH) -> str:
+    """A line's path below its group: its number of tokens and the first ones, a token with digits being a slot."""
+    head = [_SLOT if _DIGITS.search(t) else t.lower() for t in tokens[:depth]]
+    return " ".join([str(len(tokens)), *head])
+
+
+def path_hash(path: str) -> int:
+    """As Spark's xxhash64 of the string."""
+    h = xxhash.xxh64_intdigest(path, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class TokenTree:
-    """Fixed-depth token tree of masked lines; counts items per template.
+    """Counts items per template, once per item: by path, or by path and masked line."""
 
-    similarity 1 keeps only digit slots: lines share a template exactly if their masked forms agree.
-    Below 1, a line joins the leaf's first template that agrees in that share of its tokens, and
-    the tokens that differ become slots.
-    """
+    def __init__(self) -> None:
+        self.leaves: dict[tuple, list[int]] = {}
+
+    def add(self, key: tuple, item: int) -> None:
+        leaf = self.leaves.get(key)
+        if leaf is None:
+            self.leaves[key] = [1, item]
+        elif leaf[1] != item:
+            leaf[0] += 1
+            leaf[1] = item
+
+    def drain(self) -> Iterator[tuple]:
+        for key, (n, _) in self.leaves.items():
+            yield *key, n
+        self.leaves = {}
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows) if rows else ([],) * len(schema), schema.types)], schema=schema)
+
+
+_BRANCHES = pa.schema([("grp", pa.string()), ("path", pa.string()), ("n_items", pa.int64())])
 
-    def __init__(self, depth: int = DEPTH, similarity: float = 1.0):
-        self.depth, self.similarity, self.leaves, self.size = depth, similarity, {}, 0
-
-    def _path(self, group: str, tokens: list[str]) -> tuple:
-        head = [_SLOT if "0" in t else t for t in tokens[: self.depth - 2]]
-        return (group, len(tokens), *head)
-
-    def add(self, group: str, masked: str, item: int) -> str:
-        """Count the item for the line's template, once per template; give the template."""
-        tokens = masked.split(" ")
-        leaf = self.leaves.setdefault(self._path(group, tokens), {})
-        key = masked
-        if self.similarity < 1 and masked not in leaf:
-            for old in leaf:
-                have = old.split(" ")
-                if sum(a == b for a, b in zip(have, tokens)) >= self.similarity * len(tokens):
-                    new = " ".join(a if a == b else _SLOT for a, b in zip(have, tokens))
-                    if new != old:
-                        entry = leaf.pop(old)
-                        if new in leaf:
-                            leaf[new][0] += entry[0]
-                            self.size -= 1
-                        else:
-                            leaf[new] = entry
-                    key = new
-                    break
-        entry = leaf.get(key)
-        if entry is None:
-            leaf[key] = [1, item]
-            self.size += 1
-        elif entry[1] != item:
-            entry[0] += 1
-            entry[1] = item
-        return key
-
-    def drain(self) -> Iterator[tuple[str, str, int]]:
-        for path, leaf in self.leaves.items():
-            for template, (n, _) in leaf.items():
-                yield path[0], template, n
-        self.leaves, self.size = {}, 0
-
-
-_COUNTS = pa.schema([("grp", pa.string()), ("template_hash", pa.int64()), ("n_items", pa.int64())])
-
-
-def _parse(depth: int, min_letters: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit() -> pa.RecordBatch:
-            rows = [(g, template_hash(t), n) for g, t, n in tree.drain()]
-            return pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows) if rows else ([], [], []), _COUNTS.types)], schema=_COUNTS)
 
-        tree, serial = TokenTree(depth), 0
+def _grow(depth: int, min_letters: int):
+    """(grp, path, n_items) of a task's tree; a null path counts the group's items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, paths, items, serial = TokenTree(), {}, {}, 0
         for b in batches:
             for grp, text in zip(b.column("grp").to_pylist(), b.column("text").to_pylist()):
                 serial += 1
+                items[grp] = items.get(grp, 0) + 1
                 for line in text.split("\n"):
                     if len(line) >= min_letters:
-                        masked = mask_line(line)
-                        if enough_letters(masked, min_letters):
-                            tree.add(grp, masked, serial)
-                if tree.size >= MAX_TEMPLATES:
-                    yield emit()
-        yield emit()
+                        tokens = line.split()
+                        raw = (len(tokens), *tokens[:depth])
+                        path = paths.get(raw)
+                        if path is None:
+                            path = paths[raw] = path_of(tokens, depth)
+                        tree.add((grp, path), serial)
+                if len(tree.leaves) >= MAX_TEMPLATES:
+                    yield _batch(list(tree.drain()), _BRANCHES)
+                    paths = {}
+        yield _batch([*tree.drain(), *((g, None, n) for g, n in items.items())], _BRANCHES)
+
+    return run
+
+
+class Known:
+    """What is kept of the merged tree in one group: path hashes, and the template hashes below them."""
+
+    def __init__(self, hashes: Iterable[int] | None, depth: int = DEPTH, min_letters: int = MIN_LETTERS):
+        self.hashes, self.depth, self.min_letters = frozenset(hashes or ()), depth, min_letters
+        self.paths: dict[tuple, bool] = {}
+
+    def masked(self, line: str) -> str | None:
+        """The masked line, if its path is kept and it has enough letters."""
+        if len(line) < self.min_letters or not self.hashes:
+            return None
+        tokens = line.split()
+        raw = (len(tokens), *tokens[: self.depth])
+        kept = self.paths.get(raw)
+        if kept is None:
+            if len(self.paths) >= MAX_TEMPLATES:
+                self.paths.clear()
+            kept = self.paths[raw] = path_hash(path_of(tokens, self.depth)) in self.hashes
+        if not kept:
+            return None
+        masked = _DIGITS.sub("0", " ".join(tokens).lower())
+        return masked if enough_letters(masked, self.min_letters) else None
+
+    def holds(self, line: str) -> bool:
+        masked = self.masked(line)
+        return masked is not None and template_hash(masked) in self.hashes
+
+
+def known_by_group(b: pa.RecordBatch, of: dict, depth: int = DEPTH, min_letters: int = MIN_LETTERS, group: str = "grp") -> list[Known]:
+    """Each row's Known; `of` keeps them by group over the batches of a task."""
+    column, out = b.column("known"), []
+    for i, key in enumerate(b.column(group).to_pylist()):
+        if key not in of:
+            of[key] = Known(column[i].as_py(), depth, min_letters)
+        out.append(of[key])
+    return out
+
+
+_FILLED = pa.schema([
+    ("grp", pa.string()), ("path", pa.string()), ("template_hash", pa.int64()), ("template", pa.string()), ("n_items", pa.int64()),
+    ("origin", pa.string()), ("item_grp", pa.string()), ("item_id", pa.int64()), ("line_nos", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())),
+])
+_FILLED_DDL = "grp string, path string, template_hash bigint, template string, n_items bigint, origin string, item_grp string, item_id bigint, line_nos array<bigint>, hashes array<bigint>"
+
+
+def _fill(depth: int, min_letters: int, with_lines: bool):
+    """The task's tree below the kept paths: (grp, path, template_hash, template, n_items); with_lines also each item's lines in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, of, serial = TokenTree(), {}, 0
+
+        def emit(lines: list[tuple]) -> pa.RecordBatch:
+            counts = [(g, path_of(m.split(" "), depth), template_hash(m), m, n) + (None,) * 5 for g, m, n in tree.drain()]
+            return _batch(counts + [(None,) * 5 + x for x in lines], _FILLED)
+
+        for b in batches:
+            lines = []
+            for origin, grp, item, text, known in zip(*(b.column(k).to_pylist() for k in ("origin", "grp", "item_id", "text")), known_by_group(b, of, depth, min_letters)):
+                serial += 1
+                numbers, hashes = [], []
+                for k, line in enumerate(text.split("\n"), 1):
+                    masked = known.masked(line)
+                    if masked is not None:
+                        tree.add((grp, masked), serial)
+                        if with_lines:
+                            numbers.append(k)
+                            hashes.append(template_hash(masked))
+                if numbers:
+                    lines.append((origin, grp.split("\x1f")[1], item, numbers, hashes))
+            yield emit(lines) if lines or len(tree.leaves) >= MAX_TEMPLATES else _batch([], _FILLED)
+        yield emit([])
 
     return run
 
@@ -174,75 +242,86 @@ def description_items(book_json: DataFrame) -> DataFrame:
     return rows.mapInArrow(_descriptions, "origin string, grp string, item_id bigint, text string")
 
 
+def _mine(items: DataFrame, min_letters: int, min_items: int, min_percent: float, depth: int, with_lines: bool) -> tuple[DataFrame, DataFrame]:
+    """The templates that cover enough items, and the rows of _fill from which they were merged."""
+    joint = F.concat_ws("\x1f", "origin", "grp").alias("grp")
+    items = items.where(F.col("text").isNotNull())
+    grown = items.select(joint, "text").mapInArrow(_grow(depth, min_letters), "grp string, path string, n_items bigint")
+    merged = grown.groupBy("grp", "path").agg(F.sum("n_items").alias("n_items")).where(F.col("path").isNull() | (F.col("n_items") >= min_items))
+    merged = cut(merged, "tree")
+    totals = merged.where("path IS NULL").select("grp", F.col("n_items").alias("n_group"))
+    enough = F.col("n_items") * 100 >= F.lit(min_percent) * F.col("n_group")
+    kept = merged.where("path IS NOT NULL").join(totals, "grp").where(enough)
+    known = cut(kept.groupBy("grp").agg(F.collect_list(F.xxhash64("path")).alias("known")), "known")
+    texts = join_checked(items.select(joint, "origin", "item_id", "text"), known, ["grp"], "inner")
+    filled = texts.select("grp", "origin", "item_id", "text", "known").mapInArrow(_fill(depth, min_letters, with_lines), _FILLED_DDL)
+    if with_lines:
+        filled = cut(filled, "filled")
+    counts = filled.where("grp IS NOT NULL").groupBy("grp", "path", "template_hash").agg(F.sum("n_items").alias("n_items"), F.max("template").alias("template"))
+    counts = counts.where(F.col("n_items") >= min_items).join(totals, "grp").where(enough)
+    parts = F.split("grp", "\x1f")
+    return cut(counts.select(parts[0].alias("origin"), parts[1].alias("grp"), "path", "template_hash", "template", "n_items", "n_group"), "templates"), filled
+
+
 def mine_templates(items: DataFrame, min_letters: int = MIN_LETTERS, min_items: int = MIN_ITEMS, min_percent: float = MIN_PERCENT, depth: int = DEPTH) -> DataFrame:
-    """(origin, grp, template_hash, n_items, n_group) of the templates that stand in enough items of their group.
+    """(origin, grp, path, template_hash, template, n_items, n_group) of the templates that stand in enough items of their group.
 
     Items have origin, grp, item_id and text; the origin is part of the group. Null texts are no items;
     empty ones count as items without lines. Few rows: at most lines per item / min_percent in a group.
     """
-    items = items.where(F.col("text").isNotNull())
-    keyed = items.select(F.concat_ws("\x1f", "origin", "grp").alias("grp"), "text")
-    counts = keyed.mapInArrow(_parse(depth, min_letters), "grp string, template_hash bigint, n_items bigint")
-    merged = counts.groupBy("grp", "template_hash").agg(F.sum("n_items").alias("n_items")).where(F.col("n_items") >= min_items)
-    totals = items.groupBy(F.concat_ws("\x1f", "origin", "grp").alias("grp")).agg(F.count("*").alias("n_group"))
-    kept = merged.join(totals, "grp").where(F.col("n_items") * 100 >= F.lit(min_percent) * F.col("n_group"))
-    parts = F.split("grp", "\x1f")
-    return cut(kept.select(parts[0].alias("origin"), parts[1].alias("grp"), "template_hash", "n_items", "n_group"), "templates")
+    return _mine(items, min_letters, min_items, min_percent, depth, with_lines=False)[0]
 
 
 def with_templates(items: DataFrame, templates: DataFrame) -> DataFrame:
-    """Items with the template hashes of their group as the array column `known`."""
-    known = cut(templates.groupBy("origin", "grp").agg(F.collect_list("template_hash").alias("known")), "known")
+    """Items with what is kept of the merged tree in their group, path and template hashes, as the array column `known`."""
+    hashes = templates.select("origin", "grp", F.explode(F.array(F.xxhash64("path"), "template_hash")).alias("h"))
+    known = cut(hashes.groupBy("origin", "grp").agg(F.collect_set("h").alias("known")), "known")
     return join_checked(items, known, ["origin", "grp"], "left")
 
 
-def split_lines(text: str, known: frozenset[int] | set[int], min_letters: int = MIN_LETTERS) -> tuple[list[str], list[int]]:
+def split_lines(text: str, known: Known) -> tuple[list[str], list[int]]:
     """The lines to keep, and the numbers (from 1) of the lines whose template is known."""
     kept, gone = [], []
     for k, line in enumerate(text.split("\n"), 1):
-        if known and len(line) >= min_letters:
-            masked = mask_line(line)
-            if template_hash(masked) in known and enough_letters(masked, min_letters):
-                gone.append(k)
-                continue
-        kept.append(line)
+        if known.holds(line):
+            gone.append(k)
+        else:
+            kept.append(line)
     return kept, gone
 
 
 _REMOVED = pa.schema([("origin", pa.string()), ("grp", pa.string()), ("item_id", pa.int64()), ("line_nos", pa.list_(pa.int64())), ("own_text", pa.string())])
 
 
-def _remove(min_letters: int, with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, sets = [], {}
-            for origin, grp, item, text, known in zip(*(b.column(k).to_pylist() for k in ("origin", "grp", "item_id", "text", "known"))):
-                if (origin, grp) not in sets:
-                    sets[origin, grp] = frozenset(known or ())
-                kept, gone = split_lines(text, sets[origin, grp], min_letters)
-                if gone or with_text:
-                    rows.append((origin, grp, item, gone, "\n".join(kept) if with_text else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows) if rows else ([],) * 5, _REMOVED.types)], schema=_REMOVED)
-
-    return run
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of: dict = {}
+    for b in batches:
+        rows = []
+        for origin, grp, item, text, known in zip(*(b.column(k).to_pylist() for k in ("origin", "grp", "item_id", "text")), known_by_group(b, of, group="key")):
+            kept, gone = split_lines(text, known)
+            rows.append((origin, grp, item, gone, "\n".join(kept)))
+        yield _batch(rows, _REMOVED)
 
 
-def remove_repeated(items: DataFrame, templates: DataFrame, with_text: bool = True, min_letters: int = MIN_LETTERS) -> DataFrame:
+def remove_repeated(items: DataFrame, templates: DataFrame) -> DataFrame:
     """One row per item with non-null text: numbers of the repeated lines and the text without them.
 
-    With with_text=False only items that have such lines. Repeated rows give repeated rows; columns
-    beside origin, grp, item_id and text are not carried.
+    Repeated rows give repeated rows; columns beside origin, grp, item_id and text are not carried.
     """
     rows = with_templates(items.where(F.col("text").isNotNull()), templates)
-    return rows.select("origin", "grp", "item_id", "text", "known").mapInArrow(
-        _remove(min_letters, with_text), "origin string, grp string, item_id bigint, line_nos array<bigint>, own_text string"
-    )
+    rows = rows.select("origin", "grp", "item_id", "text", "known", F.concat_ws("\x1f", "origin", "grp").alias("key"))
+    return rows.mapInArrow(_remove, "origin string, grp string, item_id bigint, line_nos array<bigint>, own_text string")
+
+
+def all_items(docs: DataFrame, book_json: DataFrame) -> DataFrame:
+    """The items of both tables; the descriptions are written once, as their bodies are costly to parse."""
+    return document_items(docs).unionByName(cut(description_items(book_json), "descriptions"))
 
 
 def find_repeated_lines(docs: DataFrame, book_json: DataFrame) -> DataFrame:
     """(origin, item_id, line_no) of every line to be removed from documents and book descriptions."""
-    parts = []
-    for items in (document_items(docs), description_items(book_json)):
-        removed = remove_repeated(items, mine_templates(items), with_text=False)
-        parts.append(removed.select("origin", "item_id", F.explode("line_nos").alias("line_no")))
-    return parts[0].unionByName(parts[1]).distinct()
+    templates, filled = _mine(all_items(docs, book_json), MIN_LETTERS, MIN_ITEMS, MIN_PERCENT, DEPTH, with_lines=True)
+    lines = filled.where("line_nos IS NOT NULL").select("origin", F.col("item_grp").alias("grp"), "item_id", F.explode(F.arrays_zip("line_nos", "hashes")).alias("l"))
+    lines = lines.select("origin", "grp", "item_id", F.col("l.line_nos").alias("line_no"), F.col("l.hashes").alias("template_hash"))
+    got = join_checked(lines, templates, ["origin", "grp", "template_hash"], "left_semi")
+    return got.select("origin", "item_id", "line_no").distinct()

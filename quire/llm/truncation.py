@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.markup import render
-from quire.llm.sitelines import document_items, enough_letters, mask_line, mine_templates, split_lines, template_hash, with_templates
+from quire.llm.sitelines import document_items, enough_letters, known_by_group, mask_line, mine_templates, split_lines, template_hash, with_templates
 from quire.plans.runtime import cut, join_checked
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -163,18 +163,16 @@ class Counts:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = Counts()
+    counts, of = Counts(), {}
 
     def emit(docs: list[tuple], words: list[tuple]) -> pa.RecordBatch:
         rows = [(None,) * 6 + d for d in docs] + [w + (None,) * 8 for w in words]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 14, _PROFILE.types)], schema=_PROFILE)
 
     for b in (x.slice(k, SLICE) for x in batches for k in range(0, x.num_rows, SLICE)):
-        docs, sets, flat, sizes, last = [], {}, [], [], []
-        for item, grp, text, known in zip(*(b.column(k).to_pylist() for k in ("item_id", "grp", "text", "known"))):
-            if grp not in sets:
-                sets[grp] = frozenset(known or ())
-            lines = [x for x in split_lines(text, sets[grp])[0] if x and not x.isspace()]
+        docs, flat, sizes, last = [], [], [], []
+        for item, grp, text, known in zip(*(b.column(k).to_pylist() for k in ("item_id", "grp", "text")), known_by_group(b, of)):
+            lines = [x for x in split_lines(text, known)[0] if x and not x.isspace()]
             if not lines:
                 continue
             before = len(flat)
@@ -294,10 +292,11 @@ _LINES = pa.schema([("item_id", pa.int64()), ("tail", pa.list_(pa.string())), ("
 
 
 def _all_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of: dict = {}
     for b in batches:
         rows = []
-        for item, text, known in zip(*(b.column(k).to_pylist() for k in ("item_id", "text", "known"))):
-            lines = [x for x in split_lines(text, frozenset(known or ()))[0] if x and not x.isspace()]
+        for item, text, known in zip(*(b.column(k).to_pylist() for k in ("item_id", "text")), known_by_group(b, of)):
+            lines = [x for x in split_lines(text, known)[0] if x and not x.isspace()]
             rows.append((item, lines, line_hashes(lines), False))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 4, _LINES.types)], schema=_LINES)
 
@@ -351,10 +350,11 @@ _OWN = pa.schema([("digest", pa.int64()), ("own", pa.string()), ("n_shingles", p
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of: dict = {}
     for b in batches:
         rows = []
-        for text, known in zip(*(b.column(k).to_pylist() for k in ("text", "known"))):
-            lines = split_lines(text, frozenset(known or ()))[0]
+        for text, known in zip(b.column("text").to_pylist(), known_by_group(b, of)):
+            lines = split_lines(text, known)[0]
             own = "\n".join(lines).rstrip()
             rows.append((digest_of([x for x in lines if x and not x.isspace()]), own, len(shingle_hashes(words_of(own)))))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), _OWN.types)], schema=_OWN)
@@ -378,7 +378,7 @@ def _copies(base: DataFrame, docs: DataFrame, open_: DataFrame) -> DataFrame:
     parts = cut(parts, "parts")
     # the texts of these buckets, each once
     wanted = docs.join(held.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("item_id").alias("item_id")).select("item_id").distinct()
-    texts = base.join(wanted, "item_id", "left_semi").select("text", "known").mapInArrow(_own_text, "digest bigint, own string, n_shingles bigint")
+    texts = base.join(wanted, "item_id", "left_semi").select("grp", "text", "known").mapInArrow(_own_text, "digest bigint, own string, n_shingles bigint")
     texts = cut(texts.dropDuplicates(["digest"]), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -432,7 +432,7 @@ def judge(docs: DataFrame, explain: bool = False) -> DataFrame:
     tails = closings(rows)
     further = tails.where("kind = 'further'").select("item_id").distinct()
     if not further.isEmpty():  # nothing but other sites' lines so far: all lines of these texts
-        lines = base.join(further, "item_id", "left_semi").select("item_id", "text", "known").mapInArrow(_all_lines, "item_id bigint, tail array<string>, tail_hashes array<bigint>, more boolean")
+        lines = base.join(further, "item_id", "left_semi").select("item_id", "grp", "text", "known").mapInArrow(_all_lines, "item_id bigint, tail array<string>, tail_hashes array<bigint>, more boolean")
         tails = tails.join(further, "item_id", "left_anti").union(closings(cut(lines, "lines")))
     open_ = tails.where("kind <> 'whole'")
     # how texts without a final mark begin their last line, against how prose lines begin

@@ -1,7 +1,7 @@
 import re
 from collections import defaultdict
 
-from quire.llm.sitelines import TokenTree, description_items, document_items, find_repeated_lines, mask_line, mine_templates, remove_repeated
+from quire.llm.sitelines import Known, TokenTree, description_items, document_items, find_repeated_lines, mask_line, mine_templates, path_hash, path_of, remove_repeated, template_hash
 from quire.plans.runtime import read_table
 
 DDL = "doc_id long, text string, source string"
@@ -34,15 +34,35 @@ def test_masking():
     assert mask_line(" A\u00a0 B\t12 34 ") == "a b 0 0"
 
 
-def test_tree_wildcards():
-    tree = TokenTree(similarity=0.7)
-    for i, name in enumerate(["anna", "bert", "carl"]):
-        tree.add("g", mask_line(f"ein beitrag von {name} zum lesen"), i)
-    assert list(tree.drain()) == [("g", "ein beitrag von <*> zum lesen", 3)]
+def test_paths_and_counts():
+    assert path_of("Seite 12 von Anna".split()) == path_of("seite 7 zu ende".split()) == "4 seite <*>"
+    assert path_of("Seite zwei von".split()) == "3 seite zwei" and path_of(["x"]) == "1 x"
     tree = TokenTree()
-    for i in (1, 2, 2):
-        tree.add("g", mask_line(f"Seite {i} von 30"), i)
-    assert list(tree.drain()) == [("g", "seite 0 von 0", 2)]
+    for item in (1, 2, 2):
+        tree.add(("g", "4 seite <*>"), item)
+    assert list(tree.drain()) == [("g", "4 seite <*>", 2)] and list(tree.drain()) == []
+
+
+def test_path_hash_is_sparks(spark):
+    paths = ["4 seite <*>", "1 ä", "9 grüße […]"]
+    rows = spark.createDataFrame([(x,) for x in paths], "p string").selectExpr("xxhash64(p)").collect()
+    assert [r[0] for r in rows] == list(map(path_hash, paths))
+
+
+def test_only_kept_paths_are_looked_into():
+    line = LINE.format(3)
+    full, path = {path_hash(path_of(line.split())), template_hash(mask_line(line))}, {path_hash(path_of(line.split()))}
+    assert Known(full).holds(line) and not Known(path).holds(line) and not Known(full - path).holds(line)
+    assert Known(path).masked(line) == mask_line(line) and Known(path).masked("Diese Leseprobe gibt es hier") is None and Known(None).masked(line) is None
+
+
+def test_slots_cover_what_only_together_is_frequent(spark):
+    # one path, covering all items, but no line of it often enough: nothing is removed
+    df = spark.createDataFrame([(i, f"Diese Leseprobe stammt von {name}a{name}", "s") for i, name in enumerate("abcdefghijklmnop")], DDL)
+    assert mine_templates(document_items(df)).count() == 0
+    more = spark.createDataFrame([(i, t, "s") for i, t in enumerate(["Diese Leseprobe stammt von anna", "Diese Leseprobe stammt von bert"] * 5 + ["Diese Leseprobe stammt von carl"])], DDL)
+    got = mine_templates(document_items(more)).collect()
+    assert {(r["template"], r["n_items"], r["path"], r["n_group"]) for r in got} == {(f"diese leseprobe stammt von {n}", 5, "5 diese leseprobe", 11) for n in ("anna", "bert")}
 
 
 def test_thresholds_and_spellings(spark):
