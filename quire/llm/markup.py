@@ -1,24 +1,26 @@
 """Markup residue in texts: template deduction over sites, and plain text with its structure kept.
 
-The method is equivalence-class template deduction. Each document is scanned once for tokens of
-HTML, XML/TEI, Markdown, MediaWiki and LaTeX. Tokens of a site with the same occurrence vector
-(how often they stand in which document) form an equivalence class; vectors are compared by an
-order-free 64-bit sum, so no vector is ever collected. A class is valid if its openers and closers
-pair up in it; classes are nested by the token that most often encloses them. The template of a
-site says of every token whether it is markup; what lies between markup tokens are the slots,
-which become the plain text.
-
-Strong tokens (a tag, an entity, ``{{x}}``) are markup wherever they stand. Weak tokens (list
-bullets, a bar at line start, a path with backslashes) also occur in prose; they are
-markup only where the template nests them with strong tokens, i.e. where most documents of the
-site (of all sites, if the site has too few) that hold the token hold strong ones of the same family.
+The method is equivalence-class template deduction. Each document is scanned once for tokens of HTML, XML/TEI,
+Markdown, MediaWiki and LaTeX. A token's occurrences are told apart by role: a pair (its opening and its closing
+half are both there), a remnant (one half is missing) or a single sign (a list bullet, a bar at line start), which
+also occurs in prose. Tokens of a site with the same occurrence vector (how often they stand in which document)
+form an equivalence class; vectors are compared by an order-free 64-bit sum, so none is ever collected. A class is
+valid if it holds pairs that are properly nested in most of its documents. Valid classes, each placed under the
+class of its usual enclosing token, are the site's template; the template of all sites decides where a site has too
+few documents. What is in no valid class belongs to the template
+
+* as a remnant, if pairs of the same token are valid,
+* as a single sign, if most documents of the site that hold it hold valid pairs of the same language,
+
+and is prose otherwise. A document has markup if it holds tokens of its site's template. What lies between these
+tokens are the slots, which become the plain text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 from quire.functions.text import source_key
 from quire.plans.runtime import cut, join_checked
 
-#: A site's own template decides about a weak token seen in at least so many of its documents.
+#: A site's own template decides about a class or a single sign seen in at least so many of its documents.
 MIN_SUPPORT = 5
-#: Share of a weak token's documents that must hold strong tokens of its family.
+#: Share of a single sign's documents that must hold valid pairs of its language.
 MIN_NESTED = 0.5
 
 # What may start a construct; everything else is skipped by one C-level search.
@@ -37,7 +39,7 @@ _SIGN = re.compile(r"[<&`\[\]{}$*_~'\\|=#]")
 _LINE = re.compile(r"^ {0,3}(?:[-+*] +(?=[^\s*\-])|\d{1,3}\. +(?=\S)|> +(?=\S)|-{3,}[ \t]*$)", re.M)
 _MAY_LINE = re.compile(r"(?:^|\n) {0,3}[-+*>\d]")
 _TAG = re.compile(r"</?([A-Za-z][\w:.\-]*)(?:\s[^<>]*)?/?>")
-_CUT_TAG = re.compile(r"</?[A-Za-z][\w:.\-]*(?:\s[^<>\n]*)?\Z")
+_CUT_TAG = re.compile(r"</?([A-Za-z][\w:.\-]*)(?:\s[^<>\n]*)?\Z")
 _COMMENT = re.compile(r"<!--(?:.*?-->)?", re.S)
 _DECL = re.compile(r"<[!?][A-Za-z\[][^<>]*>")
 _DROP = re.compile(r"<(style|script)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -127,8 +129,10 @@ def scan(text: str) -> Iterator[tuple[str, str, bool, int, int]]:
             elif k := _TAG.match(text, i):
                 closing = "/" if text[i + 1] == "/" else ""
                 found = (f"<{closing}{k[1].lower()}>", "html", True, i, k.end())
-            elif k := _DECL.match(text, i) or _CUT_TAG.match(text, i):
-                found = ("<cut>", "html", True, i, k.end())
+            elif k := _DECL.match(text, i):
+                found = ("<!>", "html", True, i, k.end())
+            elif k := _CUT_TAG.match(text, i):
+                found = (f"<{k[1].lower()}>", "html", True, i, k.end())
         elif c == "&":
             if (k := _ENT.match(text, i)) and _known_entity(k[1]):
                 found = (f"&{k[1]};", "html", True, i, k.end())
@@ -223,66 +227,139 @@ def scan(text: str) -> Iterator[tuple[str, str, bool, int, int]]:
         pos = max(found[4], i + 1)
 
 
+#: Elements that are always empty, of HTML and of TEI.
+_EMPTY = frozenset("<br> <hr> <img> <input> <meta> <link> <col> <lb> <pb> <cb> <gb> <milestone>".split())
 _PARTNER = {"[[": "]]", "{{": "}}", "{|": "|}", "\\(": "\\)", "\\[": "\\]"}
+_OPENER = {v: k for k, v in _PARTNER.items()} | {"]()": "[]()"}
+#: Tokens whose two halves are alike.
+_ALIKE = frozenset(["''", "'''", "''''", "'''''", "```"])
+_BRACE = re.compile(r"[{}]")
 
 
-def _opens(token: str) -> str | None:
-    """The closer of an opening token."""
-    if token.startswith("</"):
+def _closer(token: str) -> str | None:
+    """The closing half of an opening token."""
+    if token.startswith("</") or token == "<!>":
         return None
-    if token.startswith("<") and token not in ("<cut>", "<!-- -->"):
+    if token.startswith("<") and token not in ("<!-- -->", *_EMPTY):
         return f"</{token[1:]}"
     if token.startswith("\\begin{"):
         return f"\\end{token[6:]}"
-    return _PARTNER.get(token)
+    return token if token in _ALIKE else _PARTNER.get(token)
+
+
+def pair_of(token: str) -> str:
+    """The token under which the pair of a half is known: that of the opening half."""
+    if token.startswith("</"):
+        return f"<{token[2:]}"
+    if token.startswith("\\end{"):
+        return f"\\begin{token[4:]}"
+    return _OPENER.get(token, token)
+
+
+def _whole(text: str, token: str, start: int, end: int, braces: Callable[[], set[int]]) -> bool:
+    """Whether one token holds both halves of its construct."""
+    if token.startswith("<"):
+        return token in _EMPTY or token == "<!>" or text.endswith(("/>", "-->"), start, end) or token in ("<style>", "<script>") and text.startswith("</", text.rfind("<", start, end))
+    if token[0] in "*_" or token == "~~":
+        return end - start > len(token)
+    if token in ("[[", "{{"):
+        return end - start > 2
+    if token.startswith("\\") and token.endswith("{"):
+        return end - 1 in braces()
+    return token not in ("]()", "]]", "}}", "|}", "{|", "\\(", "\\)", "\\[", "\\]") and token not in _ALIKE and not token.startswith(("\\begin{", "\\end{"))
+
+
+PAIR, REMNANT, SINGLE = "pair", "remnant", "single"
 
 
-def _profile(text: str) -> list[tuple[str, str, bool, int, str | None, bool]]:
-    """(token, family, strong, count, most frequent enclosing token, pairs up) of one document."""
-    counts: dict[str, list] = {}
-    stack: list[str] = []
-    families = [0, 0, 0, 0]
-    for token, family, strong, _, _ in scan(text):
-        e = counts.get(token)
+def constructs(text: str) -> list[list]:
+    """[token, role, family, start, end, enclosing token, crossed] of every possible construct, in document order.
+
+    A closing half pairs with the nearest open one of its kind and ends all that was opened since; a pair is crossed
+    if something opened within it is closed only after it. Both halves of a pair have the role pair.
+    """
+    closed: set[int] | None = None
+
+    def braces() -> set[int]:
+        nonlocal closed
+        if closed is None:
+            closed, open_ = set(), []
+            for m in _BRACE.finditer(text):
+                if m[0] == "{":
+                    open_.append(m.start())
+                elif open_:
+                    closed.add(open_.pop())
+        return closed
+
+    out: list[list] = []
+    stack: list[tuple[int, str]] = []  # open halves in order: place in out, closing half
+    waiting: dict[str, list[int]] = {}  # places in the stack by closing half
+    left_open: dict[str, tuple[list, list]] = {}  # closing halves still missing when the pair around them ended
+    for token, family, strong, start, end in scan(text):
+        row = [token, PAIR, family, start, end, out[stack[-1][0]][0] if stack else None, False]
+        if not strong:
+            row[1] = SINGLE
+        elif not _whole(text, token, start, end, braces):
+            own = waiting.get(token)
+            if own:
+                place = own[-1]
+                opened = out[stack[place][0]]
+                for _, missing in stack[place + 1 :]:
+                    left_open[missing] = opened, row
+                for _, missing in stack[place:]:
+                    waiting[missing].pop()
+                del stack[place:]
+                opened[1], row[5] = PAIR, opened[5]
+            else:
+                row[1] = REMNANT
+                if token in left_open:
+                    for half in left_open.pop(token):
+                        half[6] = True
+                closer = _closer(token)
+                if closer:
+                    waiting.setdefault(closer, []).append(len(stack))
+                    stack.append((len(out), closer))
+        out.append(row)
+    return out
+
+
+def _profile(text: str) -> list[tuple[str, str, str, int, str | None, bool, bool]]:
+    """(token, role, family, count, most frequent enclosing token, crossed, nested) of one document; nested: other
+    tokens are pairs of the same language there."""
+    counts: dict[tuple[str, str], list] = {}
+    pairs: dict[str, set[str]] = {}
+    for token, role, family, _, _, parent, crossed in constructs(text):
+        e = counts.get((token, role))
         if e is None:
-            e = counts[token] = [family, strong, 0, {}]
-        e[1] = e[1] or strong
-        e[2] += 1
-        families[_FAMILY[family]] += strong
-        closer = _opens(token)
-        if token.startswith(("</", "\\end{")) or token in ("]]", "}}", "|}", "\\)", "\\]"):
-            for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1):
-                if _opens(stack[k]) == token:
-                    del stack[k:]
-                    break
-        parent = stack[-1] if stack else None
-        e[3][parent] = e[3].get(parent, 0) + 1
-        if closer:
-            stack.append(token)
+            e = counts[token, role] = [family, 0, {}, False]
+        e[1] += 1
+        e[2][parent] = e[2].get(parent, 0) + 1
+        e[3] |= crossed
+        if role == PAIR:
+            pairs.setdefault(family, set()).add(pair_of(token))
     out = []
-    for token, (family, strong, n, parents) in counts.items():
-        closer = _opens(token)
-        paired = closer is None or (closer in counts and counts[closer][2] == n)
-        own = n if strong else 0
-        nested = families[_FAMILY[family]] - own > 0 or (family == "md" and families[_FAMILY["wiki"]] > 0) or (family == "wiki" and token.startswith("|") and families[_FAMILY["md"]] > 0)
+    for (token, role), (family, n, parents, crossed) in counts.items():
+        # Markdown and wiki texts share their list signs, and their bars
+        near = (family, "wiki") if family == "md" else (family, "md") if token.startswith("|") else (family,)
+        nested = any(pairs.get(f, set()) - {pair_of(token)} for f in near)
         parent = max(parents, key=lambda p: (parents[p], p or ""))
-        out.append((token, family, strong, n, parent, paired, strong or nested))
+        out.append((token, role, family, n, parent, crossed, nested))
     return out
 
 
 _TOKENS = pa.schema([
-    ("site", pa.string()), ("token", pa.string()), ("family", pa.string()), ("strong", pa.bool_()), ("doc_id", pa.int64()),
-    ("n", pa.int64()), ("parent", pa.string()), ("paired", pa.bool_()), ("nested", pa.bool_()),
+    ("site", pa.string()), ("token", pa.string()), ("role", pa.string()), ("pair", pa.string()), ("family", pa.string()), ("doc_id", pa.int64()),
+    ("n", pa.int64()), ("parent", pa.string()), ("crossed", pa.bool_()), ("nested", pa.bool_()),
 ])
-_TOKENS_DDL = "site string, token string, family string, strong boolean, doc_id bigint, n bigint, parent string, paired boolean, nested boolean"
+_TOKENS_DDL = "site string, token string, role string, pair string, family string, doc_id bigint, n bigint, parent string, crossed boolean, nested boolean"
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols: list[list] = [[] for _ in range(9)]
+        cols: list[list] = [[] for _ in range(10)]
         for site, doc, text in zip(*(b.column(k).to_pylist() for k in ("site", "doc_id", "text"))):
-            for token, family, strong, n, parent, paired, nested in _profile(text):
-                for col, v in zip(cols, (site, token, family, strong, doc, n, parent, paired, nested)):
+            for token, role, family, n, parent, crossed, nested in _profile(text):
+                for col, v in zip(cols, (site, token, role, pair_of(token), family, doc, n, parent, crossed, nested)):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TOKENS.types)], schema=_TOKENS)
 
@@ -295,40 +372,60 @@ def _docs(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     ).where(F.col("text").isNotNull() & (F.col("text") != ""))
 
 
-def deduce_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per site and token: its equivalence class, validity, place in the template and role.
+def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document, token and role; written, as the template and the rows found are both made from it."""
+    return cut(_docs(docs, id_col, text_col, source_col).mapInArrow(_token_rows, _TOKENS_DDL), "tokens")
 
-    Columns: site, token, family, class_id (the occurrence vector's sum), class_size, support
-    (documents), occurrences, valid, parent, parent_class, is_markup. A null source is the site ''.
-    Null and empty texts have no tokens. An empty table gives an empty template.
-    """
-    rows = _docs(docs, id_col, text_col, source_col).mapInArrow(_token_rows, _TOKENS_DDL)
-    tokens = rows.groupBy("site", "token").agg(
+
+def template_of(rows: DataFrame) -> DataFrame:
+    """deduce_templates for the rows of token_rows."""
+    tokens = rows.groupBy("site", "token", "role").agg(
         F.first("family").alias("family"),
-        F.bool_or("strong").alias("strong"),
+        F.first("pair").alias("pair"),
         F.sum(F.xxhash64("doc_id", "n").cast("decimal(20,0)")).alias("vector"),
         F.count("*").alias("support"),
         F.sum("n").alias("occurrences"),
-        F.sum(F.col("paired").cast("long")).alias("n_paired"),
-        F.sum(F.col("nested").cast("long")).alias("n_nested"),
+        F.count_if(F.col("crossed")).alias("n_crossed"),
+        F.count_if(F.col("nested")).alias("n_nested"),
         F.mode("parent").alias("parent"),
     )
-    tokens = cut(tokens, "tokens")
-    overall = tokens.groupBy("token").agg((F.sum("n_nested") / F.sum("support")).alias("nested_overall"))
+    tokens = cut(tokens, "roles")
+    is_pair = F.col("role") == PAIR
     classes = tokens.groupBy("site", "vector").agg(
         F.count("*").alias("class_size"),
-        F.expr("bool_and(n_paired * 2 > support)").alias("valid"),
+        (F.bool_or(is_pair) & (F.sum(F.when(is_pair, F.col("n_crossed")).otherwise(0)) * 2 < F.sum(F.when(is_pair, F.col("support")).otherwise(0)))).alias("valid"),
     )
-    joined = tokens.join(classes, ["site", "vector"]).join(overall, "token")
-    parents = tokens.select("site", F.col("token").alias("parent"), F.col("vector").cast("string").alias("parent_class"))
+    placed = cut(tokens.join(classes, ["site", "vector"]), "placed")
+    # the template of all sites: a pair is valid where its documents mostly stand in valid classes
+    everywhere = placed.where(is_pair).groupBy("pair").agg((F.sum(F.when(F.col("valid"), F.col("support")).otherwise(0)) * 2 >= F.sum("support")).alias("pair_valid"))
+    overall = tokens.where(F.col("role") == SINGLE).groupBy("token").agg((F.sum("n_nested") / F.sum("support")).alias("nested_overall"))
+    joined = placed.join(everywhere, "pair", "left").join(overall, "token", "left")
+    parents = tokens.where(is_pair).select("site", F.col("token").alias("parent"), F.col("vector").cast("string").alias("parent_class"))
     joined = joined.join(parents, ["site", "parent"], "left")
-    nested = F.when(F.col("support") >= MIN_SUPPORT, F.col("n_nested") / F.col("support")).otherwise(F.col("nested_overall"))
+    enough = F.col("support") >= MIN_SUPPORT
+    known_pair = F.coalesce("pair_valid", F.lit(False))
+    nested = F.when(enough, F.col("n_nested") / F.col("support")).otherwise(F.col("nested_overall"))
+    is_markup = (
+        F.when(is_pair, F.when(enough, F.col("valid")).otherwise(known_pair))
+        .when(F.col("role") == REMNANT, F.col("valid") | known_pair)
+        .otherwise(nested >= MIN_NESTED)
+    )
     return joined.select(
-        "site", "token", "family", F.col("vector").cast("string").alias("class_id"), "class_size", "support", "occurrences",
-        "valid", "parent", "parent_class", (F.col("strong") | (nested >= MIN_NESTED)).alias("is_markup"),
+        "site", "token", "role", "family", F.col("vector").cast("string").alias("class_id"), "class_size", "support", "occurrences",
+        "valid", "parent", "parent_class", is_markup.alias("is_markup"),
     )
 
 
+def deduce_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per site, token and role: its equivalence class, validity, place in the template, and whether it is in it.
+
+    Columns: site, token, role, family, class_id (the occurrence vector's sum), class_size, support
+    (documents), occurrences, valid, parent, parent_class, is_markup. A null source is the site ''.
+    Null and empty texts have no tokens. An empty table gives an empty template.
+    """
+    return template_of(token_rows(docs, id_col, text_col, source_col))
+
+
 # ---- slots to plain text -------------------------------------------------------------------
 
 _HEAD = re.compile(r"<(?:h[1-6]|head)\b[^<>]*>(.*?)</(?:h[1-6]|head)\s*>", re.S | re.I)
@@ -371,13 +468,16 @@ def _accent(m: re.Match) -> str:
     return unicodedata.normalize("NFC", m[2] + _MARKS[m[1]])
 
 
-def render(text: str, weak_out: frozenset[str] = frozenset()) -> str:
+def render(text: str, template: frozenset[tuple[str, str]] | None = None) -> str:
     """Plain text of one document: the slots, with headings as '# ', list items as '- ', table
     cells joined by ' | ', code between lines of ``` and formulas between dollar signs.
 
-    weak_out are weak tokens that the site's template calls prose. Text without markup is returned unchanged.
+    template has the (token, role) of the site's markup, None means that every token is; what isn't in it is prose
+    and stays as it is. Text without markup is returned unchanged.
     """
-    tokens = {t for t, _, strong, _, _ in scan(text) if strong or t not in weak_out}
+    found = constructs(text)
+    prose = [] if template is None else [c for c in found if (c[0], c[1]) not in template]
+    tokens = {c[0] for c in found if template is None or (c[0], c[1]) in template}
     if not tokens:
         return text
     first = next(c for c in map(chr, range(0xFDD0, 0xFDEF)) if c not in text and chr(ord(c) + 1) not in text)
@@ -387,6 +487,8 @@ def render(text: str, weak_out: frozenset[str] = frozenset()) -> str:
         kept.append(s)
         return f"{first}{len(kept) - 1}{last}"
 
+    for _, _, _, start, end, _, _ in reversed(prose):
+        text = text[:start] + keep(text[start:end]) + text[end:]
     has = lambda *starts: any(t.startswith(starts) for t in tokens)
     html_, tex = has("<", "&"), has("\\", "{\\", "$")
     md = has("*", "_", "~~", "`", "[]", "]()", "[^]", "#", "===", "|", "- ", "1.", "-", "+", ">")
@@ -464,11 +566,11 @@ def render(text: str, weak_out: frozenset[str] = frozenset()) -> str:
         text = re.sub(r"(?<![\w*])\*{2,3}(?=\w)|(?<![\w_])__(?=\w)|~~(?=\w)", "", text)
         text = re.sub(r"^\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$\n?", "", text, flags=re.M)
         text = re.sub(r"^ {0,3}[-+*] +(?=[^\s*\-])", "- ", text, flags=re.M)
-    if (md or wiki) and ("|" in tokens or "|---|" in tokens or "{|" in tokens) and "|" not in weak_out:
+    if (md or wiki) and ("|" in tokens or "|---|" in tokens or "{|" in tokens):
         text = re.sub(r"^\|[ \t]*(.*?)[ \t]*\|?[ \t]*$", r"\1", text, flags=re.M)
     text = re.sub(r"[ \t]+$", "", re.sub(r"(?<=\S)  +(?=\S)", " ", text), flags=re.M)
     text = re.sub(r"\n{3,}", "\n\n", text)
-    for _ in range(2):
+    while first in text:  # what was kept may hold what was kept before
         text = re.sub(f"{first}(\\d+){last}", lambda m: kept[int(m[1])], text)
     return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
 
@@ -477,35 +579,35 @@ _PLAIN_DDL = "doc_id bigint, site string, n_constructs bigint, families string,
 _PLAIN = pa.schema([("doc_id", pa.int64()), ("site", pa.string()), ("n_constructs", pa.int64()), ("families", pa.string()), ("n_headings", pa.int64()), ("n_items", pa.int64()), ("n_formulas", pa.int64()), ("n_code", pa.int64()), ("plain_text", pa.string())])
 
 
-def _extractor(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = [[] for _ in range(9)]
-            for doc, site, text, out in zip(*(b.column(k).to_pylist() for k in ("doc_id", "site", "text", "prose_tokens"))):
-                weak_out = frozenset(out or ())
-                n, families, kinds = 0, set(), [0, 0, 0, 0]
-                for token, family, strong, _, _ in scan(text):
-                    if not strong and token in weak_out:
-                        continue
-                    n += 1
-                    families.add(family)
-                    if token[0] in "#=" or token[:2] == "<h" and token != "<hi>" or token[:8] in ("\\chapter", "\\section", "\\subsect"):
-                        kinds[0] += 1
-                    elif token in ("<li>", "<item>", "\\item", "-", "*", "+", "1."):
-                        kinds[1] += 1
-                    elif token in ("$", "\\(", "\\[", "<math>", "\\begin{equation}"):
-                        kinds[2] += 1
-                    elif token in ("```", "`", "<pre>", "<source>", "\\begin{verbatim}"):
-                        kinds[3] += 1
-                plain = (render(text, weak_out) if n else text) if with_text else None
-                for col, v in zip(cols, (doc, site, n, ",".join(sorted(families)), *kinds, plain)):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _PLAIN.types)], schema=_PLAIN)
-
-    return run
-
-
-def extract_plain_text(docs: DataFrame, templates: DataFrame | None = None, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    templates: dict = {}
+    for b in batches:
+        cols: list[list] = [[] for _ in range(9)]
+        own = b.column("template")
+        for i, (doc, site, text) in enumerate(zip(*(b.column(k).to_pylist() for k in ("doc_id", "site", "text")))):
+            if site not in templates:
+                templates[site] = frozenset((x["token"], x["role"]) for x in own[i].as_py() or ())
+            template = templates[site]
+            n, families, kinds = 0, set(), [0, 0, 0, 0]
+            for token, role, family, *_ in constructs(text):
+                if (token, role) not in template:
+                    continue
+                n += 1
+                families.add(family)
+                if token[0] in "#=" or token[:2] == "<h" and token != "<hi>" or token[:8] in ("\\chapter", "\\section", "\\subsect"):
+                    kinds[0] += 1
+                elif token in ("<li>", "<item>", "\\item", "-", "*", "+", "1."):
+                    kinds[1] += 1
+                elif token in ("$", "\\(", "\\[", "<math>", "\\begin{equation}"):
+                    kinds[2] += 1
+                elif token in ("```", "`", "<pre>", "<source>", "\\begin{verbatim}"):
+                    kinds[3] += 1
+            for col, v in zip(cols, (doc, site, n, ",".join(sorted(families)), *kinds, render(text, template) if n else text)):
+                col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _PLAIN.types)], schema=_PLAIN)
+
+
+def extract_plain_text(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document with non-empty text: number of markup constructs, families, structure counts, plain text.
 
     Null and empty texts give no row; repeated rows give repeated rows; other columns of the input are
@@ -514,11 +616,13 @@ def extract_plain_text(docs: DataFrame, templates: DataFrame | None = None, with
     base = _docs(docs, id_col, text_col, source_col)
     if templates is None:
         templates = deduce_templates(docs, id_col, text_col, source_col)
-    prose = cut(templates.where(~F.col("is_markup")).groupBy("site").agg(F.collect_set("token").alias("prose_tokens")), "prose")
-    joined = join_checked(base, prose, ["site"], "left")
-    return joined.select("doc_id", "site", "text", "prose_tokens").mapInArrow(_extractor(with_text), _PLAIN_DDL)
+    by_site = cut(templates.where("is_markup").groupBy("site").agg(F.collect_list(F.struct("token", "role")).alias("template")), "template")
+    joined = join_checked(base, by_site, ["site"], "left")
+    return joined.select("doc_id", "site", "text", "template").mapInArrow(_extract, _PLAIN_DDL)
 
 
 def find_markup(docs: DataFrame) -> DataFrame:
-    """doc_id of the documents that hold at least one construct."""
-    return extract_plain_text(docs, with_text=False).where(F.col("n_constructs") > 0).select("doc_id").distinct()
+    """doc_id of the documents that hold at least one token of their site's template."""
+    rows = token_rows(docs)
+    template = cut(template_of(rows).where("is_markup").select("site", "token", "role"), "template")
+    return join_checked(rows, template, ["site", "token", "role"], "left_semi").select("doc_id").distinct()

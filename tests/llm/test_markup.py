@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from quire.llm.markup import deduce_templates, extract_plain_text, find_markup, render, scan
+from quire.llm.markup import constructs, deduce_templates, extract_plain_text, find_markup, render, scan
 
 DDL = "doc_id long, text string, source string"
 
@@ -25,7 +25,38 @@ def test_constructs_are_found(text):
 ])
 def test_prose_signs_are_not(text):
     assert not strong(text)
-    assert render(text, frozenset({"C:\\", "|", "*"})) == text
+    assert render(text, frozenset()) == text
+
+
+def roles(text):
+    return [(c[0], c[1]) for c in constructs(text)]
+
+
+def test_roles():
+    assert roles("<p>a <b>x</p></b>") == [("<p>", "pair"), ("<b>", "remnant"), ("</p>", "pair"), ("</b>", "remnant")]
+    assert [c[6] for c in constructs("<p>a <b>x</p></b>")] == [True, False, True, False] and not any(c[6] for c in constructs("<ul><li>x<li>y</ul>"))
+    assert roles("\\textbf{a{b} c} \\emph{b") == [("\\textbf{", "pair"), ("\\emph{", "remnant")]
+    assert roles("'''a''' ''b") == [("'''", "pair"), ("'''", "pair"), ("''", "remnant")]
+    assert roles("<br> <pb n='1'/> <p cla") == [("<br>", "pair"), ("<pb>", "pair"), ("<p>", "remnant")]
+    assert roles("- a **b** **c &amp;") == [("-", "single"), ("**", "pair"), ("**", "remnant"), ("&amp;", "pair")]
+    assert [c[5] for c in constructs("<div><p>a</p>- b</div>")] == [None, "<div>", "<div>", None]
+
+
+def test_what_no_valid_class_holds_is_no_markup(spark):
+    # </x> never has its other half anywhere; a remnant of <p> is known from another site; <u> and <v> cross
+    rows = [(1, "ein </x> wort", "a"), (2, "ein </p> wort", "a"), (3, "<p>ganz</p>", "b")] + [(10 + i, "<u>a <v>b</u> c</v>", "c") for i in range(5)]
+    df = spark.createDataFrame(rows, DDL)
+    assert {r[0] for r in find_markup(df).collect()} == {2, 3}
+    by = {(r["token"], r["role"]): r for r in deduce_templates(df).where("site = 'c'").collect()}
+    assert not by["<u>", "pair"]["valid"] and not by["<u>", "pair"]["is_markup"] and not by["<v>", "remnant"]["is_markup"]
+    plain = {r["doc_id"]: r["plain_text"] for r in extract_plain_text(df).collect()}
+    assert plain[1] == "ein </x> wort" and plain[2].split() == ["ein", "wort"]
+
+
+def test_slots_are_what_the_template_leaves():
+    text = "<p>a</p> & <x>b</x> [c](d)"
+    assert render(text, frozenset({("<p>", "pair"), ("</p>", "pair")})) == "a\n\n& <x>b</x> [c](d)"
+    assert "<x>" not in render(text) and "(d)" not in render(text)
 
 
 def test_structure_is_kept():
