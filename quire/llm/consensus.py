@@ -7,7 +7,8 @@ label that most reliable labellers of an item gave; the posterior decides ties.
 agreement (Krippendorff's alpha, Cohen's kappa) is reported separately.
 
 Votes are packed by item once, so an iteration reads them without a shuffle and shuffles only sums
-by labeller and label. The matrices travel with the tasks if they are small, else by a join.
+by labeller and label. The matrices travel with the tasks if they are small, else by a join; both ways
+give the same posteriors.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from quire.plans.runtime import cut, drop_cut
 MODELS = ("openai_gpt_oss_120b", "deepseek_deepseek_v3_2", "moonshotai_kimi_k2_0905")
 #: Added to every cell of a confusion matrix, and to its diagonal.
 SMOOTHING, DIAGONAL = 0.1, 0.5
-ROUNDS, TOLERANCE = 30, 1e-3
+#: The rounds end when no cell of a confusion matrix changes by so much; expectation-maximisation always gets there.
+TOLERANCE = 1e-3
 #: Matrices of more bytes than this are joined instead of sent with the tasks.
 MATRIX_BYTES = 32 << 20
 
@@ -122,42 +124,43 @@ def _vector_sum(k: int, column: str) -> Column:
 
 def _fit_small(packed: DataFrame, index: dict[str, int], k: int) -> DataFrame:
     log_conf = log_prior = None
-    for _ in range(ROUNDS):
+    done = False
+    while not done:
         sums = packed.mapInArrow(_sums(index, log_conf, log_prior, k), "labeller string, label int, sums array<double>")
         rows = sums.groupBy("labeller", "label").agg(_vector_sum(k, "sums").alias("sums")).collect()
         new_conf, new_prior = _log_params(rows, index, k)
         done = log_conf is not None and np.abs(np.exp(new_conf) - np.exp(log_conf)).max(initial=0.0) < TOLERANCE
         log_conf, log_prior = new_conf, new_prior
-        if done:
-            break
     return packed.mapInArrow(_attach(index, log_conf, log_prior, k), "id string, labellers array<string>, labels array<int>, posterior array<double>")
 
 
 def _fit_joined(packed: DataFrame, k: int) -> DataFrame:
-    """The same iteration with the matrices as a table, for any number of labellers."""
+    """The same iteration, with the same end, with the matrices as a table, for any number of labellers."""
     votes = cut(packed.select("id", F.explode(F.arrays_zip("labellers", "labels")).alias("v")).select("id", F.col("v.labellers").alias("labeller"), F.col("v.labels").alias("label")), "votes")
     share = F.array(*(F.avg((F.col("label") == i).cast("double")) for i in range(k)))
-    post = cut(votes.groupBy("id").agg(share.alias("posterior")), "posterior")
-    for _ in range(ROUNDS):
+    post, conf, done = cut(votes.groupBy("id").agg(share.alias("posterior")), "posterior"), None, False
+    while not done:
         sums = votes.join(post, "id").groupBy("labeller", "label").agg(_vector_sum(k, "posterior").alias("s"))
         grid = votes.select("labeller").distinct().select("labeller", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("label"))
         grid = grid.join(sums, ["labeller", "label"], "left")
         cells = [F.coalesce(F.col("s")[i], F.lit(0.0)) + SMOOTHING + F.when(F.col("label") == i, DIAGONAL).otherwise(0.0) for i in range(k)]
         grid = grid.select("labeller", "label", F.array(*cells).alias("s"))
         totals = grid.groupBy("labeller").agg(_vector_sum(k, "s").alias("t"))
-        conf = grid.join(totals, "labeller").select("labeller", "label", F.array(*(F.log(F.col("s")[i] / F.col("t")[i]) for i in range(k))).alias("lp"))
+        new = cut(grid.join(totals, "labeller").select("labeller", "label", F.array(*(F.col("s")[i] / F.col("t")[i] for i in range(k))).alias("p")), "matrices")
+        if conf is not None:
+            change = F.max(F.array_max(F.zip_with("p", "q", lambda a, b: F.abs(a - b))))
+            shift = new.join(conf.withColumnRenamed("p", "q"), ["labeller", "label"]).agg(change).first()[0]
+            done = shift is None or shift < TOLERANCE
+            drop_cut(conf)
+        conf = new
         prior = np.asarray(post.agg(_vector_sum(k, "posterior").alias("p")).first()["p"], dtype=float) + SMOOTHING
         logs = np.log(prior / prior.sum())
-        ll = votes.join(conf, ["labeller", "label"]).groupBy("id").agg(_vector_sum(k, "lp").alias("l"))
+        ll = votes.join(conf, ["labeller", "label"]).groupBy("id").agg(F.array(*(F.sum(F.log(F.col("p")[i])) for i in range(k))).alias("l"))
         ll = ll.select("id", F.array(*(F.col("l")[i] + float(logs[i]) for i in range(k))).alias("l"))
         ll = ll.withColumn("e", F.transform("l", lambda x: F.exp(x - F.array_max("l"))))
-        new = ll.select("id", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("posterior"))
-        new = cut(new, "posterior")
-        shift = new.withColumnRenamed("posterior", "q").join(post, "id").agg(F.max(F.array_max(F.zip_with("q", "posterior", lambda a, b: F.abs(a - b))))).first()[0]
+        better = cut(ll.select("id", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("posterior")), "posterior")
         drop_cut(post)
-        post = new
-        if shift is None or shift < TOLERANCE:
-            break
+        post = better
     return packed.join(post, "id")
 
 

@@ -111,7 +111,7 @@ _PIECES = pa.schema([("id", pa.string()), ("text_hash", pa.int64()), ("n_tokens"
 _PIECES_DDL = "id string, text_hash bigint, n_tokens bigint, n_pieces bigint, piece_no bigint, start_token bigint, end_token bigint, overlap_tokens bigint, boundary bigint, piece_text string"
 
 
-def _cutter(limit: int, overlap: int):
+def _cutter(limit: int, overlap: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -119,22 +119,26 @@ def _cutter(limit: int, overlap: int):
                 data = text.encode("utf-8")
                 points, before = cut_points(data, limit, overlap), 0
                 for k, (s, e, strength) in enumerate(points, 1):
-                    rows.append((id_, key, len(data), len(points), k, s, e, max(0, before - s), strength, data[s:e].decode("utf-8")))
+                    rows.append((id_, key, len(data), len(points), k, s, e, max(0, before - s), strength, data[s:e].decode("utf-8") if with_text else None))
                     before = e
             yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows) if rows else ([],) * 10, _PIECES.types)], schema=_PIECES)
 
     return run
 
 
+def _oversized(chunks: DataFrame, limit: int, id_col: str, text_col: str) -> DataFrame:
+    rows = chunks.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(byte_tokens(F.col("text")) > limit)
+    return rows.select("id", F.xxhash64("text").alias("text_hash"), "text")
+
+
 def split_oversized(chunks: DataFrame, limit: int, overlap: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Ordered pieces of every text with more than limit tokens, once for each different (id, text).
 
     Null texts and texts within the limit give no rows; an id given again with the same text is cut once,
     with another text it has pieces for each. Very long texts are cut whole. Extra columns are not carried.
     """
-    rows = chunks.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(byte_tokens(F.col("text")) > limit)
-    rows = rows.withColumn("text_hash", F.xxhash64("text")).groupBy("id", "text_hash").agg(F.first("text").alias("text"))
-    return rows.select("id", "text_hash", "text").mapInArrow(_cutter(limit, overlap), _PIECES_DDL)
+    rows = _oversized(chunks, limit, id_col, text_col).groupBy("id", "text_hash").agg(F.first("text").alias("text"))
+    return rows.select("id", "text_hash", "text").mapInArrow(_cutter(limit, overlap, True), _PIECES_DDL)
 
 
 def window_overlap(token_windows: DataFrame, window: int) -> int:
@@ -144,6 +148,6 @@ def window_overlap(token_windows: DataFrame, window: int) -> int:
 
 
 def find_oversized(chunks: DataFrame, token_windows: DataFrame, window: int = 8192) -> DataFrame:
-    """Ids of the chunks that had to be cut."""
-    pieces = split_oversized(chunks, window, window_overlap(token_windows, window))
-    return pieces.where(F.col("n_pieces") > 1).select("id").distinct()
+    """Ids of the chunks that had to be cut. Texts are cut where they are read; only ids are moved."""
+    pieces = _oversized(chunks, window, "id", "text").mapInArrow(_cutter(window, window_overlap(token_windows, window), False), _PIECES_DDL)
+    return pieces.where("n_pieces > 1 AND piece_no = 1").select("id").distinct()

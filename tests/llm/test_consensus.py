@@ -47,7 +47,7 @@ def test_joined_matrices_agree(world):
     a = {r["id"]: r["posterior"] for r in small.collect()}
     b = {r["id"]: r["posterior"] for r in fitted.collect()}
     assert a.keys() == b.keys() == one.keys()
-    assert max(abs(x - y) for i in a for x, y in zip(a[i], b[i])) < 0.02
+    assert max(abs(x - y) for i in a for x, y in zip(a[i], b[i])) < 1e-9
 
 
 def test_alpha(spark):
