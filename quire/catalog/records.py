@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.catalog.registry import query
-from quire.operators import chunking, metadata, nested, relabel, tei, tree
+from quire.operators import chunking, flatten, metadata, nested, relabel, tei, tree
 from quire.plans.runtime import read_table as _t
 
 _NODES = """WITH RECURSIVE start AS (SELECT record_id, source_file, body, json_extract(body, '$.content') AS c FROM book_json WHERE body IS NOT NULL AND json_valid(body) AND json_type(body) = 'OBJECT'),
@@ -61,6 +61,41 @@ def p6_rejects(spark, d):
     return nested.shred(_t(spark, d, "book_json"))["reject"]
 
 
+_TREE = r"""WITH v AS (SELECT record_id, body FROM book_json WHERE body IS NOT NULL AND json_valid(body)),
+t AS (SELECT record_id, x.key, x.value, x.type, x.id, x.parent, x.fullkey FROM v, json_tree(v.body) x),
+k AS (SELECT t.*, u.type AS above, 'root' || regexp_replace(regexp_replace(replace(substr(t.fullkey, 2), '"', ''), '\[\d+\]', '', 'g'), '(\.content)+', '.content', 'g') AS tag,
+  t.record_id || replace(replace(replace(replace(substr(t.fullkey, 2), '"', ''), '.', '/'), '[', '/'), ']', '') AS pk
+  FROM t LEFT JOIN t u ON u.record_id = t.record_id AND u.id = t.parent),
+rows AS (SELECT *, CASE WHEN parent IS NULL THEN NULL WHEN above = 'ARRAY' THEN regexp_replace(pk, '/[^/]+/\d+$', '') ELSE regexp_replace(pk, '/[^/]+$', '') END AS parent_pk, CASE WHEN above = 'ARRAY' THEN regexp_extract(pk, '\d+$')::BIGINT ELSE 0 END AS position
+  FROM k WHERE parent IS NULL OR above = 'ARRAY' OR (type = 'OBJECT' AND value::VARCHAR <> '{}'))
+"""
+
+
+@query(_TREE + "SELECT tag, pk, parent_pk, position FROM rows UNION ALL SELECT 'rejects', record_id::VARCHAR, NULL, 0 FROM book_json WHERE body IS NULL OR NOT json_valid(body)")
+def p6_flat_links(spark, d):
+    """The general form: every object and array entry of the records with the table it is in and its parent."""
+    return flatten.emit(_t(spark, d, "book_json"), "record_id", "body").select("tag", "pk", "parent_pk", "position")
+
+
+@query(_TREE + """, f AS (SELECT CASE WHEN above = 'ARRAY' THEN tag ELSE regexp_replace(tag, '\.[^.]+$', '') END AS tag, CASE WHEN above = 'ARRAY' THEN 'value' ELSE key END AS field,
+  CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'double' ELSE 'bigint' END AS kind FROM k WHERE parent IS NOT NULL AND type NOT IN ('OBJECT', 'ARRAY', 'NULL'))
+SELECT tag, field, kind, count(*) AS n FROM f GROUP BY ALL""")
+def p6_flat_fields(spark, d):
+    """Fields of the general form's tables with their kinds."""
+    rows = flatten.emit(_t(spark, d, "book_json"), "record_id", "body").select("tag", F.explode("kinds").alias("k"))
+    return rows.groupBy("tag", F.substring_index("k", ":", 1).alias("kind"), F.expr("substring(k, instr(k, ':') + 1)").alias("field")).agg(F.count("*").alias("n"))
+
+
+@query(_TREE + """SELECT pk, parent_pk, position, json_extract_string(value, '$.href') AS href, json_extract_string(value, '$.title') AS title, md5(json_extract_string(value, '$.text')) AS text_md5 FROM rows WHERE tag = 'root.content' AND type IN ('OBJECT', 'NULL')""")
+def p6_flat_content(spark, d):
+    """The content table of the general form, with its schema taken from the records."""
+    emitted = flatten.emit(_t(spark, d, "book_json"), "record_id", "body")
+    rows = flatten.table(emitted, "root.content")
+    if "value" in rows.columns:  # entries that are no objects
+        rows = rows.where("value IS NULL")
+    return rows.select("pk", "parent_pk", "position", F.col("href").cast("string").alias("href"), F.col("title").cast("string").alias("title"), F.md5("text").alias("text_md5"))
+
+
 @query(_NODES + f"SELECT record_id, node_path, md5(text) AS text_md5 FROM (SELECT record_id, node_path, text FROM nodes UNION ALL {_ROOT}) WHERE text <> ''")
 def walk_content(spark, d):
     return tree.walk(_t(spark, d, "book_json"), "content").select("record_id", "node_path", F.md5("text").alias("text_md5"))
