@@ -1,8 +1,9 @@
 """Texts cut off by field limits or in transfer, and how often each source truncates.
 
-The site's repeated lines are left aside first. Near-copies are found by min-hash banding over
-shingles of five words (similarity 0.8) and verified; where one copy's alignment with another copy
-ends early and inside a sentence or word, it is truncated. Other texts are scored by how terminal
+The site's repeated lines are left aside first. Near-copies are found by min-hash banding over shingles of five
+words, of the whole text and of its beginnings, so that a copy meets the whole text however much it lost. A pair is
+verified if the other text holds at least 0.8 of the open one's shingles; where the alignment of an open text with
+another text ends early and inside a sentence or word, it is truncated. Other texts are scored by how terminal
 their closing word is: word counts over all texts say how often a word closes a sentence, line or
 entry, and whether a line without a final mark reads like whole entries or like prose. All counts
 cover all documents. A text that ends with a sentence mark is whole.
@@ -24,9 +25,10 @@ from quire.llm.sitelines import document_items, enough_letters, known_by_group,
 from quire.plans.runtime import cut, join_checked
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: 16 bands of 4: a pair at the similarity meets in some band with a chance of 0.9998.
-BANDS, BAND_ROWS = 16, 4
-BINS = BANDS * BAND_ROWS
+#: 10 bands of 3 least hashes for whole texts: a pair at the similarity meets in some band with a chance of 0.999.
+BANDS, BAND_ROWS, BAND_BITS = 10, 3, 5
+#: Beginnings of 32, 128, 512 … words have 4 bands of 3: what a cut copy still shares with the whole one is nearly equal.
+LEAST_START, START_STEP, START_BANDS, START_BITS = 32, 4, 4, 4
 #: Own lines with words at the end that are looked at first for the closing word; all lines are, if these are other sites' lines.
 TAIL_LINES = 6
 #: A word that closes a unit in less than this share of its uses is no closing word.
@@ -44,11 +46,12 @@ BUCKET_TEXTS = 1000
 _AROUND = "\"'»«”“„’‘‚)(][›‹.!?…,;:*_~`#|=<>&{}$/\\–—-·•©"
 _CLOSING = "\"'»«”“’‘)]›‹"
 _TAGS = re.compile(r"<[^<>]*>|&lt;/?[A-Za-z][^&<>]*&gt;|&#?\w+;")
-_MARKED = re.compile(r"[.!?…][\"'»«”“’‘)\]›‹\s]*\Z")
-_CLOSED = re.compile(r"(?:</[A-Za-z][\w:]*>|\s)+\Z")
+_CLOSER = re.compile(r"</[A-Za-z][\w:]*>")
 _DOTS = re.compile(r"(?:…|\.\.\.|[\])])[\s<>/\w\"'»«”“’‘)\]]*\Z")
 _SENTENCE = re.compile(r"[.!?…][\"'»«”“’‘)\]›‹]*,?\s+(?=\S)")
 _BULLET = re.compile(r"\s*(?:[-*+•·–—|]|\d{1,3}[.)])\s+")
+_SIGNS = re.compile(r"[<&\[\]{}$*_~'\\|=#`]")
+_OPENING = re.compile(r"[<$\\`]")
 _MARKER = re.compile(r"[.!?…][\"'»«”“’‘)\]]*\s+(\*{1,3}|_{1,3}|'{2,5}|~~|`)[^*_'`~\s]+\1\s*\Z")
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -59,6 +62,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def ends_marked(text: str) -> bool:
+    """Whether a sentence mark ends the text, whatever quotes, brackets and blanks follow it."""
+    while (end := text.rstrip().rstrip(_CLOSING)) != text:
+        text = end
+    return text.endswith((".", "!", "?", "…"))
+
+
+def without_closers(line: str) -> str:
+    """The line without closing tags at its end."""
+    while (line := line.rstrip()).endswith(">") and _CLOSER.fullmatch(line, max(0, line.rfind("<"))):
+        line = line[: line.rfind("<")]
+    return line
+
+
 def words_of(text: str) -> list[str]:
     """Blank-separated words without the marks around them."""
     return [w for t in text.split() if (w := t.strip(_AROUND))]
@@ -98,30 +115,47 @@ def shingle_hashes(words: list[str]) -> np.ndarray:
     return np.unique(_rolled(h)[: max(1, len(h) - SHINGLE + 1)]) if len(h) else h
 
 
-def band_matrix(hashes: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
-    """Band keys of n texts by one-permutation min-hashing: the least hash of each bin, empty bins filled from the
-    next. hashes are the texts' shingles, docs their text's number; a text without shingles gets unused keys."""
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    least = np.full(n * BINS, top, dtype=np.uint64)
-    np.minimum.at(least, docs * BINS + (hashes >> np.uint64(58)).astype(np.int64), hashes)
-    least = least.reshape(n, BINS)
-    place = np.where(least != top, np.arange(BINS), 2 * BINS)
-    twice = np.concatenate([place, np.minimum(place + BINS, 3 * BINS)], axis=1)
-    nxt = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+def band_matrix(hashes: np.ndarray, docs: np.ndarray, n: int, bands: int = BANDS, bits: int = BAND_BITS, salt: int = 0) -> np.ndarray:
+    """Band keys of n texts by one-permutation min-hashing: the least hash of each of 2**bits bins, empty bins filled from
+    the next. hashes are the texts' shingles, docs their text's number; a text without shingles gets unused keys."""
+    top, bins = np.uint64(0xFFFFFFFFFFFFFFFF), 1 << bits
+    least = np.full(n * bins, top, dtype=np.uint64)
+    np.minimum.at(least, docs * bins + (hashes >> np.uint64(64 - bits)).astype(np.int64), hashes)
+    least = least.reshape(n, bins)
+    place = np.where(least != top, np.arange(bins), 2 * bins)
+    twice = np.concatenate([place, np.minimum(place + bins, 3 * bins)], axis=1)
+    nxt = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :bins]
     with np.errstate(over="ignore"):
-        value = np.take_along_axis(least, nxt % BINS, axis=1) + ((nxt - np.arange(BINS)) % (2 * BINS)).astype(np.uint64) * _P
-        rows = value.reshape(n, BANDS, BAND_ROWS)
-        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (n, BANDS))
+        value = np.take_along_axis(least, nxt % bins, axis=1) + ((nxt - np.arange(bins)) % (2 * bins)).astype(np.uint64) * _P
+        rows = value[:, : bands * BAND_ROWS].reshape(n, bands, BAND_ROWS)
+        key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(salt << 8), (n, bands))
         for j in range(BAND_ROWS):
             key = _mix(key * _P + rows[:, :, j])
     return key.view(np.int64)
 
 
+def all_keys(rolled: np.ndarray, doc: np.ndarray, place: np.ndarray, own: np.ndarray) -> list[list[int]]:
+    """Band keys of each text, of the whole and of its beginnings: rolled are the shingles' hashes, doc and place where
+    each begins, own the number of words of each text."""
+    keys = [k if n else [] for k, n in zip(band_matrix(rolled, doc, len(own)).tolist(), own.tolist())]
+    size = LEAST_START
+    while (long := np.flatnonzero(own > size)).size:
+        number = np.full(len(own), -1)
+        number[long] = np.arange(len(long))
+        inside = (number[doc] >= 0) & (place <= size - SHINGLE)
+        for d, more in zip(long, band_matrix(rolled[inside], number[doc[inside]], len(long), START_BANDS, START_BITS, size).tolist()):
+            keys[d] += more
+        size *= START_STEP
+    return keys
+
+
+_TAIL = [("kind", pa.string()), ("closing", pa.string()), ("words", pa.list_(pa.string())), ("after_sentence", pa.bool_())]
+_TAIL_DDL = "kind string, closing string, words array<string>, after_sentence boolean"
 _PROFILE = pa.schema([
     ("word", pa.string()), ("n_all", pa.int64()), ("n_end", pa.int64()), ("n_entry", pa.int64()), ("n_prose", pa.int64()), ("n_start", pa.int64()),
-    ("item_id", pa.int64()), ("grp", pa.string()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64())), ("tail", pa.list_(pa.string())), ("tail_hashes", pa.list_(pa.int64())), ("digest", pa.int64()), ("more", pa.bool_()),
+    ("item_id", pa.int64()), ("grp", pa.string()), ("n_words", pa.int64()), ("keys", pa.list_(pa.int64())), ("digest", pa.int64()), ("last_hash", pa.int64()), *_TAIL,
 ])
-_PROFILE_DDL = "word string, n_all bigint, n_end bigint, n_entry bigint, n_prose bigint, n_start bigint, item_id bigint, grp string, n_words bigint, bands array<bigint>, tail array<string>, tail_hashes array<bigint>, digest bigint, more boolean"
+_PROFILE_DDL = f"word string, n_all bigint, n_end bigint, n_entry bigint, n_prose bigint, n_start bigint, item_id bigint, grp string, n_words bigint, keys array<bigint>, digest bigint, last_hash bigint, {_TAIL_DDL}"
 
 
 def digest_of(lines: list[str]) -> int:
@@ -130,19 +164,26 @@ def digest_of(lines: list[str]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+_HAS_WORD = re.compile(rf"[^\s{re.escape(_AROUND)}]")
+
+
 def closing_lines(lines: list[str]) -> list[str]:
     """The lines from the TAIL_LINES-th last one with words on."""
     seen = 0
     for k in range(len(lines) - 1, -1, -1):
-        seen += bool(words_of(_TAGS.sub(" ", lines[k])))
+        line = lines[k]
+        if "<" in line or "&" in line:
+            line = _TAGS.sub(" ", line)
+        seen += _HAS_WORD.search(line) is not None
         if seen == TAIL_LINES:
             return lines[k:]
     return lines
 
 
-def line_hashes(lines: list[str]) -> list[int]:
-    """Each line's template hash, 0 if it has too few letters to be a site's line."""
-    return [template_hash(m) if enough_letters(m) else 0 for m in map(mask_line, lines)]
+def line_hash(line: str) -> int:
+    """The line's template hash, 0 if it has too few letters to be a site's line."""
+    masked = mask_line(line)
+    return template_hash(masked) if enough_letters(masked) else 0
 
 
 class Counts:
@@ -166,8 +207,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, of = Counts(), {}
 
     def emit(docs: list[tuple], words: list[tuple]) -> pa.RecordBatch:
-        rows = [(None,) * 6 + d for d in docs] + [w + (None,) * 8 for w in words]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 14, _PROFILE.types)], schema=_PROFILE)
+        rows = [(None,) * 6 + d for d in docs] + [w + (None,) * 10 for w in words]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 16, _PROFILE.types)], schema=_PROFILE)
 
     for b in (x.slice(k, SLICE) for x in batches for k in range(0, x.num_rows, SLICE)):
         docs, flat, sizes, last = [], [], [], []
@@ -186,8 +227,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     last.append(False)
             if len(flat) > before:
                 last[-1] = True
-            tail = closing_lines(lines)
-            docs.append([item, grp, len(flat) - before, None, tail, line_hashes(tail), digest_of(lines), len(tail) < len(lines)])
+            docs.append([item, grp, len(flat) - before, None, digest_of(lines), line_hash(lines[-1]), *analyse_lines(lines)])
         if docs:
             t = counts.tokens
             ids = np.fromiter(map(t.__getitem__, flat), dtype=np.int64, count=len(flat))
@@ -218,9 +258,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in np.flatnonzero((own > 0) & (own < SHINGLE)):
                 at = int(np.cumsum(own)[d] - own[d])
                 rolled[at] = _rolled(hashed[at : at + own[d]])[0]
-            bands = band_matrix(rolled[ok], doc[ok], len(docs))
-            for d, keys, n in zip(docs, bands.tolist(), own.tolist()):
-                d[2], d[3] = n, keys if n else []
+            for d, keys, n in zip(docs, all_keys(rolled[ok], doc[ok], place[ok], own), own.tolist()):
+                d[2], d[3] = n, keys
         words = counts.rows() if len(counts.tokens) >= MAX_WORDS else []
         if words:
             counts = Counts()
@@ -238,15 +277,17 @@ def analyse_tail(lines: list[str]) -> tuple[str, str, list[str], bool]:
     character ends it), joined and spaced (an ellipsis joined to the last word, or after a blank), bare (no mark).
     """
     # most texts end with a sentence mark, at most followed by closing tags
-    if lines and "`" not in lines[-1] and _MARKED.search(_CLOSED.sub("", lines[-1])) and not _DOTS.search(lines[-1]):
+    if lines and "`" not in lines[-1] and ends_marked(without_closers(lines[-1])) and not _DOTS.search(lines[-1]):
         return "whole", "", [], False
     raw = "\n".join(lines).rstrip()
     if _MARKER.search(raw):
         return "whole", "", [], False
-    text = render(raw) if re.search(r"[<&\[\]{}$*_~'\\|=#`]", raw) else raw
+    # signs before the last line matter only if they may open something that goes on in it
+    text = render(raw) if _SIGNS.search(raw[raw.rfind("\n") + 1 :]) or _OPENING.search(raw) else raw
     if text.rstrip().endswith("```"):
         return "whole", "", [], False
-    text = re.sub(r"(?:\s*\$[^$\n]*\$)+\s*\Z", "", text)
+    if "$" in text:
+        text = re.sub(r"(?:\s*\$[^$\n]*\$)+\s*\Z", "", text)
     rows = [x for x in text.split("\n") if words_of(x)]
     if not rows:
         return _NO_WORDS
@@ -259,7 +300,7 @@ def analyse_tail(lines: list[str]) -> tuple[str, str, list[str], bool]:
     if ellipsis:
         words = words_of(body)
         return ("spaced" if ellipsis[1] else "joined"), (words[-1] if words else ""), words, False
-    if _MARKED.search(last):
+    if ends_marked(last):
         return "whole", "", [], False
     bare = body.rstrip(" \t \"&<>*_~`'’\\/|-–—")
     if re.search(r"[,;(\[„»‚]\s*[»«\"”“]?\Z", bare) or re.search(r"«,\Z", bare):
@@ -272,23 +313,14 @@ def analyse_tail(lines: list[str]) -> tuple[str, str, list[str], bool]:
     return "bare", words[-1], words, bool(cuts)
 
 
-_TAILS = pa.schema([("item_id", pa.int64()), ("kind", pa.string()), ("closing", pa.string()), ("words", pa.list_(pa.string())), ("after_sentence", pa.bool_())])
+def analyse_lines(lines: list[str]) -> tuple[str, str, list[str], bool]:
+    """analyse_tail of the closing lines; of all lines, if those have no words when rendered."""
+    tail = closing_lines(lines)
+    found = analyse_tail(tail)
+    return analyse_tail(lines) if found is _NO_WORDS and len(tail) < len(lines) else found
 
 
-def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for item, tail, more, foreign in zip(*(b.column(k).to_pylist() for k in ("item_id", "tail", "more", "foreign"))):
-            out = frozenset(foreign or ())
-            own = list(tail)
-            while own and enough_letters(m := mask_line(own[-1])) and template_hash(m) in out:
-                own.pop()
-            found = analyse_tail(own)
-            rows.append((item, "further", *found[1:]) if more and found is _NO_WORDS else (item, *found))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 5, _TAILS.types)], schema=_TAILS)
-
-
-_LINES = pa.schema([("item_id", pa.int64()), ("tail", pa.list_(pa.string())), ("tail_hashes", pa.list_(pa.int64())), ("more", pa.bool_())])
+_LINES = pa.schema([("item_id", pa.int64()), ("tail", pa.list_(pa.string())), ("tail_hashes", pa.list_(pa.int64()))])
 
 
 def _all_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,37 +329,65 @@ def _all_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for item, text, known in zip(*(b.column(k).to_pylist() for k in ("item_id", "text")), known_by_group(b, of)):
             lines = [x for x in split_lines(text, known)[0] if x and not x.isspace()]
-            rows.append((item, lines, line_hashes(lines), False))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 4, _LINES.types)], schema=_LINES)
+            rows.append((item, lines, list(map(line_hash, lines))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 3, _LINES.types)], schema=_LINES)
+
+
+_TAILS = pa.schema([("item_id", pa.int64()), *_TAIL])
+
+
+def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The analysis of the lines before other sites' lines at the end."""
+    for b in batches:
+        rows = []
+        for item, tail, foreign in zip(*(b.column(k).to_pylist() for k in ("item_id", "tail", "foreign"))):
+            out = frozenset(foreign or ())
+            own = list(tail)
+            while own and line_hash(own[-1]) in out:
+                own.pop()
+            rows.append((item, *analyse_lines(own)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 5, _TAILS.types)], schema=_TAILS)
 
 
 _ALIGNED = pa.schema([("digest", pa.int64()), ("other", pa.int64()), ("early", pa.bool_())])
 
 
 def aligned_early(short: str, long: str) -> bool | None:
-    """None if the texts aren't near-copies; else whether the short one's end is followed, in the long one, by the
-    rest of the word or of the sentence. Lines the long one doesn't have may stand behind the short one's end."""
+    """None if the long text doesn't hold the short one's shingles; else whether the short one's end is followed, in the long
+    one, by the rest of the word or of the sentence. Lines the long one doesn't have may stand behind the short one's end."""
     placed = [(w, k) for k, line in enumerate(short.split("\n")) for w in words_of(line)]
     a, b = [w for w, _ in placed], words_of(long)
     x, y = shingle_hashes(a), shingle_hashes(b)
     common = len(np.intersect1d(x, y, assume_unique=True))
-    if not common or common < SIMILARITY * (len(x) + len(y) - common):
+    if not common or common < SIMILARITY * len(x):
         return None
     lines = [(w, k) for k, line in enumerate(long.split("\n")) for w in line.split()]
     tokens = [(w.strip(_AROUND), w, k) for w, k in lines if w.strip(_AROUND)]
-    last = {tuple(b[i : i + SHINGLE]): i for i in range(len(b) - SHINGLE)}
+    places: dict[tuple, list[int]] = {}
+    for i in range(len(b) - SHINGLE):
+        places.setdefault(tuple(b[i : i + SHINGLE]), []).append(i)
+
+    def best_place(found: list[int], j: int) -> int:
+        """Of a shingle said again the place before which the most words agree, too; the last one after 64 words."""
+        for n in range(1, 65):
+            if len(found) == 1:
+                break
+            found = [i for i in found if i >= n and j >= n and b[i - n] == a[j - n]] or found[-1:]
+        return found[-1]
+
     for j in range(len(a) - 1, SHINGLE - 1, -1):
         added = j + 1 < len(a)
         if added and placed[j][1] == placed[j + 1][1]:
             continue
-        i = last.get(tuple(a[j - SHINGLE : j]))
-        if i is None:
+        found = places.get(tuple(a[j - SHINGLE : j]))
+        if found is None:
             continue
+        i = best_place(found, j - SHINGLE)
         final, (word, raw, line) = a[j], tokens[i + SHINGLE]
         if word != final:
             return word.startswith(final) and not (added and word == final + a[j + 1])
         if raw.rstrip(_CLOSING)[-1:] in (".", "!", "?", "…"):
-            return not added and not _MARKED.search(short)  # only the mark is missing
+            return not added and not ends_marked(short)  # only the mark is missing
         more = tokens[i + SHINGLE + 1 : i + SHINGLE + 2]
         return bool(more) and more[0][2] == line and not (added and more[0][0] == a[j + 1])
     return False
@@ -346,7 +406,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), _ALIGNED.types)], schema=_ALIGNED)
 
 
-_OWN = pa.schema([("digest", pa.int64()), ("own", pa.string()), ("n_shingles", pa.int64())])
+_OWN = pa.schema([("digest", pa.int64()), ("own", pa.string())])
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,55 +415,50 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text, known in zip(b.column("text").to_pylist(), known_by_group(b, of)):
             lines = split_lines(text, known)[0]
-            own = "\n".join(lines).rstrip()
-            rows.append((digest_of([x for x in lines if x and not x.isspace()]), own, len(shingle_hashes(words_of(own)))))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), _OWN.types)], schema=_OWN)
+            rows.append((digest_of([x for x in lines if x and not x.isspace()]), "\n".join(lines).rstrip()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], []), _OWN.types)], schema=_OWN)
 
 
-def _copies(base: DataFrame, docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """(item_id, early) of open texts that are verified near-copies of another text.
+def _copies(base: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, early) of open texts whose shingles another text holds; docs has item_id, n_words, keys, digest and open.
 
-    Exact copies count as one text. In each band bucket an open text first meets the bucket's longest text,
-    found by a map-side maximum. Texts that no alignment has ended early yet then meet all other texts of
+    Exact copies count as one text. Only buckets with an open text and another one are followed up. There an open text
+    first meets the bucket's longest text. Texts that no alignment has ended early yet then meet all other texts of
     their buckets: large buckets are split into parts by hash, and each round takes twice the parts of the last.
     """
-    mine = docs.join(open_.select("item_id").distinct(), "item_id", "left_semi").select("item_id", "digest", "bands")
-    keyed = docs.select("digest", "n_words", F.posexplode("bands").alias("band", "key"))
-    longest = keyed.groupBy("band", "key").agg(F.max(F.struct("n_words", "digest")).alias("top"), F.count("*").alias("c")).where("c > 1")
-    asking = mine.select("digest", F.posexplode("bands").alias("band", "key")).distinct()
-    asking = cut(asking.join(longest.select("band", "key", F.col("top.digest").alias("other")), ["band", "key"]), "asking")
-    live = cut(asking.select("band", "key").distinct(), "live")
-    held = cut(join_checked(keyed.select("band", "key", "digest"), live, ["band", "key"], "left_semi").distinct(), "held")
-    parts = held.groupBy("band", "key").agg(F.ceil(F.count("*") / BUCKET_TEXTS).alias("parts"), F.count("*").alias("c")).where("c > 1").drop("c")
-    parts = cut(parts, "parts")
+    keyed = docs.select("digest", "n_words", "open", "item_id", F.explode("keys").alias("key"))
+    live = keyed.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("z"), F.bool_or("open").alias("o")).where("o AND a <> z")
+    live = cut(live.select("key"), "live")
+    held = join_checked(keyed, live, ["key"], "left_semi").groupBy("key", "digest").agg(F.bool_or("open").alias("open"), F.max("n_words").alias("n_words"), F.min("item_id").alias("item_id"))
+    held = cut(held, "held")
+    buckets = cut(held.groupBy("key").agg(F.max(F.struct("n_words", "digest")).alias("top"), F.ceil(F.count("*") / BUCKET_TEXTS).alias("parts")).select("key", F.col("top.digest").alias("other"), "parts"), "buckets")
     # the texts of these buckets, each once
-    wanted = docs.join(held.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("item_id").alias("item_id")).select("item_id").distinct()
-    texts = base.join(wanted, "item_id", "left_semi").select("grp", "text", "known").mapInArrow(_own_text, "digest bigint, own string, n_shingles bigint")
+    wanted = held.groupBy("digest").agg(F.min("item_id").alias("item_id")).select("item_id").distinct()
+    texts = base.join(wanted, "item_id", "left_semi").select("grp", "text", "known").mapInArrow(_own_text, "digest bigint, own string")
     texts = cut(texts.dropDuplicates(["digest"]), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs at the similarity, aligned. Texts whose numbers of shingles differ too much can't be at it and don't travel."""
-        size = texts.select("digest", F.col("n_shingles").alias("n"))
-        near = pairs.join(size, "digest").join(size.toDF("other", "m"), "other").where(F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")).select("digest", "other")
-        both = near.join(texts.select("digest", F.col("own").alias("short")), "digest").join(texts.select(F.col("digest").alias("other"), F.col("own").alias("long")), "other")
+        both = pairs.join(texts.select("digest", F.col("own").alias("short")), "digest").join(texts.select(F.col("digest").alias("other"), F.col("own").alias("long")), "other")
         return cut(both.select("digest", "other", "short", "long").mapInArrow(_align, _ALIGN), "aligned")
 
-    tried = cut(asking.where("digest <> other").select("digest", "other").distinct(), "pairs")
+    asking = held.where("open").select("key", "digest")
+    tried = join_checked(asking, buckets, ["key"], "inner").where("digest <> other").select("digest", "other").distinct()
+    tried = cut(tried, "pairs")
     found = verify(tried)
     part = F.pmod(F.xxhash64("digest"), F.col("parts"))
-    members = join_checked(held, parts, ["band", "key"], "inner").select("band", "key", part.alias("part"), F.col("digest").alias("other"))
+    members = join_checked(held, buckets, ["key"], "inner").select("key", part.alias("part"), F.col("digest").alias("other"))
     low, high = 0, 1
-    most = int(parts.agg(F.max("parts")).first()[0] or 0)
+    most = int(buckets.agg(F.max("parts")).first()[0] or 0)
     while low < most:
-        rest = join_checked(asking.select("band", "key", "digest"), parts, ["band", "key"], "inner").where(F.col("parts") > low)
+        rest = join_checked(asking, buckets, ["key"], "inner").where(F.col("parts") > low)
         rest = rest.join(found.where("early").select("digest").distinct(), "digest", "left_anti")
-        rest = rest.select("band", "key", "digest", F.explode(F.sequence(F.lit(low).cast("bigint"), F.least(F.lit(high).cast("bigint"), "parts") - 1)).alias("part"))
-        pairs = rest.join(members, ["band", "key", "part"]).where("digest <> other").select("digest", "other").distinct()
+        rest = rest.select("key", "digest", F.explode(F.sequence(F.lit(low).cast("bigint"), F.least(F.lit(high).cast("bigint"), "parts") - 1)).alias("part"))
+        pairs = rest.join(members, ["key", "part"]).where("digest <> other").select("digest", "other").distinct()
         pairs = cut(pairs.join(tried, ["digest", "other"], "left_anti"), "pairs")
         tried, found = tried.union(pairs), found.union(verify(pairs))
         low, high = high, 2 * high + 1
     early = found.groupBy("digest").agg(F.bool_or("early").alias("early"))
-    return mine.join(early, "digest").groupBy("item_id").agg(F.bool_or("early").alias("early"))
+    return docs.where("open").select("item_id", "digest").join(early, "digest").groupBy("item_id").agg(F.bool_or("early").alias("early"))
 
 
 def judge(docs: DataFrame, explain: bool = False) -> DataFrame:
@@ -421,25 +476,22 @@ def judge(docs: DataFrame, explain: bool = False) -> DataFrame:
     totals = words.agg(F.sum("n_entry"), F.sum("n_prose"), F.sum("n_start")).first()
     n_entry, n_prose, n_start = (float(x or 0) + 1 for x in totals)
     rows = profile.where("item_id IS NOT NULL")
-    anywhere = cut(templates.select(F.col("template_hash").alias("hash")).distinct(), "anywhere")
-
-    def closings(ends: DataFrame) -> DataFrame:
-        hashes = ends.select("item_id", F.explode("tail_hashes").alias("hash")).where("hash <> 0")
-        foreign = join_checked(hashes, anywhere, ["hash"], "inner").groupBy("item_id").agg(F.collect_set("hash").alias("foreign"))
-        found = ends.select("item_id", "tail", "more").join(foreign, "item_id", "left").mapInArrow(_tails, "item_id bigint, kind string, closing string, words array<string>, after_sentence boolean")
-        return cut(found, "tails")
-
-    tails = closings(rows)
-    further = tails.where("kind = 'further'").select("item_id").distinct()
-    if not further.isEmpty():  # nothing but other sites' lines so far: all lines of these texts
-        lines = base.join(further, "item_id", "left_semi").select("item_id", "grp", "text", "known").mapInArrow(_all_lines, "item_id bigint, tail array<string>, tail_hashes array<bigint>, more boolean")
-        tails = tails.join(further, "item_id", "left_anti").union(closings(cut(lines, "lines")))
+    anywhere = cut(templates.select(F.col("template_hash").alias("last_hash")).distinct(), "anywhere")
+    # texts that end with another site's line are looked at again, up to the last line that is their own
+    again = cut(join_checked(rows.where("last_hash <> 0").select("item_id", "last_hash"), anywhere, ["last_hash"], "left_semi").select("item_id").distinct(), "again")
+    lines = cut(join_checked(base, again, ["item_id"], "left_semi").select("item_id", "grp", "text", "known").mapInArrow(_all_lines, "item_id bigint, tail array<string>, tail_hashes array<bigint>"), "lines")
+    hashes = lines.select("item_id", F.explode("tail_hashes").alias("last_hash")).where("last_hash <> 0")
+    foreign = join_checked(hashes, anywhere, ["last_hash"], "inner").groupBy("item_id").agg(F.collect_set("last_hash").alias("foreign"))
+    ended = lines.select("item_id", "tail").join(foreign, "item_id", "left").mapInArrow(_tails, f"item_id bigint, {_TAIL_DDL}")
+    tails = join_checked(rows.select("item_id", "kind", "closing", "words", "after_sentence"), again, ["item_id"], "left_anti").union(cut(ended, "tails"))
     open_ = tails.where("kind <> 'whole'")
     # how texts without a final mark begin their last line, against how prose lines begin
     lasts = tails.where("kind = 'bare' AND NOT after_sentence").groupBy(F.col("words")[0].alias("word")).agg(F.count("*").alias("n_last"))
     lasts = cut(lasts, "lasts")
     n_last = float(lasts.agg(F.sum("n_last")).first()[0] or 0) + 1
-    copies = _copies(base, rows.select("item_id", "n_words", "bands", "digest"), open_)
+    is_open = cut(open_.select("item_id").distinct().withColumn("open", F.lit(True)), "open")
+    flagged = join_checked(rows.select("item_id", "n_words", "keys", "digest"), is_open, ["item_id"], "left")
+    copies = _copies(base, flagged.select("item_id", "n_words", "keys", "digest", F.coalesce("open", F.lit(False)).alias("open")))
     # the closing word and the other words of the last unit, each with its counts
     one = open_.select("item_id", F.posexplode("words").alias("pos", "word"), F.size("words").alias("n"))
     stat = one.join(words, "word", "left").join(lasts, "word", "left").fillna(0, ["n_all", "n_end", "n_entry", "n_prose", "n_start", "n_last"])
@@ -453,7 +505,10 @@ def judge(docs: DataFrame, explain: bool = False) -> DataFrame:
     )
     # unknown closing words that begin a known one are cut words
     unknown = open_.join(score.where("closing_uses = 0").select("item_id"), "item_id").select(F.col("closing").alias("prefix")).distinct()
-    begun = words.select(F.explode(F.expr("transform(sequence(1, greatest(length(word) - 1, 1)), n -> substring(word, 1, n))")).alias("prefix"))
+    unknown = cut(unknown, "unknown")
+    lengths = unknown.agg(F.collect_set(F.length("prefix"))).first()[0]  # only as many prefixes of a word as unknown words are long
+    sizes = F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n < F.greatest(F.length("word"), F.lit(2)))
+    begun = words.select("word", F.explode(sizes).alias("n")).select(F.expr("substring(word, 1, n)").alias("prefix"))
     begun = begun.join(unknown, "prefix", "left_semi").distinct().withColumn("begun", F.lit(True)).withColumnRenamed("prefix", "closing")
     out = rows.select("item_id", "grp").join(tails, "item_id").join(score, "item_id", "left").join(begun, "closing", "left").join(copies, "item_id", "left")
     numeric = F.col("closing").rlike(r"^[\d\-]+$")

@@ -76,8 +76,8 @@ def test_every_text_of_a_bucket_is_met(spark, monkeypatch):
     while not (cut[-1].isalpha() and whole[len(cut)].isalpha()):
         cut = cut[:-1]
     inner = text(rng, 40)[:-4]
-    # each bucket's longest text is a copy with a long appendix, too unlike the cut one
-    rows = [(1, cut, "a"), (2, whole, "b"), (3, cut, "c")] + [(100 + i, whole + "\n" + text(rng, 16), f"s{i}") for i in range(60)]
+    # each bucket's longest text begins like the cut one, but holds too little of it
+    rows = [(1, cut, "a"), (2, whole, "b"), (3, cut, "c")] + [(100 + i, whole[: int(len(whole) * 0.65)] + "\n" + text(rng, 40), f"s{i}") for i in range(60)]
     rows += [(4, inner, "a"), (5, inner + "rsa.", "b")] + [(10 + i, text(rng), "a") for i in range(30)]
     df = spark.createDataFrame(rows, DDL)
     assert all(T.aligned_early(cut, t) is None for i, t, _ in rows if i >= 100)
@@ -99,6 +99,25 @@ def test_any_number_of_lines_behind_the_end(spark):
     assert got == {1000, 1001}
 
 
+def test_copies_that_lost_most_of_the_text_are_met(spark):
+    rng = random.Random(44)
+    rows = [(i, text(rng), "a") for i in range(40)]
+    for k in range(12):
+        whole = text(rng, 40)
+        words = whole.split(" ")
+        # the last word is whole and often closes sentences: only the other copy shows the cut
+        rows += [(100 + k, whole, "b"), (200 + k, " ".join(words[: 45 + 14 * k]), "c")]
+    got = {r["item_id"]: r for r in T.judge(spark.createDataFrame(rows, DDL)).collect()}
+    cut = [200 + k for k in range(12) if got[200 + k]["kind"] != "whole"]
+    assert len(cut) > 6 and all(got[i]["near_copy"] and got[i]["aligned_early"] and got[i]["truncated"] for i in cut)
+    assert not any(got[100 + k]["truncated"] for k in range(12))
+
+
+def test_marks_at_the_end():
+    assert T.ends_marked("Ende.« ") and T.ends_marked("Ende!\u00a0)\n\"") and not T.ends_marked("Ende") and not T.ends_marked("") and not T.ends_marked(" \" ")
+    assert T.without_closers("a.</p> </div>\n") == "a." and T.without_closers("a <p>") == "a <p>" and T.without_closers("x > y>") == "x > y>"
+
+
 def test_bands_find_near_copies():
     rng = random.Random(2)
     hit = 0
@@ -135,10 +154,10 @@ def test_profile_counts_match_plain_python():
     assert {w: r["n_all"] for w, r in words.items() if r["n_all"]} == uses
     assert all(words[w]["n_end"] >= n for w, n in ends.items())
     docs = {r["item_id"]: r for r in rows if r["item_id"] is not None}
-    assert docs[30]["n_words"] == 1 and docs[31]["n_words"] == 2 and len(docs[31]["bands"]) == 16
+    assert docs[30]["n_words"] == 1 and docs[31]["n_words"] == 2 and len(docs[31]["keys"]) == T.BANDS
     # a short text's keys don't depend on what stands beside it
     alone = pa.RecordBatch.from_pydict({"item_id": [1], "grp": ["a"], "text": ["zwei worte"], "known": [[]]})
-    assert next(r for b in T._profile(iter([alone])) for r in b.to_pylist() if r["item_id"] == 1)["bands"] == docs[31]["bands"]
+    assert next(r for b in T._profile(iter([alone])) for r in b.to_pylist() if r["item_id"] == 1)["keys"] == docs[31]["keys"]
 
 
 def test_edges(spark):
