@@ -13,7 +13,7 @@ from quire.plans.runtime import read_table as _t
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}]"
 _NB = r"[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}]"
 _STAR = rf"<p[^>]*>(?:{_WS}|\*)*\*(?:{_WS}|\*)*</p>"
-_IMAGE = rf"<p[^>]*>{_WS}*(?:<p[^>]*>{_WS}*)?<graphic[^>]*\.jpg[^>]*/>{_WS}*</p>(?:{_WS}*</p>)?"
+_IMAGE = rf"<p[^>]*>(?:<p[^>]*>)?{_WS}*<graphic[^>]*url=\"[^\"]+\.jpg\"[^>]*/>{_WS}*(?:{_WS}*</p>){{1,2}}"
 _UNITS = f"""WITH k AS (SELECT *, CASE WHEN contains(lower(inferred_type), 'chapter') THEN 'explicit_chapter'
     WHEN inferred_type = 'novel' AND regexp_matches(text, '{_STAR}') THEN 'implicit_chapter_stars'
     WHEN inferred_type = 'novel' AND regexp_matches(text, '{_IMAGE}') THEN 'implicit_chapter_jpg'

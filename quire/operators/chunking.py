@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.plans.runtime import cut, numbered_within
+
 #: The strategies in report order.
 STRATEGIES = ("explicit_chapter", "implicit_chapter_stars", "implicit_chapter_jpg", "novel_no_separator", "non-chapter")
 #: Separators; Unicode white space counts. The star pattern is flat, so long star lines can't exhaust the stack.
 STAR = r"(?U)<p[^>]*>[\s*]*\*[\s*]*</p>"
-IMAGE = r"(?U)<p[^>]*>\s*(?:<p[^>]*>\s*)?<graphic[^>]*\.jpg[^>]*/>\s*</p>(?:\s*</p>)?"
+IMAGE = r"(?U)<p[^>]*>(?:<p[^>]*>)?\s*<graphic[^>]*url=\"[^\"]+\.jpg\"[^>]*/>\s*(?:\s*</p>){1,2}"
 
 
 def is_chapter(kind: Column) -> Column:
@@ -87,18 +89,25 @@ def prefix_of(id_col: Column) -> Column:
 
 
 def index_ranges(units: DataFrame, file_col: str, order: Sequence[str]) -> DataFrame:
-    """Runs of consecutive units with the same prefix, by file: first and last index of each run, from 0."""
-    w = Window.partitionBy(file_col).orderBy(*order)
-    rows = units.withColumn("prefix", prefix_of(F.col("id"))).withColumn("idx", F.row_number().over(w) - 1)
-    rows = rows.withColumn("new", F.coalesce(F.col("prefix") != F.lag("prefix").over(w), F.lit(True)).cast("int"))
-    rows = rows.withColumn("run", F.sum("new").over(w))
-    return rows.groupBy(file_col, "run", "prefix").agg(F.min("idx").cast("long").alias("start_idx"), F.max("idx").cast("long").alias("end_idx"))
+    """Runs of consecutive units with the same prefix, by file: first and last index of each run, from 0.
+
+    The order must be unique within a file. Units are numbered, and each is compared with the one before it by its
+    number, so a file of any size is spread over tasks.
+    """
+    rows = numbered_within(units.withColumn("prefix", prefix_of(F.col("id"))).select(file_col, *order, "prefix"), [file_col], order, "idx")
+    rows = cut(rows.select(F.col(file_col).alias("file"), F.col("idx") - 1, "prefix").toDF("file", "idx", "prefix"), "indexed")
+    before = rows.select(F.col("file").alias("f"), (F.col("idx") + 1).alias("i"), F.col("prefix").alias("p"))
+    starts = rows.join(before, F.col("file").eqNullSafe(F.col("f")) & (F.col("idx") == F.col("i")), "left").where(F.col("i").isNull() | ~F.col("prefix").eqNullSafe(F.col("p")))
+    runs = cut(numbered_within(starts.select("file", "idx", "prefix"), ["file"], ["idx"], "run"), "runs")
+    last = rows.groupBy(F.col("file").alias("f")).agg(F.max("idx").alias("last"))
+    following = runs.select(F.col("file").alias("g"), (F.col("run") - 1).alias("r"), (F.col("idx") - 1).alias("next"))
+    out = runs.join(following, F.col("file").eqNullSafe(F.col("g")) & (F.col("run") == F.col("r")), "left").join(last, F.col("file").eqNullSafe(F.col("f")))
+    return out.select(F.col("file").alias(file_col), "run", "prefix", F.col("idx").cast("long").alias("start_idx"), F.coalesce("next", "last").cast("long").alias("end_idx"))
 
 
 def batches(rows: DataFrame, within: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
-    """Batch numbers from 1, `size` rows each, within each group."""
-    w = Window.partitionBy(*within).orderBy(*order)
-    return rows.withColumn("batch", (F.floor((F.row_number().over(w) - 1) / size) + 1).cast("long"))
+    """Batch numbers from 1, `size` rows each, within each group; the order must be unique within a group."""
+    return numbered_within(rows, within, order, "_place").withColumn("batch", (F.floor((F.col("_place") - 1) / size) + 1).cast("long")).drop("_place")
 
 
 def one_per_category(units: DataFrame, category: str, seed: int, key: str = "id") -> DataFrame:

@@ -13,9 +13,11 @@ from quire.operators.labels import normalise
 def long_results(results: DataFrame, models: Sequence[str], gold: str = "gold_label", gold_null_as_label: bool = False) -> DataFrame:
     """(id, model, gold, pred) with normalised labels; rows without prediction are left out.
 
-    A null gold label is left out, or is the label 'nan' with gold_null_as_label. A repeated id counts once.
+    A null gold label is left out, or is the label 'nan' with gold_null_as_label. A repeated id counts once; of rows
+    that differ the one with the greatest gold label holds, then that with the greatest labels of the models in turn.
     """
-    one = results.dropDuplicates(["id"])
+    row = F.max(F.struct(F.col(gold), *(F.col(f"`{m}`") for m in models))).alias("r")
+    one = results.where("id IS NOT NULL").groupBy("id").agg(row).select("id", "r.*")
     g = normalise(F.col(gold))
     g = F.coalesce(g, F.lit("nan")) if gold_null_as_label else g
     pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), normalise(F.col(f"`{m}`")).alias("pred")) for m in models)))

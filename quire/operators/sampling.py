@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.plans.runtime import cut, numbered, numbered_within
+
 #: Shares of the plan.
 TIER_SHARES = {"A": 0.60, "B": 0.25, "C": 0.15}
 SERIES_SHARE, STANDALONE_SHARE = 0.40, 0.60
@@ -84,8 +86,8 @@ def stratified_sample(classified: DataFrame, n: int, seed: int = 42) -> DataFram
 
     Large and Medium series give their temporal picks, an equal number each, in order of the series' name, until
     the tier's quota is met; picks are those of the whole series. Small series and standalone books are filled in
-    seeded hash order. An id picked twice is kept in its first tier. Only as many rows as the quota are ranked
-    per tier beyond the picks.
+    seeded hash order. An id picked twice is kept in its first tier. No task gives away more rows of a cell than the
+    largest quota.
     """
     spark = classified.sparkSession
     plan = F.broadcast(spark.createDataFrame(quotas(n), "tier string, size_category string, quota int"))  # twelve rows
@@ -101,7 +103,8 @@ def stratified_sample(classified: DataFrame, n: int, seed: int = 42) -> DataFram
     pool = classified.where(((F.col("book_type") == "Series") & (F.col("size_category") == "Small")) | (F.col("book_type") == "Standalone"))
     pool = pool.select("id", "tier", F.when(F.col("book_type") == "Standalone", "N/A").otherwise("Small").alias("size_category")).join(plan, ["tier", "size_category"])
     w = Window.partitionBy("tier", "size_category").orderBy(hash_order(F.col("id"), seed), "id")
-    fill = pool.withColumn("r", F.row_number().over(w)).where("r <= quota")
+    most = max(m for *_, m in quotas(n))  # a constant, so that each task ranks and gives away that many rows a cell at most
+    fill = pool.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).where("r <= quota")
     name = F.when(F.col("size_category") == "N/A", "Random (Standalone)").otherwise("Random (Small Series)")
     fill = fill.select("id", "tier", "size_category", name.alias("sampling_strategy"), F.lit("N/A").alias("temporal_position"))
     both = temporal.unionByName(fill)
@@ -116,6 +119,13 @@ def audit(sample: DataFrame, collected: DataFrame, total: int) -> DataFrame:
     return by.withColumn("corpus_percent", F.round(F.col("collected") * 100.0 / max(total, 1), 4))
 
 
+def series_statistics(sample: DataFrame, books: DataFrame) -> DataFrame:
+    """One row: series in the sample, its books from series, and their mean number per series."""
+    series = books.where("series IS NOT NULL AND series <> '?'").select("id", "series").dropDuplicates(["id", "series"])
+    by = sample.select("id").join(series, "id").agg(F.count_distinct("series").alias("n_series"), F.count_distinct("id").alias("n_books"))
+    return by.withColumn("books_per_series", F.round(F.col("n_books") / F.greatest("n_series", F.lit(1)), 2))
+
+
 def sample_statistics(sample: DataFrame) -> DataFrame:
     """Value counts of the sample's columns as (aspect, value, n)."""
     parts = [sample.groupBy(F.lit(c).alias("aspect"), F.col(c).alias("value")).agg(F.count("*").alias("n")) for c in ("tier", "size_category", "sampling_strategy", "temporal_position")]
@@ -137,9 +147,22 @@ def prioritised(units: DataFrame, need: int, seed: int, key: str = "id", kind: s
     return rows.orderBy("priority", hash_order(F.col(key), seed), key).limit(need)
 
 
+def selection_batches(units: DataFrame, need: int, seed: int, size: int = 20, first: int = 1) -> DataFrame:
+    """The prioritised selection shuffled by a seed and cut into files of `size` units: (id, batch, file name)."""
+    picked = prioritised(units, need, seed).select("id").withColumn("_o", hash_order(F.col("id"), seed + 1))
+    rows = numbered(picked, ["_o", "id"], "_n")
+    batch = (F.floor((F.col("_n") - 1) / size) + first).cast("long")
+    return rows.select("id", batch.alias("batch")).withColumn("file_name", F.concat(F.lit("gold_chunks_part_"), F.format_string("%02d", "batch"), F.lit(".json")))
+
+
 def batch_names(units: DataFrame, file: str, book: str, order: list[str], size: int = 20) -> DataFrame:
-    """File names of batches per (file, book): _book<b>, and _part<p> only where a book has more than `size` units."""
-    own = Window.partitionBy(file, book)
-    rows = units.withColumn("part", (F.floor((F.row_number().over(own.orderBy(*order)) - 1) / size) + 1).cast("long")).withColumn("n", F.count("*").over(own))
-    name = F.concat(F.col(file), F.lit("_book"), F.col(book).cast("string"), F.when(F.col("n") > size, F.concat(F.lit("_part"), F.col("part").cast("string"))).otherwise(""))
-    return rows.withColumn("batch_name", name).drop("n")
+    """File names of batches per (file, book): _book<b>, and _part<p> only where a book has more than `size` units.
+
+    The order must be unique within a book; a book of any size is spread over tasks.
+    """
+    rows = cut(numbered_within(units, [file, book], order, "_place"), "placed")
+    large = rows.where(F.col("_place") == size + 1).select(F.col(file).alias("_f"), F.col(book).alias("_b"))  # one row a book
+    rows = rows.join(large, F.col(file).eqNullSafe(F.col("_f")) & F.col(book).eqNullSafe(F.col("_b")), "left")
+    part = (F.floor((F.col("_place") - 1) / size) + 1).cast("long")
+    name = F.concat(F.col(file), F.lit("_book"), F.col(book).cast("string"), F.when(F.col("_f").isNotNull() | F.col("_b").isNotNull(), F.concat(F.lit("_part"), part.cast("string"))).otherwise(""))
+    return rows.withColumn("part", part).withColumn("batch_name", name).drop("_place", "_f", "_b")

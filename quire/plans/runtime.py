@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -34,9 +35,11 @@ def get_session(cpus: str = "8", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (tests) a local one is made and set."""
+    """The folder named in spark.checkpoint.dir; only where it is unset on a local master (tests) a local one is made and set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -125,15 +128,28 @@ def table_reader(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]
     return lambda name: read_table(spark, folder, name)
 
 
-def numbered(df: DataFrame, key: str, name: str = "n") -> DataFrame:
-    """Rows numbered from 1 in order of a unique key, without ordering them all in one task.
+def numbered(df: DataFrame, key: str | Sequence[str], name: str = "n") -> DataFrame:
+    """Rows numbered from 1 in order of a unique key of one or more columns, without ordering them all in one task.
 
     The rows are ranged over tasks and written; a task's rows are numbered from the count of the rows before it.
     """
-    spark = df.sparkSession
+    spark, keys = df.sparkSession, [key] if isinstance(key, str) else list(key)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(df.repartitionByRange(tasks, key).withColumn("_p", F.spark_partition_id()), "ranged")
+    ranged = cut(df.repartitionByRange(tasks, *keys).withColumn("_p", F.spark_partition_id()), "ranged")
     order = Window.partitionBy(F.lit(0)).orderBy("_p")  # as many rows as tasks
     before = ranged.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(order) - F.col("_c")).select("_p", "_before")
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(key))
-    return ranged.join(before, "_p").withColumn(name, F.col("_before") + place).drop("_p", "_before")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*keys))
+    return ranged.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + place).drop("_p", "_before")
+
+
+def numbered_within(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
+    """Rows numbered from 1 within each group in a unique order; a group of any size is spread over tasks.
+
+    Null group keys are a group of their own.
+    """
+    rows = cut(numbered(df, [*group, *order], "_n"), "numbered")
+    first = cut(rows.groupBy(*group).agg((F.min("_n") - 1).alias("_first")), "first")
+    small = cut_bytes(first) * 8 <= BROADCAST_BYTES
+    first = first.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(group)), "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(group)]
+    return rows.join(F.broadcast(first) if small else first, same).withColumn(name, F.col("_n") - F.col("_first")).drop("_n", "_first", *(f"_k{i}" for i in range(len(group))))
