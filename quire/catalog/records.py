@@ -77,7 +77,7 @@ def p6_flat_links(spark, d):
     return flatten.emit(_t(spark, d, "book_json"), "record_id", "body").select("tag", "pk", "parent_pk", "position")
 
 
-@query(_TREE + """, f AS (SELECT CASE WHEN above = 'ARRAY' THEN tag ELSE regexp_replace(tag, '\.[^.]+$', '') END AS tag, CASE WHEN above = 'ARRAY' THEN 'value' ELSE key END AS field,
+@query(_TREE + r""", f AS (SELECT CASE WHEN above = 'ARRAY' THEN tag ELSE regexp_replace(tag, '\.[^.]+$', '') END AS tag, CASE WHEN above = 'ARRAY' THEN 'value' ELSE key END AS field,
   CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'double' ELSE 'bigint' END AS kind FROM k WHERE parent IS NOT NULL AND type NOT IN ('OBJECT', 'ARRAY', 'NULL'))
 SELECT tag, field, kind, count(*) AS n FROM f GROUP BY ALL""")
 def p6_flat_fields(spark, d):

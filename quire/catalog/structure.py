@@ -40,7 +40,7 @@ def _elements(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_TAGS + "SELECT tag, count(*) AS n FROM tags GROUP BY tag")
 def tag_frequency(spark, d):
-    return structure.frequency(_tags(spark, d), "tag")
+    return structure.most_common(structure.frequency(_tags(spark, d), "tag"), "tag")
 
 
 @query(_TAGS + ", n AS (SELECT count(DISTINCT source_file) AS n_docs FROM chunks) SELECT tag, count(*) AS n, count(DISTINCT doc_id) AS n_with, round(count(DISTINCT doc_id) * 100.0 / any_value(n_docs), 2) AS percent FROM tags, n GROUP BY tag")
@@ -68,9 +68,14 @@ def attribute_value_frequency(spark, d):
     return structure.frequency(_attrs(spark, d), F.concat("tag", F.lit("@"), "name", F.lit("="), "value").alias("entry"))
 
 
-@query(_TAGS + "SELECT name, value, n, rank FROM (SELECT name, value, n, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS rank FROM (SELECT name, value, count(*) AS n FROM attr GROUP BY name, value)) WHERE rank <= 500")
+_LISTS = "name IN ('class', 'accesskey', 'dropzone') OR (tag IN ('a', 'link') AND name IN ('rel', 'rev')) OR (tag = 'area' AND name = 'rel') OR (tag IN ('td', 'th') AND name = 'headers')"
+
+
+@query(_TAGS + f"""SELECT name, value, n, rank FROM (SELECT name, value, n, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS rank FROM (SELECT name, value, count(*) AS n
+  FROM (SELECT name, unnest(CASE WHEN {_LISTS} THEN list_filter(string_split_regex(value, '\\s+'), lambda x: x <> '') ELSE [value] END) AS value FROM attr) GROUP BY name, value)) WHERE rank <= 500""")
 def attribute_value_topk(spark, d):
-    return structure.top_per_group(structure.frequency(_attrs(spark, d), "name", "value"), "name", "value", 500)
+    """The commonest values of each attribute, entries of list values counted one by one."""
+    return structure.top_per_group(structure.frequency(structure.split_values(_attrs(spark, d)), "name", "value"), "name", "value", 500)
 
 
 @query(_TAGS + "SELECT tag, part AS class, count(*) AS n FROM (SELECT tag, unnest(string_split_regex(value, '\\s+')) AS part FROM attr WHERE name IN ('class', 'rend')) WHERE part <> '' GROUP BY ALL")
@@ -85,9 +90,13 @@ def distinct_element_inventory(spark, d):
     return structure.frequency(tags.select(structure.element_strings(tags, shred.ATTRIBUTE).alias("element")), "element")
 
 
-@query(_TAGS + "SELECT tag, name, string_agg(DISTINCT value, '|' ORDER BY value) AS value_list, count(*) AS n FROM attr GROUP BY ALL")
+@query(_TAGS + """, kinds AS (SELECT DISTINCT id AS frag_id, source_file AS doc_id, inferred_type AS value FROM chunks WHERE inferred_type IS NOT NULL)
+SELECT tag, kind, name, value, count(*) AS n FROM (SELECT tag, CASE name WHEN 'rend' THEN 'rend' ELSE 'attribute' END AS kind, name, value FROM attr
+UNION ALL SELECT tag, 'css', 'style', trim(split_part(part, ':', 1)) AS value FROM (SELECT tag, unnest(string_split(value, ';')) AS part FROM attr WHERE name = 'style') WHERE contains(part, ':') AND value <> ''
+UNION ALL SELECT tag, 'type', 'inferred-type', value FROM tags JOIN kinds USING (doc_id, frag_id)) GROUP BY ALL""")
 def tag_set_inventory(spark, d):
-    return structure.tag_inventory(_tags(spark, d), _attrs(spark, d))
+    kinds = _t(spark, d, "chunks").where("inferred_type IS NOT NULL").select(F.col("source_file").alias("doc_id"), F.col("id").alias("frag_id"), F.lit("inferred-type").alias("name"), F.col("inferred_type").alias("value")).distinct()
+    return structure.tag_inventory(_tags(spark, d), _attrs(spark, d), kinds)
 
 
 _GRAM = r"""WITH clean AS (SELECT {doc} AS doc_id, {order} regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?is)(<(?:script|style)\b[^>]*>).*?</(?:script|style)\s*>', '\1', 'g') AS t FROM {rows}),
@@ -118,6 +127,14 @@ def top_tags_per_publisher(spark, d):
     return structure.top_per_group(counts, "publisher", "tag", 20)
 
 
+@query(_TAGS + "," + _PUB + """, items AS (SELECT doc_id, tag AS item FROM tags UNION ALL SELECT doc_id, tag || '.' || unnest(list_filter(string_split_regex(value, '\\s+'), lambda x: x <> '')) FROM attr WHERE name = 'class')
+SELECT * FROM (SELECT publisher, item, count(*) AS n FROM items JOIN pub USING (doc_id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY publisher ORDER BY n DESC, item) <= 20""")
+def top_items_per_publisher(spark, d):
+    """Tags and classes together, the twenty commonest of each publisher."""
+    items = structure.tag_and_class(_tags(spark, d), _attrs(spark, d)).join(_publishers(spark, d), "doc_id")
+    return structure.top_per_group(structure.frequency(items, "publisher", "item"), "publisher", "item", 20).drop("rank")
+
+
 @query(_TAGS + "SELECT tag, property, count(*) AS n FROM (SELECT tag, trim(split_part(unnest(string_split(value, ';')), ':', 1)) AS property FROM attr WHERE name = 'style') WHERE property <> '' GROUP BY ALL")
 def css_properties(spark, d):
     return structure.css_properties(_attrs(spark, d))
@@ -147,6 +164,12 @@ def parent_child(spark, d):
     return structure.parent_child(_elements(spark, d))
 
 
+@query()
+def parent_child_by_publisher(spark, d):
+    rows = _elements(spark, d).join(_publishers(spark, d), "doc_id")
+    return structure.parent_child(rows, structure.STRUCTURAL_BY_PUBLISHER, "publisher")
+
+
 @query()
 def nesting_depth(spark, d):
     return structure.nesting_depth(_elements(spark, d))
@@ -154,7 +177,7 @@ def nesting_depth(spark, d):
 
 @query()
 def heading_context(spark, d):
-    return structure.heading_context(_elements(spark, d))
+    return structure.heading_context(_t(spark, d, "chunks"), "source_file", "id", "text")
 
 
 @query()
@@ -185,7 +208,7 @@ def tei_coverage(spark, d):
 _SNIPPETS = r"""WITH clean AS (SELECT DISTINCT id, regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?is)(<(?:script|style)\b[^>]*>).*?</(?:script|style)\s*>', '\1', 'g') AS t FROM chunks WHERE contains(text, '<')),
 tok AS (SELECT id, unnest(regexp_extract_all(t, '<([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>', 0)) AS token, generate_subscripts(regexp_extract_all(t, '<([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>', 0), 1) - 1 AS pos FROM clean),
 r AS (SELECT lower(regexp_extract(token, '<([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>', 1)) AS tag, id, pos, token FROM tok)
-SELECT tag, id, pos::BIGINT AS pos, token FROM r QUALIFY row_number() OVER (PARTITION BY tag ORDER BY id NULLS FIRST, pos) <= 100"""
+SELECT tag, id, pos::BIGINT AS pos, token FROM r QUALIFY row_number() OVER (PARTITION BY tag ORDER BY id NULLS FIRST, pos, token) <= 100"""
 
 
 @query(_SNIPPETS)

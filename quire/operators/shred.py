@@ -58,43 +58,60 @@ def events(text: str) -> Iterator[tuple[str, str, object]]:
 
 
 def elements_of(text: str) -> list[tuple]:
-    """(el_ord, tag, parent_ord, parent_tag, depth, attrs, classes, same_tag_depth, text, prev, next) in document order.
+    """(el_ord, tag, parent_ord, parent_tag, depth, attrs, classes, nesting, text, prev, next) in document order.
 
-    same_tag_depth counts the chain of direct parents of the same tag, from the outermost; text is the
-    element's own text without its children's; prev and next are the neighbouring siblings' tags.
+    nesting, of an element that is in none of its own tag, is the longest chain of direct children of that tag from
+    it on, itself included; null for all others. text is the element's own text without its children's; prev and next
+    are the neighbouring siblings' tags.
     """
     out: list[list] = []
     stack: list[int] = []
     last_child: dict[int | None, int] = {}
+    inside: dict[str, int] = {}  # open elements by tag
+    chain: list[int] = []  # length of the chain of direct children up to each element, 0 if it doesn't reach the outermost
+    outermost: list[int] = []
     for kind, name, attrs in events(text):
         if kind == "text":
             if stack and not name.isspace():
                 out[stack[-1]][8] += html.unescape(name)
         elif kind == "end":
-            for k in range(len(stack) - 1, -1, -1):
-                if out[stack[k]][1] == name:
-                    del stack[k:]
-                    break
+            if inside.get(name):
+                while True:
+                    gone = out[stack.pop()][1]
+                    inside[gone] -= 1
+                    if gone == name:
+                        break
         else:
             parent = stack[-1] if stack else None
             parsed = parse_attrs(attrs) if attrs and not attrs.isspace() else {}
-            chain = out[parent][7] + 1 if parent is not None and out[parent][1] == name else 1
             prev = last_child.get(parent)
             if prev is not None:
                 out[prev][10] = name
             n = len(out)
-            out.append([n, name, parent, out[parent][1] if parent is not None else None, len(stack) + 1, parsed, parsed.get("class", "").split(), chain, "", out[prev][1] if prev is not None else None, None])
+            parent_tag = out[parent][1] if parent is not None else None
+            if not inside.get(name):
+                chain.append(1)
+                outermost.append(n)
+            elif parent_tag == name and chain[parent]:
+                chain.append(chain[parent] + 1)
+                outermost.append(outermost[parent])
+                out[outermost[n]][7] = max(out[outermost[n]][7], chain[n])
+            else:
+                chain.append(0)
+                outermost.append(n)
+            out.append([n, name, parent, parent_tag, len(stack) + 1, parsed, parsed.get("class", "").split(), 1 if not inside.get(name) else None, "", out[prev][1] if prev is not None else None, None])
             last_child[parent] = n
             if kind == "start":
                 stack.append(n)
+                inside[name] = inside.get(name, 0) + 1
     return [tuple(r) for r in out]
 
 
 _ELEMENT = pa.schema([
     ("doc_id", pa.string()), ("frag_id", pa.string()), ("el_ord", pa.int64()), ("tag", pa.string()), ("parent_ord", pa.int64()), ("parent_tag", pa.string()), ("depth", pa.int64()),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("classes", pa.list_(pa.string())), ("same_tag_depth", pa.int64()), ("text", pa.string()), ("prev_tag", pa.string()), ("next_tag", pa.string()),
+    ("attrs", pa.map_(pa.string(), pa.string())), ("classes", pa.list_(pa.string())), ("nesting", pa.int64()), ("text", pa.string()), ("prev_tag", pa.string()), ("next_tag", pa.string()),
 ])
-ELEMENT_DDL = "doc_id string, frag_id string, el_ord bigint, tag string, parent_ord bigint, parent_tag string, depth bigint, attrs map<string,string>, classes array<string>, same_tag_depth bigint, text string, prev_tag string, next_tag string"
+ELEMENT_DDL = "doc_id string, frag_id string, el_ord bigint, tag string, parent_ord bigint, parent_tag string, depth bigint, attrs map<string,string>, classes array<string>, nesting bigint, text string, prev_tag string, next_tag string"
 
 
 def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

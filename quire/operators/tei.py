@@ -62,6 +62,14 @@ def xml(tag: str, inner: str = "", **attrs: str) -> str:
     return f"<{tag}{own}>{inner}</{tag}>" if inner else f"<{tag}{own}/>"
 
 
+def markup(node: Node | str) -> str:
+    """A node and all in it as markup, attributes in their order."""
+    if isinstance(node, str):
+        return node
+    own = "".join(f" {k}={quoteattr(v)}" for k, v in node.attrs.items())
+    return f"<{node.tag}{own}>{''.join(escape(c) if isinstance(c, str) else markup(c) for c in node.content)}</{node.tag}>" if node.content else f"<{node.tag}{own}/>"
+
+
 class Converter:
     """Rule-based conversion; handled and unhandled tags are counted for the coverage report."""
 
