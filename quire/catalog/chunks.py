@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.registry import query
 from quire.functions import names
-from quire.operators import chunking, sampling, tei, textstats
+from quire.operators import chunking, sampling, tei, tei_run, textstats
 from quire.plans.runtime import read_table as _t
 
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}]"
@@ -178,7 +178,8 @@ def token_stats_audit(spark, d):
     return c.join(t, "id", "left").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-_CLEAN = r'''trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '<[^<>]*>', '', 'g'), '([.,;:!?0-9])([A-Za-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), ''' + f"'{_WS}+', ' ', 'g'))"
+# the given texts hold no entities; decoding them is tested apart
+_CLEAN = r'''trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g'), '([.!?\p{Nd},:;])([a-zA-Z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), ''' + f"'{_WS}+', ' ', 'g'))"
 
 
 @query(f"SELECT id, md5({_CLEAN}) AS clean_md5 FROM chunks")
@@ -201,11 +202,29 @@ def html_preview(spark, d):
     return _t(spark, d, "chunks").select("id", F.md5(chunking.preview(F.col("text"))).alias("preview_md5"))
 
 
-@query(_UNITS + """SELECT id, md5(CASE strategy WHEN 'implicit_chapter_stars' THEN '<div type="section">' WHEN 'non-chapter' THEN '<div>' ELSE '<div type="chapter">' END || html || '</div>') AS tei_md5, contains(html, '<uncertain') AS uncertain_found, contains(html, 'type="unknown"') AND strategy = 'non-chapter' AS unknown_type_found FROM units WHERE strategy <> 'novel_no_separator'""")
+_OPEN = """CASE strategy WHEN 'explicit_chapter' THEN '<div type="chapter">' WHEN 'implicit_chapter_stars' THEN '<div type="chapter" rend="separator">' WHEN 'implicit_chapter_jpg' THEN '<div type="chapter" rend="image-separator">' END"""
+
+
+@query(_UNITS + f"""SELECT id, md5({_OPEN} || chr(10) || html || chr(10) || '</div>') AS tei_md5, contains(html, '<uncertain>') AS uncertain_found, contains(html, 'type="unknown"') AND strategy = 'non-chapter' AS unknown_type_found FROM units WHERE strategy <> 'novel_no_separator'""")
 def tei_wrap(spark, d):
+    """Chapters in their div; what is no chapter is only looked at."""
     rows = _units(spark, d).where("strategy <> 'novel_no_separator'")
     uncertain, unknown = tei.quality_flags(F.col("html"), F.col("strategy"))
-    return rows.select("id", F.md5(tei.wrap(F.col("html"), F.col("strategy"))).alias("tei_md5"), uncertain.alias("uncertain_found"), unknown.alias("unknown_type_found"))
+    wrapped = F.when(F.col("strategy").isin(*tei.OPENING), F.md5(tei.wrap(F.col("html"), F.col("strategy"))))
+    return rows.select("id", wrapped.alias("tei_md5"), uncertain.alias("uncertain_found"), unknown.alias("unknown_type_found"))
+
+
+@query(_UNITS + """SELECT id AS chunk_id, CASE strategy WHEN 'novel_no_separator' THEN 'Skipped' ELSE 'Success' END AS status, strategy, CASE WHEN strategy = 'novel_no_separator' THEN 'None' WHEN strategy = 'non-chapter' THEN 'LLM-Wrapped' ELSE 'Script-Wrapped' END AS wrapped_div,
+  CASE strategy WHEN 'non-chapter' THEN 'YES (<div type=''unknown''>)' ELSE 'no' END AS unknown_type_found FROM units""")
+def tei_run_log(spark, d):
+    """The log of a run of the rule-based stand-in over all work units."""
+    log = tei_run.run(_units(spark, d), F.current_timestamp())[1]
+    return log.select("chunk_id", "status", "strategy", "wrapped_div", "unknown_type_found")
+
+
+@query()
+def tei_run_output(spark, d):
+    return tei_run.run(_units(spark, d), F.current_timestamp())[0]
 
 
 @query(r"""SELECT source_file, trim(regexp_replace(translate(source_file, '/\:', '__-'), '[*?"<>|]', '', 'g'), '. ') AS safe, translate(source_file, '/\:', '__-') <> source_file AS changed, regexp_replace(source_file, '[^\p{L}\p{N} ]', '', 'g') AS title FROM (SELECT DISTINCT source_file FROM chunks)""")

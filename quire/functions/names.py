@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def filesystem_safe(name: Column) -> Column:
@@ -34,14 +36,23 @@ def escape_commas(value: Column) -> Column:
     return F.replace(value, F.lit(","), F.lit("⟨,⟩"))
 
 
+@F.pandas_udf(T.StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    import html
+
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescape(text: Column) -> Column:
+    """All entities decoded; only texts with an ampersand leave the JVM."""
+    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
 def clean_annotation_text(text: Column) -> Column:
-    """Basic entities decoded, tags dropped, a blank after punctuation or digits before a letter and where a
-    small letter meets a capital one, white space collapsed."""
-    out = text
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.regexp_replace(out, r"<[^<>]*>", "")
-    out = F.regexp_replace(out, r"([.,;:!?0-9])([A-Za-z])", "$1 $2")
+    """Entities decoded, tags dropped, a blank after punctuation or digits before a letter and where a
+    small letter meets a capital one, white space collapsed. Null is the empty text."""
+    out = F.regexp_replace(unescape(F.coalesce(text, F.lit(""))), r"<[^>]+>", "")
+    out = F.regexp_replace(out, r"([.!?\p{Nd},:;])([a-zA-Z])", "$1 $2")
     out = F.regexp_replace(out, r"([a-z])([A-Z])", "$1 $2")
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 

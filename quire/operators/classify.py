@@ -24,6 +24,12 @@ def build_prompt(text: Column, system: str = PROMPT) -> Column:
     return F.concat(F.lit(system), text)
 
 
+def role_split(text: Column, system: str = PROMPT, lead: str = "") -> Column:
+    """The prompt as messages: array of (role, content), the instruction apart from the text."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(message("system", F.lit(system)), message("user", F.concat(F.lit(lead), text)))
+
+
 def escape_braces(text: Column) -> Column:
     """For template engines: braces doubled."""
     return F.replace(F.replace(text, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
@@ -68,13 +74,19 @@ def with_retry(model: Model, tries: int = 5, base: float = 1.0, sleep: Callable[
 _ANSWER = pa.schema([("id", pa.string()), ("answer", pa.string()), ("status", pa.string()), ("error_message", pa.string())])
 
 
-def _caller(model: Model, batch: int):
+def _caller(model: Model, batch: int, pause: float = 0.0, sleep: Callable[[float], None] = time.sleep):
+    """pause: seconds between two calls of a task, so that a service isn't called too often."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        called = False
         for b in batches:
             ids, prompts = b.column("id").to_pylist(), b.column("prompt").to_pylist()
             rows: list[tuple] = []
             for k in range(0, len(ids), batch):
                 part = ids[k : k + batch]
+                if pause and called:
+                    sleep(pause)
+                called = True
                 try:
                     rows.extend((i, a, "Success", None) for i, a in zip(part, model(prompts[k : k + batch]), strict=True))
                 except Exception as e:  # one failed batch doesn't end the run
@@ -84,16 +96,19 @@ def _caller(model: Model, batch: int):
     return run
 
 
-def run_model(chunks: DataFrame, model: Model = rule_stub, batch: int = 200, most: int = 100_000, last_brace: bool = False) -> DataFrame:
+def run_model(chunks: DataFrame, model: Model = rule_stub, batch: int = 200, most: int = 100_000, last_brace: bool = False, tries: int = 5, base: float = 1.0, pause: float = 0.0) -> DataFrame:
     """(id, label, subtype, status, error_message) of every distinct chunk id.
 
+    A call that fails is made again up to `tries` times, after base, 2 base, 4 base … seconds; pause is the time
+    between the calls of a task.
+
     Blank text is 'no_text' and text beyond `most` characters 'too_long' without a call; a failed batch is
     'batch_error' and an answer without JSON 'parsing_error'; unknown labels become 'unknown'.
     """
     rows = chunks.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("text").alias("text"))
     guard = F.when(~F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False)), "no_text").when(F.length("text") > most, "too_long")
     rows = rows.withColumn("guard", guard)
-    asked = rows.where("guard IS NULL").select("id", build_prompt(F.col("text")).alias("prompt")).mapInArrow(_caller(model, batch), "id string, answer string, status string, error_message string")
+    asked = rows.where("guard IS NULL").select("id", build_prompt(F.col("text")).alias("prompt")).mapInArrow(_caller(with_retry(model, tries, base), batch, pause), "id string, answer string, status string, error_message string")
     parsed = asked.withColumn("j", json_answer(F.col("answer"), last_brace))
     label, subtype = validate(F.get_json_object("j", "$.label"), F.get_json_object("j", "$.subtype"))
     label = F.when(F.col("status") == "Error", "batch_error").when(F.col("j").isNull(), "parsing_error").otherwise(label)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import unicode_strip
@@ -84,16 +84,18 @@ def subtype_rule(label: Column, subtype: Column) -> Column:
 def json_answer(answer: Column, last_brace: bool = False) -> Column:
     """The JSON object in a model's answer as a string, null if none parses.
 
-    Tried in turn: the whole answer, the first fenced block, and the brace span: from the first brace to the last,
-    or with last_brace from the last opening brace to the next closing one.
+    Tried in turn: the whole answer, what stands between fences, block by block, and the brace span: from the first
+    brace to the last, or with last_brace from the last opening brace to the next closing one. A block may begin with
+    any of the letters of 'json'.
     """
     def valid(s: Column) -> Column:
         # alone in an array, so that text after the object isn't overlooked
         return F.when(F.json_object_keys(s).isNotNull() & (F.json_array_length(F.concat(F.lit("["), s, F.lit("]"))) == 1), s)
 
-    fence = F.regexp_extract(answer, r"(?s)```(?:[jsonJSON]*)\s*(.*?)```", 1)
+    blocks = F.transform(F.split(answer, "```"), lambda b: unicode_strip(F.regexp_replace(unicode_strip(b), r"^[json]+", "")))
+    fenced = F.when(F.contains(answer, F.lit("```")), F.try_element_at(F.array_compact(F.transform(blocks, valid)), F.lit(1)))
     span = F.regexp_extract(answer, r"(?s)(\{[^{}]*\})[^{]*$" if last_brace else r"(?s)(\{.*\})", 1)
-    return F.coalesce(valid(F.trim(answer)), valid(F.trim(fence)), valid(span))
+    return F.coalesce(valid(unicode_strip(answer)), fenced, valid(span))
 
 
 def error_breakdown(results: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -103,6 +105,28 @@ def error_breakdown(results: DataFrame, models: Sequence[str]) -> DataFrame:
     return rows.where(F.col("error").isin(*SENTINELS)).groupBy("model", "error").agg(F.count("*").alias("n"))
 
 
+#: Labels after which a chunk counts as failed.
+FAILED = ("parsing_error", "batch_error", "encoding_error")
+
+
+def failed_ids(results: DataFrame, model: str) -> DataFrame:
+    """Ids whose label by the model is an error, with the error."""
+    error = normalise(F.col(f"`{model}`"))
+    return results.select("id", error.alias("error")).where(F.col("error").isin(*FAILED)).distinct()
+
+
+def with_text(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Results with the text of their chunk and whether there is none; of an id's texts the greatest holds."""
+    texts = chunks.where("id IS NOT NULL").groupBy("id").agg(F.max("text").alias("chunk_text"))
+    return results.join(texts, "id", "left").withColumn("no_text", ~F.coalesce(F.col("chunk_text").rlike(r"(?U)\S"), F.lit(False)))
+
+
+def first_per_model(pending: DataFrame, k: int, model: str = "model", key: str = "id") -> DataFrame:
+    """The first k ids to do of each model, in order of ids; the limit is a constant, so each task gives away k rows a model."""
+    w = Window.partitionBy(model).orderBy(key)
+    return pending.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
 def insert_after(columns: Sequence[str], new: str, after: str) -> list[str]:
     """Column order with `new` right after `after`, at the end if that is absent."""
     rest = [c for c in columns if c != new]

@@ -57,7 +57,7 @@ def parse(text: str) -> Node:
     return root
 
 
-def xml(tag: str, inner: str = "", **attrs: str) -> str:
+def xml(tag: str, inner: str = "", /, **attrs: str) -> str:
     own = "".join(f" {k}={quoteattr(v)}" for k, v in attrs.items() if v is not None)
     return f"<{tag}{own}>{inner}</{tag}>" if inner else f"<{tag}{own}/>"
 
@@ -73,7 +73,9 @@ def markup(node: Node | str) -> str:
 class Converter:
     """Rule-based conversion; handled and unhandled tags are counted for the coverage report."""
 
-    def __init__(self) -> None:
+    def __init__(self, copy_unknown: bool = False) -> None:
+        """copy_unknown keeps unknown elements as they are instead of marking them as uncertain."""
+        self.copy_unknown = copy_unknown
         self.handled: set[str] = set()
         self.unhandled: set[str] = set()
 
@@ -99,7 +101,7 @@ class Converter:
                 out.append(self.inline(c))
             else:
                 self.unhandled.add(c.tag)
-                out.append(xml("uncertain", self.inline(c), reason=c.tag))
+                out.append(xml(c.tag, self.inline(c), **c.attrs) if self.copy_unknown else xml("uncertain", self.inline(c), reason=c.tag))
         return "".join(out)
 
     def graphic(self, node: Node) -> str:
@@ -185,7 +187,7 @@ class Converter:
         return "".join(out)
 
     def fragment(self, text: str, kind: str | None = None) -> str:
-        """A fragment's blocks. A chapter's first paragraph is its head if short; a table of contents is a list."""
+        """A fragment's blocks. A chapter's first paragraph with text is its head; a table of contents is a list."""
         root = parse(text)
         if kind == "toc":
             entries = [t for t in (html_text(_serialise(c)) for c in root.content if isinstance(c, Node) and c.tag in ("p", "item", "li")) if t]
@@ -194,10 +196,8 @@ class Converter:
         if kind == "chapter":
             for k, c in enumerate(root.content):
                 if isinstance(c, Node) and c.tag == "p" and (title := c.text().strip()):
-                    if len(title) <= 120:
-                        before = Node("", {}, root.content[:k])
-                        return xml("head", escape(title)) + self.blocks(before) + self.blocks(Node("", {}, root.content[k + 1 :]))
-                    break
+                    before = Node("", {}, root.content[:k])
+                    return xml("head", escape(title)) + self.blocks(before) + self.blocks(Node("", {}, root.content[k + 1 :]))
         return self.blocks(root)
 
 
@@ -206,25 +206,52 @@ def _serialise(node: Node) -> str:
     return f"<{node.tag}>{inner}</{node.tag}>" if node.tag else inner
 
 
-def convert_divs(text: str) -> str:
-    """The second converter: every div, nested ones too, is a TEI div; p.title is its head; empty ones are dropped."""
-    c = Converter()
+#: Renditions with a meaning in the second converter's source.
+ITALIC_REND, PARAGRAPH_REND = "class1752", "class-0"
+
+
+def convert_divs(text: str, italic: str = ITALIC_REND, paragraph: str = PARAGRAPH_REND) -> str:
+    """The second converter: every div, nested ones too, is a TEI div with its class as type; empty ones are dropped.
+
+    p.title is a head, hi with the rendition `italic` within a paragraph is italic and with `paragraph` beside
+    paragraphs is one; graphics and breaks are kept with their attributes. Other elements stay as they are, but for
+    nested divs, which follow as divs of their own.
+    """
     out = []
 
+    def inline(p: Node) -> str:
+        parts = []
+        for x in p.content:
+            if isinstance(x, str):
+                parts.append(escape(x))
+            elif x.tag == "hi" and x.attrs.get("rend") == italic:
+                parts.append(xml("hi", inline(x), rend="italic"))
+            else:
+                parts.append(xml(x.tag, inline(x), **x.attrs))
+        return "".join(parts)
+
     def visit(node: Node) -> None:
         for x in node.content:
-            if isinstance(x, Node):
-                if x.tag == "div":
-                    parts = []
-                    for p in x.content:
-                        if isinstance(p, Node) and p.tag == "p":
-                            title = "title" in p.attrs.get("class", "").split()
-                            inner = c.inline(p).strip()
-                            if inner:
-                                parts.append(xml("head" if title else "p", inner))
-                    if parts:
-                        out.append(xml("div", "".join(parts)))
-                visit(x)
+            if not isinstance(x, Node):
+                continue
+            if x.tag == "div":
+                parts = []
+                for c in x.content:
+                    if not isinstance(c, Node) or c.tag == "div":
+                        continue
+                    if c.tag == "p" and c.attrs.get("class") == "title":
+                        parts.append(xml("head", escape(c.text().strip())))
+                    elif c.tag == "p":
+                        parts.append(xml("p", inline(c).strip()))
+                    elif c.tag == "hi" and c.attrs.get("rend") == paragraph:
+                        parts.append(xml("p", escape(c.text().strip())))
+                    elif c.tag in ("graphic", "lb"):
+                        parts.append(xml(c.tag, **c.attrs))
+                    else:
+                        parts.append(xml(c.tag, escape(c.text().strip()), **c.attrs))
+                if parts:
+                    out.append(xml("div", "".join(parts), type=x.attrs.get("class", "unknown")))
+            visit(x)
 
     visit(parse(text))
     return "".join(out)
@@ -248,20 +275,24 @@ def header(meta: dict, title: str | None) -> str:
     return xml("teiHeader", xml("fileDesc", statement + publication) + xml("profileDesc", language))
 
 
-def route(kind: str | None, href: str | None) -> tuple[str, str] | None:
-    """Where a node goes: (front or body, div type). None for a node without type."""
+def route(kind: str | None, href: str | None, title: str | None = None, forewords: frozenset[str] = frozenset()) -> tuple[str, str] | None:
+    """Where a node goes: (front or body, div type). None for a node without type. A node of unknown type is a cover
+    or, if its title is one of the forewords', a foreword."""
     if not kind:
         return None
     k = kind.lower()
     if "chapter" in k:
         return "body", "chapter"
-    if k in ("unkown", "unknown") and (href or "").endswith("part0000.xhtml"):
-        return "front", "cover"
+    if k in ("unkown", "unknown"):
+        if (href or "").endswith("part0000.xhtml"):
+            return "front", "cover"
+        if title in forewords:
+            return "front", "foreword"
     return "front", k
 
 
-def book_to_tei(body: str) -> str | None:
-    """TEI of a record; null if the body is no JSON object."""
+def book_to_tei(body: str, forewords: frozenset[str] = frozenset()) -> str | None:
+    """TEI of a record; null if the body is no JSON object. Nodes follow in document order."""
     try:
         book = json.loads(body)
     except (ValueError, RecursionError):
@@ -270,18 +301,17 @@ def book_to_tei(body: str) -> str | None:
         return None
     meta = book.get("epub_metadata")
     c, parts = Converter(), {"front": [], "body": []}
-    stack = [book.get("content")]
+    entries = lambda content: reversed(content if isinstance(content, list) else [content] if isinstance(content, dict) else [])
+    stack = list(entries(book.get("content")))
     while stack:
-        content = stack.pop(0)
-        for node in content if isinstance(content, list) else [content] if isinstance(content, dict) else []:
-            if not isinstance(node, dict):
-                continue
-            place = route(node.get("inferred-type"), node.get("href"))
-            if place and isinstance(node.get("text"), str) and node["text"].strip():
-                kind = "toc" if place[1] == "toc" else "chapter" if place[1] == "chapter" else None
-                parts[place[0]].append(xml("div", c.fragment(node["text"], kind), type=place[1]))
-            if node.get("content"):
-                stack.append(node["content"])
+        node = stack.pop()
+        if not isinstance(node, dict):
+            continue
+        place = route(node.get("inferred-type"), node.get("href"), node.get("title"), forewords)
+        if place and isinstance(node.get("text"), str) and node["text"].strip():
+            kind = "toc" if place[1] == "toc" else "chapter" if place[1] == "chapter" else None
+            parts[place[0]].append(xml("div", c.fragment(node["text"], kind), type=place[1]))
+        stack.extend(entries(node.get("content")))
     text = xml("text", xml("front", "".join(parts["front"])) + xml("body", "".join(parts["body"])))
     return f'<TEI xmlns="http://www.tei-c.org/ns/1.0">{header(meta if isinstance(meta, dict) else {}, _first(book.get("title")))}{text}</TEI>'
 
@@ -350,7 +380,9 @@ def coverage(fragments: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def strip_fence(answer: Column) -> Column:
     """A leading ```lang line and a trailing fence are taken off."""
-    return F.regexp_replace(F.regexp_replace(F.trim(answer), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
+    text = unicode_strip(answer)
+    inner = F.regexp_replace(F.regexp_replace(text, r"\A```[a-zA-Z]*\n?", ""), r"\n?```\z", "")
+    return unicode_strip(F.when(text.startswith("```"), inner).otherwise(text))
 
 
 def second_fence(answer: Column) -> Column:
@@ -364,19 +396,22 @@ def div_type(answer: Column) -> Column:
     return F.when(kind == "", "unknown").otherwise(kind)
 
 
-def wrap(text: Column, strategy: Column) -> Column:
-    """The unit in its div: explicit chapters and image parts as chapters, star parts as sections; others raise."""
-    opening = (
-        F.when(strategy == "explicit_chapter", '<div type="chapter">').when(strategy == "implicit_chapter_stars", '<div type="section">')
-        .when(strategy == "implicit_chapter_jpg", '<div type="chapter">').when(strategy == "non-chapter", "<div>")
-        .otherwise(F.raise_error(F.concat(F.lit("no wrapping for strategy "), F.coalesce(strategy, F.lit("null")))))
-    )
-    return F.concat(opening, text, F.lit("</div>"))
+#: The opening tag by strategy.
+OPENING = {"explicit_chapter": '<div type="chapter">', "implicit_chapter_stars": '<div type="chapter" rend="separator">', "implicit_chapter_jpg": '<div type="chapter" rend="image-separator">'}
+
+
+def wrap(text: Column, strategy: Column, indent: str = "") -> Column:
+    """The chapter in its div, each on lines of their own, the lines with text indented; other strategies raise."""
+    opening = F.raise_error(F.concat(F.lit("no wrapping for strategy "), F.coalesce(strategy, F.lit("null"))))
+    for name, tag in OPENING.items():
+        opening = F.when(strategy == name, tag).otherwise(opening)
+    inner = F.regexp_replace(text, r"(?mU)^(?=[^\n]*\S)", indent) if indent else text
+    return F.concat(opening, F.lit("\n"), inner, F.lit("\n</div>"))
 
 
 def quality_flags(text: Column, strategy: Column) -> tuple[Column, Column]:
     """(uncertain_found, unknown_type_found): the latter only outside of chapters."""
-    return text.contains("<uncertain"), text.contains('type="unknown"') & (strategy == "non-chapter")
+    return text.contains("<uncertain>"), text.contains('type="unknown"') & ~strategy.isin(*OPENING)
 
 
 def front_first_strip_prefix(text: Column) -> Column:

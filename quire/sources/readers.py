@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,10 +42,46 @@ def slice_sorted(files: DataFrame, start: int, end: int, key: str = "path") -> D
     return numbered(files, key, "_i").where((F.col("_i") > start) & (F.col("_i") <= end)).drop("_i")
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Tab-separated with header; only the empty string is null, so 'none' stays a value."""
+#: What a table reader takes as missing by default.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    """String columns as numbers where all their values are; one pass over the table."""
+    fits = [F.bool_and(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").try_cast(kind).isNotNull()).alias(f"{k}{i}") for i, c in enumerate(df.columns) for k, kind in (("b", "bigint"), ("d", "double"))]
+    got = df.agg(*fits).first()
+    kinds = ["bigint" if got[f"b{i}"] else "double" if got[f"d{i}"] else "string" for i in range(len(df.columns))]
+    return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in zip(df.columns, kinds)))
+
+
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None, missing: Sequence[str] = ("",)) -> DataFrame:
+    """Tab-separated with header, types by the schema or inferred. Only the empty string is null, so 'none' stays a
+    value; with missing=MISSING all that a table reader takes as missing is."""
     reader = spark.read.option("sep", "\t").option("header", True).option("nullValue", "").option("mode", "PERMISSIVE")
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    if tuple(missing) == ("",):
+        return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    rows = (reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema])) if schema else reader).csv(path)
+    rows = rows.select(*(F.when(~F.col(f"`{c}`").isin(*missing), F.col(f"`{c}`")).alias(c) for c in rows.columns))
+    return rows.select(*(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema)) if schema else _typed(rows)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def input_path(spark: SparkSession, path: str | None, fallback: str) -> str:
+    """The file or folder given, or the fallback folder where none is; a path that isn't there is an error."""
+    chosen = path or fallback
+    if not exists(spark, chosen):
+        raise FileNotFoundError(chosen)
+    return chosen
+
+
+def setting(spark: SparkSession, name: str, default: str | None = None) -> str | None:
+    """A setting from the session (`quire.` before its name), else from the environment, else the default."""
+    found = spark.conf.get(f"quire.{name}", None)
+    return found if found is not None else os.environ.get(name, default)
 
 
 def read_chunk_files(spark: SparkSession, path: str) -> DataFrame:
@@ -80,8 +120,13 @@ def epub_plan(names: DataFrame, column: str = "name") -> DataFrame:
     return rows.select("src", F.concat(F.format_string("%06d_", F.col("n")), F.replace("src", F.lit(" "), F.lit("_"))).alias("dst"))
 
 
-def load_template(text: str) -> str:
-    """A TEI template with stray ampersands repaired and the byte-order mark taken off."""
-    import re
+#: Tags that lost their beginning in the template, and what they are.
+TORN_TAGS = {"revisionDesc>": "<revisionDesc>", "/date>": "</date>"}
+
 
-    return re.sub(r"&(?!\w+;|#\d+;|#x[0-9a-fA-F]+;)", "&amp;", text.lstrip("﻿"))
+def load_template(text: str) -> str:
+    """A TEI template with torn tags mended, stray ampersands escaped and the byte-order mark taken off."""
+    text = text.lstrip("\ufeff")
+    for torn, whole in TORN_TAGS.items():
+        text = re.sub(rf"(?<![</]){re.escape(torn)}", whole, text)
+    return re.sub(r"&(?!\w+;|#\d+;|#x[0-9a-fA-F]+;)", "&amp;", text)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quire.operators.classify import Model, pending, rule_stub, run_model
+from quire.sources.readers import exists
 
 
 def classify_available(spark: SparkSession, chunks_dir: str, schema: T.StructType, results_dir: str, checkpoint: str, model: Model = rule_stub, files_per_batch: int = 100) -> None:
@@ -17,11 +18,8 @@ def classify_available(spark: SparkSession, chunks_dir: str, schema: T.StructTyp
 
     def one(batch: DataFrame, _: int) -> None:
         todo = batch
-        try:
-            todo = pending(batch, batch.sparkSession.read.parquet(results_dir))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if exists(batch.sparkSession, results_dir):  # of the results only the ids are read
+            todo = pending(batch, batch.sparkSession.read.schema("id string").parquet(results_dir))
         run_model(todo, model).write.mode("append").parquet(results_dir)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(chunks_dir)

@@ -49,6 +49,7 @@ def test_known_report(spark):
 @pytest.mark.parametrize(("answer", "last", "want"), [
     ('{"label":"toc"}', False, "toc"), ('```json\n{"label": "toc"}\n```', False, "toc"), ('Sure: {"label":"toc"} done', False, "toc"), ('{"label":"a"} or {"label":"toc"}', True, "toc"),
     ('{"label":"to', False, None), ("", False, None), (None, False, None), ("no json", True, None), ('text ```\n{"label":"toc"}\n``` text', False, "toc"),
+    ('```\nnichts\n``` dann ```json\n{"label":"toc"}\n```', False, "toc"), ('a {"label":"x"} ```json {"label":"toc"}``` {', False, "toc"), ('{"label":"a"} ```kein json``` {"label":"toc"}', True, "a"),
 ])
 def test_json_answers(spark, answer, last, want):
     df = spark.createDataFrame([(answer,)], "a string").select(F.get_json_object(L.json_answer(F.col("a"), last), "$.label").alias("l"))
@@ -80,3 +81,20 @@ def test_validation(spark):
     label, subtype = L.validate(F.col("l"), F.col("s"))
     assert [tuple(r) for r in df.select(label, subtype, L.subtype_rule(F.col("l"), F.col("s"))).collect()] == [
         ("toc", None, "none"), ("reader-information", "editorial", "editorial"), ("reader-information", None, "x"), ("unknown", None, "none"), ("unknown", None, "none"), ("reader-information", None, "none")]
+
+
+def test_failed_text_and_first(spark):
+    res = spark.createDataFrame([("a", " Batch_error"), ("a", "batch_error"), ("b", "toc"), ("c", "parsing_error"), ("d", "too_long"), ("e", None)], "id string, m string")
+    assert {tuple(r) for r in L.failed_ids(res, "m").collect()} == {("a", "batch_error"), ("c", "parsing_error")}
+    chunks = spark.createDataFrame([("a", "t"), ("a", "t"), ("b", " "), (None, "x")], "id string, text string")
+    assert {(r["id"], r["chunk_text"], r["no_text"]) for r in L.with_text(res.select("id").distinct(), chunks).collect()} == {("a", "t", False), ("b", " ", True), ("c", None, True), ("d", None, True), ("e", None, True)}
+    todo = spark.createDataFrame([("x", str(k)) for k in range(5)] + [("y", "7")], "model string, id string")
+    assert {tuple(r) for r in L.first_per_model(todo, 2).collect()} == {("x", "0"), ("x", "1"), ("y", "7")}
+
+
+def test_one_row_of_differing_ones(spark):
+    rows = [("1", "toc", None), ("1", None, "imprint"), ("1", "imprint", "toc")]
+    df = spark.createDataFrame(rows, "id string, gold_label string, m string")
+    for part in (1, 3):
+        assert [(r["gold"], r["pred"]) for r in E.long_results(df.repartition(part), ["m"]).collect()] == []
+    assert [(r["gold"], r["pred"]) for r in E.long_results(df.where("m IS NOT NULL"), ["m"]).collect()] == [("imprint", "toc")]

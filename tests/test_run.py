@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import names
 from quire.functions.text import label_key
 from quire.operators import classify, textstats
-from quire.plans.runtime import cut, cut_bytes, drop_cut, join_checked
+from quire.plans.runtime import cut, cut_bytes, drop_cut, join_checked, numbered_within, shared_dir
 from quire.sources import readers, sinks
 from quire.streaming.resume import classify_available
 
@@ -19,7 +20,7 @@ def test_model_run_and_sentinels(spark):
     def bad(prompts):
         raise RuntimeError("boom")
 
-    got = {r["id"]: (r["label"], r["status"]) for r in classify.run_model(df, bad, most=1000).collect()}
+    got = {r["id"]: (r["label"], r["status"]) for r in classify.run_model(df, bad, most=1000, tries=2, base=0.0).collect()}
     assert got["d"] == ("batch_error", "Error") and got["b"][0] == "no_text"
     got = {r["id"]: r["label"] for r in classify.run_model(df, lambda p: ["no json"] * len(p)).collect()}
     assert got["a"] == "parsing_error"
@@ -40,6 +41,20 @@ def test_retry():
         classify.with_retry(lambda p: 1 / 0, tries=2, sleep=lambda s: None)(["p"])
 
 
+def test_calls_pause_between():
+    import pyarrow as pa
+
+    waits = []
+    batch = pa.RecordBatch.from_pydict({"id": ["a", "b", "c"], "prompt": ["x", "y", "z"]})
+    rows = [r for b in classify._caller(lambda p: p, 2, 0.5, waits.append)(iter([batch, batch])) for r in b.to_pylist()]
+    assert waits == [0.5] * 3 and [r["answer"] for r in rows] == ["x", "y", "z"] * 2
+
+
+def test_prompts(spark):
+    r = spark.createDataFrame([("t {x}",)], "t string").select(classify.role_split(F.col("t"), "sys", "HTML: ").alias("m"), classify.escape_braces(F.col("t")).alias("e")).first()
+    assert [tuple(m) for m in r["m"]] == [("system", "sys"), ("user", "HTML: t {x}")] and r["e"] == "t {{x}}"
+
+
 def test_incremental_run(spark, tmp_path):
     src, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     df = spark.createDataFrame([("a", "x" * 2000), ("b", None)], "id string, text string")
@@ -81,6 +96,18 @@ def test_readers(spark, tmp_path):
     assert sorted(r["dst"] for r in plan.collect()) == ["000001_a.epub", "000002_b_c.EPUB"]
     assert {r["id"] for r in readers.collected_ids(spark.createDataFrame([("12_x",), ("12_y",), ("13",)], "name string")).collect()} == {"12", "13"}
     assert readers.load_template("﻿a & b &amp; c") == "a &amp; b &amp; c"
+    assert readers.load_template("revisionDesc><date>x/date></revisionDesc>") == "<revisionDesc><date>x</date></revisionDesc>"
+    (tmp_path / "na.tsv").write_text("a\tb\tc\n1\tNA\tnone\nnan\t2.5\tNone\n")
+    typed = readers.read_tsv(spark, str(tmp_path / "na.tsv"), missing=readers.MISSING)
+    assert typed.dtypes == [("a", "bigint"), ("b", "double"), ("c", "string")] and [tuple(r) for r in typed.collect()] == [(1, None, "none"), (None, 2.5, None)]
+    assert readers.input_path(spark, None, str(tmp_path)) == str(tmp_path) and readers.input_path(spark, str(tmp_path / "na.tsv"), "x").endswith("na.tsv")
+    with pytest.raises(FileNotFoundError):
+        readers.input_path(spark, str(tmp_path / "nichts"), str(tmp_path))
+    assert readers.setting(spark, "QUIRE_NO_SUCH", "d") == "d"
+    spark.conf.set("quire.MODEL", "m")
+    assert readers.setting(spark, "MODEL") == "m"
+    chunks = spark.createDataFrame([("a", "t"), ("b", "t")], "id string, text string")
+    assert {tuple(r) for r in readers.gold_or_null(chunks, None).collect()} == {("a", None), ("b", None)} and readers.gold_or_null(chunks, chunks) is chunks
 
 
 def test_sinks(spark, tmp_path):
@@ -91,7 +118,15 @@ def test_sinks(spark, tmp_path):
     assert {d for d in os.listdir(tmp_path / "p") if d.startswith("publisher")} == {"publisher_dir=a_b", "publisher_dir=unknown"}
     sinks.write_files(spark.createDataFrame([("a.xml", "<a/>"), ("b.xml", None)], "name string, text string"), str(tmp_path / "f"))
     assert sorted(os.listdir(tmp_path / "f")) == ["a.xml", "b.xml"] and (tmp_path / "f" / "a.xml").read_text() == "<a/>"
-    assert sinks.json_array(df.where("publisher IS NOT NULL"), "v").first()["value"] == '[{"publisher":"a/b","v":"x,1"}]'
+    for n in (0, 1, 25):
+        rows = spark.range(n).selectExpr("id AS k", "IF(id % 2 = 0, concat('z', id), NULL) AS v")
+        sinks.write_json_array(rows, str(tmp_path / f"a{n}"), "k")
+        text = "".join((tmp_path / f"a{n}" / f).read_text() for f in sorted(os.listdir(tmp_path / f"a{n}")) if f.startswith("part"))
+        assert json.loads(text) == [{"k": k, "v": f"z{k}" if k % 2 == 0 else None} for k in range(n)]
+    sinks.write_file_folders(spark.createDataFrame([("a.xml", "<a/>"), ("b.xml", None)], "name string, text string"), str(tmp_path / "ff"))
+    assert {d for d in os.listdir(tmp_path / "ff") if d.startswith("name")} == {"name=a.xml", "name=b.xml"}
+    log = sinks.mapping_log(spark.createDataFrame([("p", True), ("x", False), ("b", True)], "tag string, handled boolean")).first()["value"]
+    assert json.loads(log) == {"handled": ["b", "p"], "unhandled": ["x"]}
     sinks.write_text_report(df, str(tmp_path / "r"), "v")
     sinks.write_json_lines(df, str(tmp_path / "j"))
     assert spark.read.text(str(tmp_path / "r")).count() == spark.read.json(str(tmp_path / "j")).count() == 2
@@ -99,10 +134,38 @@ def test_sinks(spark, tmp_path):
     assert {tuple(r) for r in sinks.long_counts(tag=n, cls=n).collect()} == {("p", "tag", 2), ("p", "cls", 2)}
 
 
+def test_more_names(spark):
+    r = spark.createDataFrame([('a<b>:"c/d\\|?*', "x/y/z.json", None)], "p string, q string, n string").select(names.safe_publisher(F.col("p")), names.basename(F.col("q")), names.clean_annotation_text(F.col("n")), names.numeric_or_null(F.lit("1e3")), names.numeric_or_null(F.lit("x"))).first()
+    assert tuple(r) == ("a_b___c_d____", "z.json", "", 1000.0, None) and names.column_name("a/b:c") == "a_b_c"
+
+
+def test_numbers_within_groups(spark):
+    rows = [("a", k) for k in range(40)] + [(None, k) for k in range(7)] + [("b", 3)]
+    got = numbered_within(spark.createDataFrame(rows, "g string, k int").repartition(5), ["g"], ["k"]).collect()
+    assert {(r["g"], r["k"], r["n"]) for r in got} == {(g, k, k + 1 if g != "b" else 1) for g, k in rows}
+    assert numbered_within(spark.createDataFrame([], "g string, k int"), ["g"], ["k"]).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://x:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_names_and_stats(spark):
-    df = spark.createDataFrame([('. a/b\\c:d*?"<>|. ', "<p>Es&nbsp;war:3mal</p> einMal")], "n string, t string")
+    df = spark.createDataFrame([('. a/b\\c:d*?"<>|. ', "<p>Es&nbsp;war:3mal</p> einMal &#252;ber &lt;b&gt;Th&uuml;r&amp;")], "n string, t string")
     r = df.select(names.filesystem_safe(F.col("n")).alias("s"), names.clean_annotation_text(F.col("t")).alias("c"), names.safe_title(F.lit("Ä-b! 1  ")).alias("t"), names.escape_commas(F.lit("a,b")).alias("e"), label_key(F.lit(" Title_ page ")).alias("k")).first()
-    assert tuple(r) == ("a_b_c-d", "Es war:3 mal ein Mal", "Äb 1", "a⟨,⟩b", "title-page")
+    assert tuple(r) == ("a_b_c-d", "Es war:3 mal ein Mal über Thür&", "Äb 1", "a⟨,⟩b", "title-page")
     chunks = spark.createDataFrame([("a", "f", "<p></p>", "chapter"), ("b", "f", "<p>ä b</p>", "toc"), ("c", "f", None, None)], "id string, source_file string, text string, inferred_type string")
     got = {r["id"]: r for r in textstats.token_stats(chunks).collect()}
     assert (got["a"]["ratio_markup"], got["a"]["tokens_plain"], got["b"]["words_plain"], got["b"]["tokens_plain"], got["b"]["tokens_overhead"], got["b"]["tags_approx"]) == (1.0, 0, 2, 4, 7, 2) and "c" not in got

@@ -60,3 +60,18 @@ def test_batch_names_and_picks(spark):
     known = ids.limit(20)
     picked = {r["id"] for r in S.random_pick(ids, known, 10, 1).collect()}
     assert len(picked) == 10 and not picked & {r["id"] for r in known.collect()}
+
+
+def test_series_and_batches(spark):
+    books = spark.createDataFrame([("1", "A"), ("2", "A"), ("2", "A"), ("3", "?"), ("4", None), ("5", "B"), ("9", "C")], "id string, series string")
+    sample = spark.createDataFrame([(str(k),) for k in range(1, 6)], "id string")
+    assert tuple(S.series_statistics(sample, books).first()) == (2, 3, 1.5)
+    assert tuple(S.series_statistics(sample.limit(0), books).first()) == (0, 0, 0.0)
+    units = spark.createDataFrame([(f"n{k}", "toc") for k in range(30)] + [(f"c{k}", "chapter") for k in range(30)], "id string, inferred_type string")
+    got = S.selection_batches(units, 45, 1, 20, first=3).collect()
+    assert len(got) == 45 and sum(r["id"][0] == "n" for r in got) == 30
+    assert sorted(r["file_name"] for r in got) == ["gold_chunks_part_03.json"] * 20 + ["gold_chunks_part_04.json"] * 20 + ["gold_chunks_part_05.json"] * 5
+    assert len({r["id"][0] for r in got if r["batch"] == 3}) == 2  # shuffled
+    rows = spark.createDataFrame([("f", b, k) for b, m in ((0, 20), (1, 21), (None, 3)) for k in range(m)], "file string, book int, k int")
+    names = {r["batch_name"] for r in S.batch_names(rows.where("book IS NOT NULL"), "file", "book", ["k"]).collect()}
+    assert names == {"f_book0", "f_book1_part1", "f_book1_part2"}
