@@ -14,7 +14,7 @@ _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}
 _NB = r"[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}]"
 _STAR = rf"<p[^>]*>(?:{_WS}|\*)*\*(?:{_WS}|\*)*</p>"
 _IMAGE = rf"<p[^>]*>(?:<p[^>]*>)?{_WS}*<graphic[^>]*url=\"[^\"]+\.jpg\"[^>]*/>{_WS}*(?:{_WS}*</p>){{1,2}}"
-_UNITS = f"""WITH k AS (SELECT *, CASE WHEN contains(lower(inferred_type), 'chapter') THEN 'explicit_chapter'
+UNITS_SQL = f"""WITH k AS (SELECT *, CASE WHEN contains(lower(inferred_type), 'chapter') THEN 'explicit_chapter'
     WHEN inferred_type = 'novel' AND regexp_matches(text, '{_STAR}') THEN 'implicit_chapter_stars'
     WHEN inferred_type = 'novel' AND regexp_matches(text, '{_IMAGE}') THEN 'implicit_chapter_jpg'
     WHEN inferred_type = 'novel' THEN 'novel_no_separator' ELSE 'non-chapter' END AS strat FROM chunks WHERE regexp_matches(text, '{_NB}')),
@@ -24,24 +24,24 @@ u AS (SELECT base, source_file, inferred_type, strategy, unnest(a) AS html, gene
 units AS (SELECT CASE WHEN strategy IN ('implicit_chapter_stars', 'implicit_chapter_jpg') THEN base || printf('_part%02d', p) ELSE base END AS id, source_file, html, inferred_type, strategy,
     CASE WHEN strategy = 'novel_no_separator' THEN 'uncertain' ELSE 'success' END AS status, CASE WHEN strategy IN ('implicit_chapter_stars', 'implicit_chapter_jpg') THEN p ELSE 0 END AS part_no FROM u)
 """
-_NAMES = "('explicit_chapter'), ('implicit_chapter_stars'), ('implicit_chapter_jpg'), ('novel_no_separator'), ('non-chapter')"
+STRATEGY_VALUES = "('explicit_chapter'), ('implicit_chapter_stars'), ('implicit_chapter_jpg'), ('novel_no_separator'), ('non-chapter')"
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
     return chunking.work_units(_t(spark, d, "chunks"), "id", "source_file", "text", "inferred_type")
 
 
-@query(_UNITS + "SELECT id, source_file, inferred_type, strategy, status, part_no::BIGINT AS part_no, md5(html) AS html_md5 FROM units")
+@query(UNITS_SQL + "SELECT id, source_file, inferred_type, strategy, status, part_no::BIGINT AS part_no, md5(html) AS html_md5 FROM units")
 def work_units(spark, d):
     return _units(spark, d).select("id", "source_file", "inferred_type", "strategy", "status", "part_no", F.md5("html").alias("html_md5"))
 
 
-@query(_UNITS + "SELECT id, md5(html) AS html_md5 FROM units WHERE strategy = 'implicit_chapter_stars'")
+@query(UNITS_SQL + "SELECT id, md5(html) AS html_md5 FROM units WHERE strategy = 'implicit_chapter_stars'")
 def star_split(spark, d):
     return _units(spark, d).where("strategy = 'implicit_chapter_stars'").select("id", F.md5("html").alias("html_md5"))
 
 
-@query(_UNITS + "SELECT id, md5(html) AS html_md5 FROM units WHERE strategy = 'implicit_chapter_jpg'")
+@query(UNITS_SQL + "SELECT id, md5(html) AS html_md5 FROM units WHERE strategy = 'implicit_chapter_jpg'")
 def image_split(spark, d):
     return _units(spark, d).where("strategy = 'implicit_chapter_jpg'").select("id", F.md5("html").alias("html_md5"))
 
@@ -57,22 +57,22 @@ def count_units(spark, d):
     return rows.groupBy("source_file").agg(F.sum(chunking.count_parts(F.col("text"), F.col("inferred_type"))).alias("n_units"))
 
 
-@query(_UNITS + "SELECT source_file, " + ", ".join(f"count(*) FILTER (strategy = '{s}') AS {s.replace('-', '_')}" for s in chunking.STRATEGIES) + ", count(*) AS total FROM units GROUP BY source_file")
+@query(UNITS_SQL + "SELECT source_file, " + ", ".join(f"count(*) FILTER (strategy = '{s}') AS {s.replace('-', '_')}" for s in chunking.STRATEGIES) + ", count(*) AS total FROM units GROUP BY source_file")
 def strategy_report(spark, d):
     return chunking.strategy_report(_units(spark, d))
 
 
-@query(_UNITS + f"SELECT s AS strategy, count(units.id) AS chunk_count FROM (VALUES {_NAMES}) v(s) LEFT JOIN units ON strategy = s GROUP BY s UNION ALL SELECT 'total', count(*) FROM units")
+@query(UNITS_SQL + f"SELECT s AS strategy, count(units.id) AS chunk_count FROM (VALUES {STRATEGY_VALUES}) v(s) LEFT JOIN units ON strategy = s GROUP BY s UNION ALL SELECT 'total', count(*) FROM units")
 def strategy_aggregate(spark, d):
     return chunking.strategy_aggregate(_units(spark, d))
 
 
-@query(_UNITS + "SELECT source_file, count(*) AS n_units, string_agg(DISTINCT strategy, ',' ORDER BY strategy) AS strategies FROM units GROUP BY source_file")
+@query(UNITS_SQL + "SELECT source_file, count(*) AS n_units, string_agg(DISTINCT strategy, ',' ORDER BY strategy) AS strategies FROM units GROUP BY source_file")
 def file_summary(spark, d):
     return chunking.file_summary(_units(spark, d))
 
 
-@query(_UNITS + "SELECT id, CASE WHEN length(coalesce(inferred_type, 'None')) > 20 THEN left(inferred_type, 17) || '...' ELSE coalesce(inferred_type, 'None') END AS type_short, strategy, length(html) AS html_length FROM units")
+@query(UNITS_SQL + "SELECT id, CASE WHEN length(coalesce(inferred_type, 'None')) > 20 THEN left(inferred_type, 17) || '...' ELSE coalesce(inferred_type, 'None') END AS type_short, strategy, length(html) AS html_length FROM units")
 def chunk_inspection(spark, d):
     return chunking.inspection(_units(spark, d))
 
@@ -187,9 +187,13 @@ def clean_text(spark, d):
     return _t(spark, d, "chunks").select("id", F.md5(names.clean_annotation_text(F.col("text"))).alias("clean_md5"))
 
 
-@query()
+_TEXT_NODES = r"""string_split_regex(text, '(?s)<!--.*?(?:-->|$)|<[!?][^>]*>|</?[A-Za-z][A-Za-z0-9_:.\-]*(?:"[^"]*"|''[^'']*''|[^''">])*>')"""
+
+
+@query(f"SELECT id, md5(array_to_string(list_filter(list_transform({_TEXT_NODES}, lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> ''), ' ')) AS text_md5 FROM chunks WHERE text IS NOT NULL")
 def visible_text(spark, d):
-    return textstats.visible_text(_t(spark, d, "chunks"))
+    rows = textstats.visible_text(_t(spark, d, "chunks").where("text IS NOT NULL"))
+    return rows.select("id", F.md5(rows.columns[-1]).alias("text_md5"))
 
 
 @query(f"SELECT id, CASE WHEN text IS NULL OR NOT regexp_matches(text, '{_NB}') THEN 'no_text' WHEN length(text) > 20000 THEN 'too_long' ELSE 'ok' END AS guard FROM chunks")
@@ -205,7 +209,7 @@ def html_preview(spark, d):
 _OPEN = """CASE strategy WHEN 'explicit_chapter' THEN '<div type="chapter">' WHEN 'implicit_chapter_stars' THEN '<div type="chapter" rend="separator">' WHEN 'implicit_chapter_jpg' THEN '<div type="chapter" rend="image-separator">' END"""
 
 
-@query(_UNITS + f"""SELECT id, md5({_OPEN} || chr(10) || html || chr(10) || '</div>') AS tei_md5, contains(html, '<uncertain>') AS uncertain_found, contains(html, 'type="unknown"') AND strategy = 'non-chapter' AS unknown_type_found FROM units WHERE strategy <> 'novel_no_separator'""")
+@query(UNITS_SQL + f"""SELECT id, md5({_OPEN} || chr(10) || html || chr(10) || '</div>') AS tei_md5, contains(html, '<uncertain>') AS uncertain_found, contains(html, 'type="unknown"') AND strategy = 'non-chapter' AS unknown_type_found FROM units WHERE strategy <> 'novel_no_separator'""")
 def tei_wrap(spark, d):
     """Chapters in their div; what is no chapter is only looked at."""
     rows = _units(spark, d).where("strategy <> 'novel_no_separator'")
@@ -214,7 +218,16 @@ def tei_wrap(spark, d):
     return rows.select("id", wrapped.alias("tei_md5"), uncertain.alias("uncertain_found"), unknown.alias("unknown_type_found"))
 
 
-@query(_UNITS + """SELECT id AS chunk_id, CASE strategy WHEN 'novel_no_separator' THEN 'Skipped' ELSE 'Success' END AS status, strategy, CASE WHEN strategy = 'novel_no_separator' THEN 'None' WHEN strategy = 'non-chapter' THEN 'LLM-Wrapped' ELSE 'Script-Wrapped' END AS wrapped_div,
+_PICK = f"""WITH u AS (SELECT id, min(CASE WHEN inferred_type IN ('chapter', 'novel') THEN 1 ELSE 0 END) AS p FROM ({_ONE}) GROUP BY id), s AS (SELECT id FROM u ORDER BY p, md5(id || ':7'), id LIMIT 200)
+"""
+
+
+@query(_PICK + "SELECT id, batch, 'gold_chunks_part_' || printf('%02d', batch) || '.json' AS file_name FROM (SELECT id, ((row_number() OVER (ORDER BY md5(id || ':8'), id) - 1) // 20 + 1)::BIGINT AS batch FROM s)")
+def selection_batches(spark, d):
+    return sampling.selection_batches(_one(spark, d), 200, 7)
+
+
+@query(UNITS_SQL + """SELECT id AS chunk_id, CASE strategy WHEN 'novel_no_separator' THEN 'Skipped' ELSE 'Success' END AS status, strategy, CASE WHEN strategy = 'novel_no_separator' THEN 'None' WHEN strategy = 'non-chapter' THEN 'LLM-Wrapped' ELSE 'Script-Wrapped' END AS wrapped_div,
   CASE strategy WHEN 'non-chapter' THEN 'YES (<div type=''unknown''>)' ELSE 'no' END AS unknown_type_found FROM units""")
 def tei_run_log(spark, d):
     """The log of a run of the rule-based stand-in over all work units."""

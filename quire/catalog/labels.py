@@ -143,10 +143,13 @@ def results_long(spark, d):
     return classify.models_long(_t(spark, d, "eval_results"), MODELS[:3])
 
 
-@query()
+@query(r"""WITH t AS (SELECT id, max(text) AS text FROM chunks WHERE id IS NOT NULL GROUP BY id),
+g AS (SELECT id, text, lower(text) AS low, CASE WHEN NOT coalesce(regexp_matches(text, '[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}]'), false) THEN 'no_text' WHEN length(text) > 100000 THEN 'too_long' END AS guard FROM t)
+SELECT id, coalesce(guard, CASE WHEN contains(low, '<graphic') AND length(text) < 400 THEN 'cover-image' WHEN len(regexp_extract_all(low, '<item|<ref')) > 4 THEN 'toc'
+  WHEN contains(low, 'isbn') OR contains(low, 'impressum') OR contains(low, 'verlag') THEN 'imprint' WHEN length(text) > 1500 THEN 'chapter' ELSE 'unknown' END) AS label, CASE WHEN guard IS NULL THEN 'Success' ELSE 'Skipped' END AS status FROM g""")
 def classify_chunks(spark, d):
     """The rule-based stub behind the model interface, over all chunks."""
-    return classify.run_model(_t(spark, d, "chunks"))
+    return classify.run_model(_t(spark, d, "chunks")).select("id", "label", "status")
 
 
 @query("SELECT DISTINCT id FROM chunks WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM eval_results WHERE id IS NOT NULL)")
@@ -171,3 +174,22 @@ def batch_token_stats(spark, d):
 def context_check(spark, d):
     rows = _t(spark, d, "chunks").where("text IS NOT NULL").select("id", classify.build_prompt(F.col("text")).alias("prompt"))
     return classify.context_check(rows, 8192, F.octet_length).select("id", "over_context")
+
+
+@query("SELECT DISTINCT id, lower(trim(inferred_type)) AS error FROM eval_results WHERE lower(trim(inferred_type)) IN ('parsing_error', 'batch_error', 'encoding_error')")
+def failed_ids(spark, d):
+    return labels.failed_ids(_t(spark, d, "eval_results"), "inferred_type")
+
+
+@query(r"""WITH t AS (SELECT id, max(text) AS text FROM chunks WHERE id IS NOT NULL GROUP BY id)
+SELECT r.id, md5(text) AS text_md5, NOT coalesce(regexp_matches(text, '[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}]'), false) AS no_text FROM (SELECT DISTINCT id FROM eval_results) r LEFT JOIN t USING (id)""")
+def results_with_text(spark, d):
+    rows = labels.with_text(_t(spark, d, "eval_results").select("id").distinct(), _t(spark, d, "chunks"))
+    return rows.select("id", F.md5("chunk_text").alias("text_md5"), "no_text")
+
+
+@query("SELECT model, id FROM (" + " UNION ".join(f"SELECT '{m}' AS model, id FROM eval_results WHERE {m} IS NULL AND id IS NOT NULL" for m in MODELS) + ") QUALIFY row_number() OVER (PARTITION BY model ORDER BY id) <= 25")
+def first_pending_per_model(spark, d):
+    """The first ids without an answer of each model."""
+    rows = _t(spark, d, "eval_results").where("id IS NOT NULL").select("id", F.explode(F.array(*(F.when(F.col(m).isNull(), F.lit(m)) for m in MODELS))).alias("model"))
+    return labels.first_per_model(rows.where("model IS NOT NULL").distinct(), 25).select("model", "id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.catalog.chunks import STRATEGY_VALUES, UNITS_SQL
 from quire.catalog.registry import query
 from quire.operators import chunking, flatten, metadata, nested, relabel, tei, tree
 from quire.plans.runtime import read_table as _t
@@ -30,35 +31,45 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT record_id, source_file, json_extract_string(body, '$.title') AS title, json_extract(body, '$.processing_log.is_collection')::VARCHAR = 'true' AS is_collection FROM book_json WHERE body IS NOT NULL AND json_valid(body)")
 def p6_books(spark, d):
-    rows = nested.shred(_t(spark, d, "book_json"))["book"]
+    rows = nested.shred(_t(spark, d, "book_json"), "book")["book"]
     return rows.select("record_id", "source_file", "title", "is_collection")
 
 
-@query()
+@query("""WITH v AS (SELECT record_id, json_extract(body, '$.epub_metadata') AS m FROM book_json WHERE body IS NOT NULL AND json_valid(body)),
+f AS (SELECT record_id, unnest(json_keys(m)) AS name, m FROM v WHERE json_type(m) = 'OBJECT'),
+x AS (SELECT record_id, name, json_extract(m, '$."' || name || '"') AS j FROM f),
+e AS (SELECT record_id, name, CASE json_type(j) WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'scalar' END AS kind, unnest(CASE json_type(j) WHEN 'ARRAY' THEN json_extract(j, '$[*]') WHEN 'NULL' THEN [] ELSE [j] END) AS v,
+  unnest(CASE json_type(j) WHEN 'ARRAY' THEN range(json_array_length(j)::BIGINT) WHEN 'NULL' THEN [] ELSE [0] END) AS position FROM x)
+SELECT record_id, name || '/' || position AS key, position::BIGINT AS position, name, kind, CASE WHEN json_type(v) NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(v, '$') END AS value FROM e""")
 def p6_metadata(spark, d):
-    return nested.shred(_t(spark, d, "book_json"))["metadata"]
+    """Metadata values; objects, whose JSON text both engines write in another way, are left out of the comparison."""
+    rows = nested.shred(_t(spark, d, "book_json"), "metadata")["metadata"]
+    return rows.select("record_id", "key", "position", "name", "kind", F.when(~F.col("value").rlike(r"^[\[{].*[\]}]$"), F.col("value")).alias("value"))
 
 
 @query(_NODES + "SELECT record_id, node_path, depth::BIGINT AS depth, json_extract_string(node, '$.type') AS type, json_extract_string(node, '$.href') AS href, json_extract_string(node, '$.title') AS title, json_extract_string(node, '$.inferred-type') AS inferred_type, md5(text) AS text_md5 FROM nodes")
 def p6_nodes(spark, d):
-    rows = nested.shred(_t(spark, d, "book_json"))["node"]
+    rows = nested.shred(_t(spark, d, "book_json"), "node")["node"]
     return rows.select("record_id", F.col("key").alias("node_path"), "depth", "type", "href", "title", "inferred_type", F.md5("text").alias("text_md5"))
 
 
 @query(_NODES + "SELECT record_id, node_path, (k - 1)::BIGINT AS position, json_extract_string(i, '$') AS url FROM (SELECT record_id, node_path, unnest(json_extract(node, '$.images[*]')) AS i, generate_subscripts(json_extract(node, '$.images[*]'), 1) AS k FROM nodes WHERE json_type(node, '$.images') = 'ARRAY')")
 def p6_images(spark, d):
-    rows = nested.shred(_t(spark, d, "book_json"))["image"]
+    rows = nested.shred(_t(spark, d, "book_json"), "image")["image"]
     return rows.select("record_id", F.col("parent_key").alias("node_path"), "position", "url")
 
 
-@query()
+@query("""WITH v AS (SELECT record_id, json_extract(body, '$.processing_log.component_log') AS l FROM book_json WHERE body IS NOT NULL AND json_valid(body)),
+e AS (SELECT record_id, unnest(json_extract(l, '$[*]')) AS e, unnest(range(json_array_length(l)::BIGINT)) AS position FROM v WHERE json_type(l) = 'ARRAY')
+SELECT record_id, position::BIGINT AS position, json_extract_string(e, '$.step') AS step, array_to_string(json_extract_string(e, '$.added_fields[*]'), ',') AS added_fields FROM e""")
 def p6_logs(spark, d):
-    return nested.shred(_t(spark, d, "book_json"))["log"]
+    rows = nested.shred(_t(spark, d, "book_json"), "log")["log"]
+    return rows.select("record_id", "position", "step", F.array_join("added_fields", ",").alias("added_fields"))
 
 
 @query("SELECT record_id FROM book_json WHERE body IS NULL OR NOT json_valid(body)")
 def p6_rejects(spark, d):
-    return nested.shred(_t(spark, d, "book_json"))["reject"]
+    return nested.shred(_t(spark, d, "book_json"), "reject")["reject"]
 
 
 _TREE = r"""WITH v AS (SELECT record_id, body FROM book_json WHERE body IS NOT NULL AND json_valid(body)),
@@ -119,18 +130,34 @@ def flatten_tree(spark, d):
     return tree.flatten_with_ids(_t(spark, d, "book_json")).select("record_id", "base_id", "inferred_type", F.md5("text").alias("text_md5"))
 
 
-@query()
+_CORPUS = _FLAT + ", c AS (SELECT base_id AS id, source_file, inferred_type, text FROM flat), " + UNITS_SQL.removeprefix("WITH ").replace("FROM chunks", "FROM c")
+
+
+def _corpus_units(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.work_units(tree.flatten_with_ids(_t(spark, d, "book_json")), "base_id", "source_file", "text", "inferred_type")
+
+
+@query(_CORPUS + "SELECT id, source_file, inferred_type, strategy, status, part_no::BIGINT AS part_no, md5(html) AS html_md5 FROM units")
 def corpus_work_units(spark, d):
     """The documented run: records to nodes with ids to work units."""
-    return chunking.work_units(tree.flatten_with_ids(_t(spark, d, "book_json")), "base_id", "source_file", "text", "inferred_type")
+    return _corpus_units(spark, d).select("id", "source_file", "inferred_type", "strategy", "status", "part_no", F.md5("html").alias("html_md5"))
 
 
-@query()
+@query(_CORPUS + f"SELECT s AS strategy, count(units.id) AS chunk_count FROM (VALUES {STRATEGY_VALUES}) v(s) LEFT JOIN units ON strategy = s GROUP BY s UNION ALL SELECT 'total', count(*) FROM units")
 def corpus_strategy_aggregate(spark, d):
-    return chunking.strategy_aggregate(corpus_work_units(spark, d))
+    return chunking.strategy_aggregate(_corpus_units(spark, d))
 
 
-@query()
+@query(_TREE + """, f AS (SELECT CASE WHEN above = 'ARRAY' THEN tag ELSE regexp_replace(tag, '\\.[^.]+$', '') END AS tag, CASE WHEN above = 'ARRAY' THEN 'value' ELSE key END AS field, json_extract_string(value, '$') AS value
+  FROM k WHERE parent IS NOT NULL AND type NOT IN ('OBJECT', 'ARRAY', 'NULL'))
+SELECT tag, field, count(*) AS n, min(left(value, 80)) AS example FROM f GROUP BY ALL""")
+def structure_description(spark, d):
+    """Fields of the records at any depth, how often they have a value, and an example."""
+    return flatten.describe(flatten.emit(_t(spark, d, "book_json"), "record_id", "body"))
+
+
+@query(_NODES + """, c AS (SELECT n.record_id, source_file, node_path, depth, json_extract_string(node, '$.inferred-type') AS inferred_type, coalesce(json_extract(s.body, '$.processing_log.is_collection')::VARCHAR = 'true', false) AS coll FROM nodes n JOIN start s USING (record_id) WHERE n.text <> '')
+SELECT record_id, source_file || '_' || CASE WHEN coll THEN split_part(node_path, '/', 1)::BIGINT + 1 ELSE 0 END || '_' || CASE WHEN coll THEN split_part(node_path, '/', 2) ELSE node_path END AS chunk_id, inferred_type FROM c WHERE depth = CASE WHEN coll THEN 2 ELSE 1 END""")
 def collection_chunks(spark, d):
     return tree.collection_chunks(_t(spark, d, "book_json"))
 
@@ -161,7 +188,7 @@ def metadata_key_frequency(spark, d):
 @query(_NODES + "SELECT 'inferred-type' AS kind, json_extract_string(node, '$.inferred-type') AS value, count(*) AS n FROM nodes WHERE value IS NOT NULL GROUP BY ALL UNION ALL SELECT 'true-type', json_extract_string(node, '$.true-type') AS value, count(*) FROM nodes WHERE value IS NOT NULL GROUP BY ALL UNION ALL SELECT 'metadata', value, count(*) FROM (SELECT unnest(json_keys(body, '$.epub_metadata')) AS value FROM start) GROUP BY ALL UNION ALL SELECT 'added-field', value, count(*) FROM (SELECT unnest(json_extract_string(e, '$.added_fields[*]')) AS value FROM (SELECT unnest(json_extract(body, '$.processing_log.component_log[*]')) AS e FROM start)) GROUP BY ALL")
 def record_inventory(spark, d):
     """Distinct types, metadata keys and logged fields, with their counts."""
-    t = nested.shred(_t(spark, d, "book_json"))
+    t = nested.shred(_t(spark, d, "book_json"), "node", "book", "log")
     parts = [t["node"].select(F.lit("inferred-type").alias("kind"), F.col("inferred_type").alias("value")), t["node"].select(F.lit("true-type").alias("kind"), F.col("true_type").alias("value")), t["book"].select(F.lit("metadata").alias("kind"), F.explode("meta_keys").alias("value")), t["log"].select(F.lit("added-field").alias("kind"), F.explode("added_fields").alias("value"))]
     out = parts[0]
     for p in parts[1:]:
@@ -172,7 +199,7 @@ def record_inventory(spark, d):
 @query(_NODES + "SELECT s.record_id, coalesce(json_extract(s.body, '$.processing_log.is_collection')::VARCHAR = 'true', false) AS logged, coalesce(sec, false) AS by_section FROM start s LEFT JOIN (SELECT record_id, bool_or(json_extract_string(node, '$.type') = 'Section') AS sec FROM nodes WHERE depth = 1 GROUP BY 1) USING (record_id)")
 def collection_detection(spark, d):
     """Collections by the log's flag and by a section among the top-level entries."""
-    t = nested.shred(_t(spark, d, "book_json"))
+    t = nested.shred(_t(spark, d, "book_json"), "node", "book")
     sections = t["node"].where("depth = 1").groupBy("record_id").agg(F.bool_or(F.coalesce(F.col("type") == "Section", F.lit(False))).alias("s"))
     return t["book"].select("record_id", F.coalesce("is_collection", F.lit(False)).alias("logged")).join(sections, "record_id", "left").select("record_id", "logged", F.coalesce("s", F.lit(False)).alias("by_section"))
 

@@ -77,6 +77,12 @@ def sample_statistics(spark, d):
     return sampling.sample_statistics(cut(_sample(spark, d), "sample"))
 
 
+@query(_SAMPLE + """, in_series AS (SELECT DISTINCT id, series FROM sample_data WHERE series IS NOT NULL AND series <> '?')
+SELECT count(DISTINCT series) AS n_series, count(DISTINCT id) AS n_books, round(count(DISTINCT id) / greatest(count(DISTINCT series), 1), 2) AS books_per_series FROM sam JOIN in_series USING (id)""")
+def sample_series(spark, d):
+    return sampling.series_statistics(cut(_sample(spark, d), "sample"), _t(spark, d, "sample_data"))
+
+
 @query("SELECT id FROM (SELECT DISTINCT id FROM sample_data WHERE id IS NOT NULL) WHERE id NOT IN (SELECT split_part(source_file, '_', 1) FROM chunks WHERE source_file IS NOT NULL) ORDER BY md5(id || ':42'), id LIMIT 50")
 def random_new_books(spark, d):
     known = readers.collected_ids(_t(spark, d, "chunks").where("source_file IS NOT NULL"), "source_file")

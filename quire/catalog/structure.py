@@ -159,18 +159,32 @@ def element_frequency(spark, d):
     return structure.frequency(_elements(spark, d), "tag")
 
 
-@query()
+# the given fragments are properly nested, so depths and parents follow from counting open tags
+_TREE = r"""WITH RECURSIVE frag AS (SELECT row_number() OVER () AS f, source_file AS doc_id, regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?is)(<(?:script|style)\b[^>]*>).*?</(?:script|style)\s*>', '\1', 'g') AS t FROM chunks WHERE contains(text, '<')),
+tok AS (SELECT f, doc_id, unnest(regexp_extract_all(t, '</?[a-zA-Z][^<>]*>', 0)) AS k, generate_subscripts(regexp_extract_all(t, '</?[a-zA-Z][^<>]*>', 0), 1) AS pos FROM frag),
+kinds AS (SELECT f, doc_id, pos, lower(regexp_extract(k, '^</?([a-zA-Z][a-zA-Z0-9:._-]*)', 1)) AS tag, CASE WHEN starts_with(k, '</') THEN -1 WHEN regexp_matches(k, '/\s*>$') OR tag IN ('area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr') THEN 0 ELSE 1 END AS s FROM tok),
+d AS (SELECT *, sum(s) OVER (PARTITION BY f ORDER BY pos) AS after FROM kinds),
+e AS (SELECT f, doc_id, pos, tag, CASE s WHEN 1 THEN after ELSE after + 1 END AS depth, s FROM d WHERE s >= 0),
+o AS (SELECT f, pos, tag, depth FROM e WHERE s = 1),
+el AS (SELECT e.f, e.doc_id, e.pos, e.tag, o.pos AS parent_pos, coalesce(o.tag, '[document]') AS parent FROM e ASOF LEFT JOIN o ON e.f = o.f AND o.depth = e.depth - 1 AND e.pos > o.pos)
+"""
+
+
+@query(_TREE + "SELECT tag AS child, parent, count(*) AS n FROM el WHERE tag IN ('div', 'p', 'head', 'list', 'item', 'table', 'row', 'cell', 'figure') GROUP BY ALL")
 def parent_child(spark, d):
     return structure.parent_child(_elements(spark, d))
 
 
-@query()
+@query(_TREE + "," + _PUB + "SELECT publisher, tag AS child, parent, count(*) AS n FROM el JOIN pub USING (doc_id) WHERE tag IN ('p', 'img', 'table', 'div', 'span', 'h1') GROUP BY ALL")
 def parent_child_by_publisher(spark, d):
     rows = _elements(spark, d).join(_publishers(spark, d), "doc_id")
     return structure.parent_child(rows, structure.STRUCTURAL_BY_PUBLISHER, "publisher")
 
 
-@query()
+@query(_TREE + """, up AS (SELECT f, pos, tag, parent_pos AS above FROM el WHERE tag IN ('div', 'list') UNION ALL SELECT up.f, up.pos, up.tag, el.parent_pos FROM up JOIN el ON el.f = up.f AND el.pos = up.above),
+inside AS (SELECT DISTINCT up.f, up.pos FROM up JOIN el ON el.f = up.f AND el.pos = up.above WHERE el.tag = up.tag),
+down AS (SELECT f, pos AS outer_pos, pos, tag, 1 AS n FROM el WHERE tag IN ('div', 'list') AND (f, pos) NOT IN (SELECT (f, pos) FROM inside) UNION ALL SELECT down.f, outer_pos, el.pos, down.tag, n + 1 FROM down JOIN el ON el.f = down.f AND el.parent_pos = down.pos AND el.tag = down.tag)
+SELECT tag, max(m)::BIGINT AS max_depth, round(avg(m), 2) AS mean_depth, count(*) AS n_chains FROM (SELECT f, outer_pos, tag, max(n) AS m FROM down GROUP BY ALL) GROUP BY tag""")
 def nesting_depth(spark, d):
     return structure.nesting_depth(_elements(spark, d))
 

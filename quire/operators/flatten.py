@@ -144,3 +144,10 @@ def tables(records: DataFrame, key: str, body: str, root: str = ROOT) -> dict[st
     """Every table of the records by tag."""
     emitted = emit(records, key, body, root)
     return {r["tag"]: table(emitted, r["tag"]) for r in emitted.select("tag").distinct().collect()}
+
+
+def describe(emitted: DataFrame) -> DataFrame:
+    """(tag, field, n, example) of every field of every table: how often it has a value, and the least of the values'
+    first 80 characters."""
+    rows = emitted.where(F.col("payload").isNotNull()).select("tag", F.explode(F.from_json("payload", "map<string,string>")).alias("field", "value"))
+    return rows.groupBy("tag", "field").agg(F.count("*").alias("n"), F.min(F.left("value", F.lit(80))).alias("example"))

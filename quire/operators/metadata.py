@@ -27,7 +27,7 @@ def first_publisher(book_json: DataFrame, unknown: str = "__UNKNOWN_PUBLISHER__"
 
 def key_frequency(book_json: DataFrame) -> DataFrame:
     """Records per metadata key, keys of empty values included, and the row '(none)' of records without metadata."""
-    books = table_of(emit_tagged(book_json), "book").select("meta_keys")
+    books = table_of(emit_tagged(book_json, "book"), "book").select("meta_keys")
     named = books.select(F.explode("meta_keys").alias("metadata_key")).groupBy("metadata_key").agg(F.count("*").alias("n"))
     none = books.where("meta_keys IS NULL").agg(F.count("*").alias("n")).select(F.lit("(none)").alias("metadata_key"), "n")
     return named.unionByName(none)

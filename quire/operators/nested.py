@@ -111,56 +111,61 @@ def visit(body: str, source_file: str | None) -> Iterator[tuple[str, str, str |
     }
 
 
-_EMIT = pa.schema([("tag", pa.string()), ("record_id", pa.int64()), ("key", pa.string()), ("parent_key", pa.string()), ("position", pa.int64()), ("payload", pa.string())])
-_EMIT_DDL = "tag string, record_id bigint, key string, parent_key string, position bigint, payload string"
+_EMIT = pa.schema([("tag", pa.string()), ("record_id", pa.int64()), ("key", pa.string()), ("parent_key", pa.string()), ("position", pa.int64()), ("payload", pa.string()), ("file", pa.string())])
+_EMIT_DDL = "tag string, record_id bigint, key string, parent_key string, position bigint, payload string, file string"
 #: Rows of one Arrow batch sent back, so that a batch of wide collections stays small.
 _OUT_ROWS = 4096
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _EMIT.types)], schema=_EMIT)
+def _emit(tags: frozenset[str] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _EMIT.types)], schema=_EMIT)
 
-    def clean(s: str | None) -> str | None:  # lone surrogates have no UTF-8
-        return s if s is None or s.isascii() else s.encode("utf-8", "replace").decode()
+        def clean(s: str | None) -> str | None:  # lone surrogates have no UTF-8
+            return s if s is None or s.isascii() else s.encode("utf-8", "replace").decode()
 
-    rows: list[tuple] = []
-    for b in batches:
-        for record, name, body in zip(*(b.column(k).to_pylist() for k in ("record_id", "source_file", "body"))):
-            try:
-                own = [(tag, record, clean(key), clean(parent), pos, clean(json.dumps(payload, ensure_ascii=False))) for tag, key, parent, pos, payload in visit(body, name)]
-            except ValueError:
-                own = [("reject", record, "", None, 0, None)]
-            rows.extend(own)
-            if len(rows) >= _OUT_ROWS:
-                yield batch()
-                rows = []
-    if rows:
-        yield batch()
+        rows: list[tuple] = []
+        for b in batches:
+            for record, name, body in zip(*(b.column(k).to_pylist() for k in ("record_id", "source_file", "body"))):
+                try:
+                    own = [(tag, record, clean(key), clean(parent), pos, clean(json.dumps(payload, ensure_ascii=False)), name) for tag, key, parent, pos, payload in visit(body, name) if tags is None or tag in tags]
+                except ValueError:
+                    own = [("reject", record, "", None, 0, None, name)] if tags is None or "reject" in tags else []
+                rows.extend(own)
+                if len(rows) >= _OUT_ROWS:
+                    yield batch()
+                    rows = []
+        if rows:
+            yield batch()
 
+    return run
 
-def emit_tagged(book_json: DataFrame) -> DataFrame:
-    """All rows of all tables, written once and partitioned by tag. Bodies that are missing or no JSON have the tag 'reject'."""
-    rows = book_json.select(F.col("record_id").cast("long").alias("record_id"), "source_file", "body").mapInArrow(_emit, _EMIT_DDL)
-    return cut(rows.select("record_id", "key", "parent_key", "position", "payload", "tag"), "tagged", partition_by=["tag"])
 
+def emit_tagged(book_json: DataFrame, *tags: str) -> DataFrame:
+    """All rows of all tables, or of those asked for, written once and partitioned by tag, each with its record's file.
+    Bodies that are missing or no JSON have the tag 'reject'."""
+    rows = book_json.select(F.col("record_id").cast("long").alias("record_id"), "source_file", "body").mapInArrow(_emit(frozenset(tags) if tags else None), _EMIT_DDL)
+    return cut(rows.select("record_id", "key", "parent_key", "position", "payload", "file", "tag"), "tagged", partition_by=["tag"])
 
-def table_of(tagged: DataFrame, tag: str) -> DataFrame:
-    """One table: record_id, key, parent_key, position and the payload's columns."""
+
+def table_of(tagged: DataFrame, tag: str, *more: str) -> DataFrame:
+    """One table: record_id, key, parent_key, position, more columns of the emission, and the payload's columns."""
     rows = tagged.where(F.col("tag") == tag)
     if tag == "reject":
-        return rows.select("record_id")
-    return rows.select("record_id", "key", "parent_key", "position", F.from_json("payload", SCHEMAS[tag]).alias("p")).select("record_id", "key", "parent_key", "position", "p.*")
+        return rows.select("record_id", *more)
+    own = ["record_id", "key", "parent_key", "position", *more]
+    return rows.select(*own, F.from_json("payload", SCHEMAS[tag]).alias("p")).select(*own, "p.*")
 
 
-def shred(book_json: DataFrame) -> dict[str, DataFrame]:
-    """The tables book, metadata, log, node, image and reject of the records.
+def shred(book_json: DataFrame, *tags: str) -> dict[str, DataFrame]:
+    """The tables book, metadata, log, node, image and reject of the records, or those asked for.
 
     A record given again keeps its own record_id and rows. Missing, null and wrongly typed optional fields
     are null. An empty table gives empty tables. Extra columns of the input are not carried.
     """
-    tagged = emit_tagged(book_json)
-    return {tag: table_of(tagged, tag) for tag in (*SCHEMAS, "reject")}
+    tagged = emit_tagged(book_json, *tags)
+    return {tag: table_of(tagged, tag) for tag in tags or (*SCHEMAS, "reject")}
 
 
 def find_nodes(book_json: DataFrame) -> DataFrame:

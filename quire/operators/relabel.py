@@ -97,7 +97,7 @@ def lookup_types(ids: DataFrame, book_json: DataFrame) -> DataFrame:
     """
     file, book, chunk, _ = parse_chunk_id(F.col("id"))
     wanted = ids.select("id").distinct().select("id", file.alias("source_file"), F.when(book == 0, chunk.cast("string")).otherwise(F.concat((book - 1).cast("string"), F.lit("/"), chunk.cast("string"))).alias("key"))
-    tagged = emit_tagged(book_json)
+    tagged = emit_tagged(book_json, "node", "book")
     newest = table_of(tagged, "book").groupBy("source_file").agg(F.max("record_id").alias("record_id"))
     nodes = table_of(tagged, "node").select("record_id", "key", "inferred_type", F.lit(True).alias("there"))
     out = wanted.join(newest, "source_file", "left").join(nodes, ["record_id", "key"], "left")

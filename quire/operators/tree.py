@@ -22,7 +22,7 @@ def walk(book_json: DataFrame, kind: str) -> DataFrame:
     content: all nodes and the root's text, empty text dropped. lists: nodes under list-valued content only,
     root excluded. top: the root's direct entries only, no recursion.
     """
-    tagged = emit_tagged(book_json)
+    tagged = emit_tagged(book_json, "node", "book")
     nodes = table_of(tagged, "node").where("text IS NOT NULL AND text <> ''")
     if kind == "lists":
         return nodes.where("NOT single").select("record_id", F.col("key").alias("node_path"), "text")
@@ -37,18 +37,17 @@ def flatten_with_ids(book_json: DataFrame) -> DataFrame:
 
     An id is the file's stem and a two-digit, 1-based number for each level; a content that is an object adds none.
     """
-    tagged = emit_tagged(book_json)
-    book = table_of(tagged, "book")
-    nodes = table_of(tagged, "node").select("record_id", F.col("key").alias("node_path"), "id_suffix", "inferred_type", "text")
-    root = book.select("record_id", F.lit("").alias("node_path"), F.lit("").alias("id_suffix"), F.lit(None).cast("string").alias("inferred_type"), "text")
-    rows = nodes.unionByName(root).where(has_text(F.col("text"))).join(book.select("record_id", "source_file"), "record_id")
-    return rows.select("record_id", F.concat(_stem(F.col("source_file")), "id_suffix").alias("base_id"), "source_file", "node_path", "inferred_type", "text")
+    tagged = emit_tagged(book_json, "node", "book")
+    nodes = table_of(tagged, "node", "file").select("record_id", "file", F.col("key").alias("node_path"), "id_suffix", "inferred_type", "text")
+    root = table_of(tagged, "book", "file").select("record_id", "file", F.lit("").alias("node_path"), F.lit("").alias("id_suffix"), F.lit(None).cast("string").alias("inferred_type"), "text")
+    rows = nodes.unionByName(root).where(has_text(F.col("text")))
+    return rows.select("record_id", F.concat(_stem(F.col("file")), "id_suffix").alias("base_id"), F.col("file").alias("source_file"), "node_path", "inferred_type", "text")
 
 
 def collection_chunks(book_json: DataFrame) -> DataFrame:
     """(record_id, chunk_id, inferred_type) for test sets: <file>_<book>_<chunk>; book 0 for a single book,
     else 1-based over all top-level entries; chunks count from 0 in a book, those with text only."""
-    tagged = emit_tagged(book_json)
+    tagged = emit_tagged(book_json, "node", "book")
     book = table_of(tagged, "book").select("record_id", "source_file", F.coalesce("is_collection", F.lit(False)).alias("is_collection"))
     nodes = table_of(tagged, "node").select("record_id", "key", "depth", "inferred_type", F.coalesce(F.col("text") != "", F.lit(False)).alias("full"))
     rows = nodes.join(book, "record_id")
