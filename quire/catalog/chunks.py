@@ -179,10 +179,10 @@ def token_stats_audit(spark, d):
 
 
 # the given texts hold no entities; decoding them is tested apart
-_CLEAN = r'''trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g'), '([.!?\p{Nd},:;])([a-zA-Z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), ''' + f"'{_WS}+', ' ', 'g'))"
+CLEAN_SQL = r'''trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g'), '([.!?\p{Nd},:;])([a-zA-Z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), ''' + f"'{_WS}+', ' ', 'g'))"
 
 
-@query(f"SELECT id, md5({_CLEAN}) AS clean_md5 FROM chunks")
+@query(f"SELECT id, md5({CLEAN_SQL}) AS clean_md5 FROM chunks")
 def clean_text(spark, d):
     return _t(spark, d, "chunks").select("id", F.md5(names.clean_annotation_text(F.col("text"))).alias("clean_md5"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.catalog.chunks import CLEAN_SQL
 from quire.catalog.registry import query
+from quire.functions import names
 from quire.operators import classify, evaluation, labels
 from quire.plans.runtime import read_table as _t
 
@@ -157,12 +159,11 @@ def pending_chunks(spark, d):
     return classify.pending(_t(spark, d, "chunks").where("id IS NOT NULL"), _t(spark, d, "eval_results")).select("id").distinct()
 
 
-@query("WITH c AS (SELECT id, max(text) AS text FROM chunks GROUP BY id) SELECT annotation_id, a.id, gold_label AS old_gold_label, md5(coalesce(text, '')) AS text_md5 FROM annotations a LEFT JOIN c USING (id)")
+@query(f"WITH c AS (SELECT id, max(text) AS text FROM chunks GROUP BY id) SELECT annotation_id, a.id, gold_label AS old_gold_label, md5({CLEAN_SQL}) AS text_md5 FROM annotations a LEFT JOIN c USING (id)")
 def annotation_view(spark, d):
-    """Annotation rows with the text of their chunk, empty where there is none."""
-    texts = _t(spark, d, "chunks").where("id IS NOT NULL").groupBy("id").agg(F.max("text").alias("text"))
-    rows = _t(spark, d, "annotations").withColumnRenamed("gold_label", "old_gold_label").join(texts, "id", "left")
-    return rows.select("annotation_id", "id", "old_gold_label", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    """Annotation rows with the clean text of their chunk, empty where there is none."""
+    rows = labels.with_text(_t(spark, d, "annotations").withColumnRenamed("gold_label", "old_gold_label"), _t(spark, d, "chunks"))
+    return rows.select("annotation_id", "id", "old_gold_label", F.md5(names.clean_annotation_text(F.col("chunk_text"))).alias("text_md5"))
 
 
 @query("SELECT source_file AS batch, max(strlen(text)) AS max_tokens, avg(strlen(text)) AS avg_tokens, sum(strlen(text))::BIGINT AS sum_tokens FROM chunks GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import unicode_strip
+from quire.plans.runtime import cut, join_checked
 
 #: Allowed labels, subtypes valid under reader-information, and the sentinels of failed runs.
 LABELS = ("cover-image", "title-page", "imprint", "toc", "chapter", "feedback", "author-information", "reader-information", "unknown")
@@ -116,8 +117,10 @@ def failed_ids(results: DataFrame, model: str) -> DataFrame:
 
 
 def with_text(results: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Results with the text of their chunk and whether there is none; of an id's texts the greatest holds."""
-    texts = chunks.where("id IS NOT NULL").groupBy("id").agg(F.max("text").alias("chunk_text"))
+    """Results with the text of their chunk and whether there is none; of an id's texts the greatest holds. Only the
+    texts of ids that have results are moved, where their ids are few enough to be sent to the tasks."""
+    wanted = cut(results.where("id IS NOT NULL").select("id").distinct(), "wanted")
+    texts = join_checked(chunks, wanted, ["id"], "left_semi").groupBy("id").agg(F.max("text").alias("chunk_text"))
     return results.join(texts, "id", "left").withColumn("no_text", ~F.coalesce(F.col("chunk_text").rlike(r"(?U)\S"), F.lit(False)))
 
 

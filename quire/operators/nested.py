@@ -19,7 +19,7 @@ from quire.plans.runtime import cut
 #: Payload schema of each table; record_id, key, parent_key and position come before it.
 SCHEMAS = {
     "book": "title string, source string, source_file string, is_collection boolean, n_nodes bigint, text string, meta_keys array<string>",
-    "metadata": "name string, kind string, value string",
+    "metadata": "name string, kind string, value string, nested boolean",
     "log": "step string, added_fields array<string>, entry string",
     "node": "depth bigint, type string, href string, title string, inferred_type string, true_type string, is_narrative boolean, text string, extra string, single boolean, id_suffix string",
     "image": "url string",
@@ -68,7 +68,7 @@ def visit(body: str, source_file: str | None) -> Iterator[tuple[str, str, str |
             for name, value in meta.items():
                 for pos, v in enumerate(_entries(value)):
                     kind = "array" if isinstance(value, list) else "object" if isinstance(value, dict) else "scalar"
-                    yield "metadata", f"{name}/{pos}", "", pos, {"name": name, "kind": kind, "value": _string(v)}
+                    yield "metadata", f"{name}/{pos}", "", pos, {"name": name, "kind": kind, "value": _string(v), "nested": isinstance(v, (dict, list))}
         log = root.get("processing_log")
         if isinstance(log, dict):
             for pos, e in enumerate(_entries(log.get("component_log"))):

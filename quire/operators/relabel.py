@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.labels import parse_chunk_id
 from quire.operators.nested import emit_tagged, parse_body, table_of
+from quire.plans.runtime import cut, join_checked
 
 
 def insert_key(node: dict, key: str, value, after: str | None) -> dict:
@@ -86,7 +87,8 @@ def label_books(book_json: DataFrame, labels: DataFrame, key: str = "true-type",
     one = labels.where(F.col("id").rlike(token) & F.col("label").isNotNull()).select(F.regexp_extract("id", token, 1).alias("source_file"), F.concat_ws("_", F.regexp_extract("id", token, 1), F.regexp_extract("id", token, 2), F.regexp_extract("id", token, 3)).alias("k"), "label")
     one = one.groupBy("source_file", "k").agg(F.max("label").alias("label"))
     maps = one.groupBy("source_file").agg(F.map_from_entries(F.collect_list(F.struct("k", "label"))).alias("labels"))
-    rows = book_json.where("body IS NOT NULL").select(F.col("record_id").cast("long").alias("record_id"), "source_file", "body").join(maps, "source_file", "left")
+    books = book_json.where("body IS NOT NULL").select(F.col("record_id").cast("long").alias("record_id"), "source_file", "body")
+    rows = join_checked(books, cut(maps, "maps"), ["source_file"], "left")
     return rows.select("record_id", "source_file", "body", "labels").mapInArrow(_writer(key, after, missing), "record_id bigint, source_file string, body string, n_labelled bigint, n_missing bigint")
 
 
