@@ -174,3 +174,29 @@ def test_given_tables(spark, sf):
     docs = read_table(spark, sf, "documents")
     found = T.find_truncated(docs)
     assert 0 < found.count() < docs.count() / 4
+
+
+def test_every_contained_text_is_met(spark):
+    """Pairs found on a given table, against all pairs by an index of all shingles."""
+    from quire.llm.sitelines import document_items, mine_templates, remove_repeated
+
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    items = document_items(docs)
+    own = {r["item_id"]: r["own_text"] for r in remove_repeated(items, mine_templates(items)).collect()}
+    shingles = {i: set(T.shingle_hashes(T.words_of(t)).tolist()) for i, t in own.items()}
+    holders = {}
+    for i, s in shingles.items():
+        for h in s:
+            holders.setdefault(h, []).append(i)
+    same = {i: "\n".join(x for x in t.split("\n") if x.strip()) for i, t in own.items()}
+    judged = {r["item_id"]: r for r in T.judge(docs).collect()}
+    want = set()
+    for i, r in judged.items():
+        if r["kind"] != "whole" and len(shingles[i]) > 10:
+            common = {}
+            for h in shingles[i]:
+                for j in holders[h]:
+                    common[j] = common.get(j, 0) + 1
+            if any(n >= T.SIMILARITY * len(shingles[i]) and same[j] != same[i] for j, n in common.items()):
+                want.add(i)
+    assert len({i for i in want if judged[i]["near_copy"]}) >= 0.9 * len(want)
