@@ -461,6 +461,27 @@ def _copies(base: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.where("open").select("item_id", "digest").join(early, "digest").groupBy("item_id").agg(F.bool_or("early").alias("early"))
 
 
+def begun_words(words: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The distinct prefixes (column `prefix`) that begin a longer word (column `word`).
+
+    In order of their bytes the words that a prefix begins follow right after it, so each prefix is compared with the
+    next word only. The order is made by ranges over all tasks; a range's last prefixes look at the next range's first word.
+    """
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = words.select("word", F.col("word").alias("w")).unionByName(prefixes.select(F.col("prefix").alias("word"), F.lit(None).cast("string").alias("w")))
+    ranged = cut(both.where("word IS NOT NULL").repartitionByRange(tasks, "word").withColumn("p", F.spark_partition_id()), "ranged")
+    firsts = {r["p"]: r["w"] for r in ranged.where("w IS NOT NULL").groupBy("p").agg(F.min("w").alias("w")).collect()}  # one row a task
+    after, later = [], None
+    for p in range(tasks - 1, -1, -1):
+        after.append((p, later))
+        later = firsts.get(p, later)
+    after = words.sparkSession.createDataFrame(after, "p int, later string")
+    # a prefix that is a word, too, stands behind it
+    following = ranged.withColumn("next", F.expr("lead(w) IGNORE NULLS OVER (PARTITION BY p ORDER BY word, w NULLS LAST)"))
+    asked = following.where("w IS NULL").join(F.broadcast(after), "p").select(F.col("word").alias("prefix"), F.coalesce("next", "later").alias("next"))
+    return asked.where(F.startswith("next", "prefix") & (F.col("next") != F.col("prefix"))).select("prefix").distinct()
+
+
 def judge(docs: DataFrame, explain: bool = False) -> DataFrame:
     """(item_id, grp, kind, closing, near_copy, aligned_early, closing_share, entry_score, truncated) per document.
 
@@ -505,11 +526,7 @@ def judge(docs: DataFrame, explain: bool = False) -> DataFrame:
     )
     # unknown closing words that begin a known one are cut words
     unknown = open_.join(score.where("closing_uses = 0").select("item_id"), "item_id").select(F.col("closing").alias("prefix")).distinct()
-    unknown = cut(unknown, "unknown")
-    lengths = unknown.agg(F.collect_set(F.length("prefix"))).first()[0]  # only as many prefixes of a word as unknown words are long
-    sizes = F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n < F.greatest(F.length("word"), F.lit(2)))
-    begun = words.select("word", F.explode(sizes).alias("n")).select(F.expr("substring(word, 1, n)").alias("prefix"))
-    begun = begun.join(unknown, "prefix", "left_semi").distinct().withColumn("begun", F.lit(True)).withColumnRenamed("prefix", "closing")
+    begun = begun_words(words.select("word"), cut(unknown, "unknown")).withColumn("begun", F.lit(True)).withColumnRenamed("prefix", "closing")
     out = rows.select("item_id", "grp").join(tails, "item_id").join(score, "item_id", "left").join(begun, "closing", "left").join(copies, "item_id", "left")
     numeric = F.col("closing").rlike(r"^[\d\-]+$")
     known = F.col("closing_uses") > 0

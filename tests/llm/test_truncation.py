@@ -113,6 +113,20 @@ def test_copies_that_lost_most_of_the_text_are_met(spark):
     assert not any(got[100 + k]["truncated"] for k in range(12))
 
 
+def test_begun_words(spark):
+    rng = random.Random(3)
+    words = {"".join(rng.choice("abä") for _ in range(rng.randint(1, 6))) for _ in range(300)} | {"z"}
+    asked = {"".join(rng.choice("abä") for _ in range(rng.randint(1, 5))) for _ in range(80)} | {"z", "zz", "0", "ä"}
+    want = {u for u in asked if any(w.startswith(u) and w != u for w in words)}
+    frame = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} string")
+    for tasks in ("1", "4", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        got = [r[0] for r in T.begun_words(frame(sorted(words), "word"), frame([*asked, "ab"], "prefix")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want | ({"ab"} if any(w.startswith("ab") and w != "ab" for w in words) else set())
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert T.begun_words(frame([], "word"), frame(["a"], "prefix")).count() == 0 and T.begun_words(frame(["a"], "word"), frame([], "prefix")).count() == 0
+
+
 def test_marks_at_the_end():
     assert T.ends_marked("Ende.« ") and T.ends_marked("Ende!\u00a0)\n\"") and not T.ends_marked("Ende") and not T.ends_marked("") and not T.ends_marked(" \" ")
     assert T.without_closers("a.</p> </div>\n") == "a." and T.without_closers("a <p>") == "a <p>" and T.without_closers("x > y>") == "x > y>"
