@@ -194,3 +194,9 @@ def first_pending_per_model(spark, d):
     """The first ids without an answer of each model."""
     rows = _t(spark, d, "eval_results").where("id IS NOT NULL").select("id", F.explode(F.array(*(F.when(F.col(m).isNull(), F.lit(m)) for m in MODELS))).alias("model"))
     return labels.first_per_model(rows.where("model IS NOT NULL").distinct(), 25).select("model", "id")
+
+
+@query(r"""WITH p AS (SELECT annotation_id, CASE WHEN regexp_matches(id, '^(.+)_(\d+)_(\d+)$') THEN regexp_extract(id, '^(.+)_(\d+)_(\d+)$', 1) END AS f, try_cast(nullif(regexp_extract(id, '^(.+)_(\d+)_(\d+)$', 2), '') AS BIGINT) AS s, try_cast(nullif(regexp_extract(id, '^(.+)_(\d+)_(\d+)$', 3), '') AS BIGINT) AS c FROM annotations)
+SELECT annotation_id, f AS book_file, s AS section_idx, c AS chunk_idx, row_number() OVER (ORDER BY f NULLS FIRST, s NULLS FIRST, c NULLS FIRST, annotation_id) AS place FROM p""")
+def annotation_order(spark, d):
+    return labels.in_book_order(_t(spark, d, "annotations").select("annotation_id", "id"), "annotation_id").drop("id")

@@ -77,6 +77,11 @@ def sample_statistics(spark, d):
     return sampling.sample_statistics(cut(_sample(spark, d), "sample"))
 
 
+@query(_SAMPLE + "SELECT row_number() OVER (ORDER BY sam.tier NULLS FIRST, book_type NULLS FIRST, series NULLS FIRST, id) AS place, id, sam.tier, book_type, series FROM sam JOIN (SELECT id, book_type, series FROM cl) USING (id)")
+def sorted_sample(spark, d):
+    return sampling.sorted_sample(_sample(spark, d), _classified(spark, d))
+
+
 @query(_SAMPLE + """, in_series AS (SELECT DISTINCT id, series FROM sample_data WHERE series IS NOT NULL AND series <> '?')
 SELECT count(DISTINCT series) AS n_series, count(DISTINCT id) AS n_books, round(count(DISTINCT id) / greatest(count(DISTINCT series), 1), 2) AS books_per_series FROM sam JOIN in_series USING (id)""")
 def sample_series(spark, d):

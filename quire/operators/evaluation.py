@@ -83,6 +83,6 @@ def report_frame(rows: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def distribution(rows: DataFrame, column: str) -> DataFrame:
-    """Counts and percentages of a column's values, nulls left out."""
+    """Counts and percentages of a column's values in order of the values, nulls left out."""
     by = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
-    return by.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6))
+    return by.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6)).orderBy("label")

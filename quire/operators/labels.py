@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import unicode_strip
-from quire.plans.runtime import cut, join_checked
+from quire.plans.runtime import cut, join_checked, numbered
 
 #: Allowed labels, subtypes valid under reader-information, and the sentinels of failed runs.
 LABELS = ("cover-image", "title-page", "imprint", "toc", "chapter", "feedback", "author-information", "reader-information", "unknown")
@@ -110,6 +110,14 @@ def error_breakdown(results: DataFrame, models: Sequence[str]) -> DataFrame:
 FAILED = ("parsing_error", "batch_error", "encoding_error")
 
 
+def in_book_order(rows: DataFrame, unique: str) -> DataFrame:
+    """Rows with their place in order of book file, section and chunk of their id, ties by a unique column; ids of
+    another form, without file, come first."""
+    file, section, chunk, _ = parse_chunk_id(F.col("id"))
+    placed = rows.select("*", file.alias("book_file"), section.alias("section_idx"), chunk.alias("chunk_idx"))
+    return numbered(placed, ["book_file", "section_idx", "chunk_idx", unique], "place")
+
+
 def failed_ids(results: DataFrame, model: str) -> DataFrame:
     """Ids whose label by the model is an error, with the error."""
     error = normalise(F.col(f"`{model}`"))

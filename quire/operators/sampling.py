@@ -119,6 +119,12 @@ def audit(sample: DataFrame, collected: DataFrame, total: int) -> DataFrame:
     return by.withColumn("corpus_percent", F.round(F.col("collected") * 100.0 / max(total, 1), 4))
 
 
+def sorted_sample(sample: DataFrame, classified: DataFrame) -> DataFrame:
+    """(place, id, tier, book_type, series) of the sample in order of tier, type, series and id; nulls first."""
+    rows = sample.select("id", "tier").join(classified.select("id", "book_type", "series"), "id")
+    return numbered(rows, ["tier", "book_type", "series", "id"], "place").select("place", "id", "tier", "book_type", "series")
+
+
 def series_statistics(sample: DataFrame, books: DataFrame) -> DataFrame:
     """One row: series in the sample, its books from series, and their mean number per series."""
     series = books.where("series IS NOT NULL AND series <> '?'").select("id", "series").dropDuplicates(["id", "series"])

@@ -65,6 +65,20 @@ def write_file_folders(df: DataFrame, path: str, name: str = "name", text: str =
     rows.repartition("name").write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
 
 
+def rename_files(plan: DataFrame, folder: str, back: bool = False) -> int:
+    """Files of a folder renamed by a plan of (src, dst), or back; the number of files renamed. A file that isn't there, or
+    whose new name is taken, is passed over, so that a run can be made again. Only names are changed, on any file system;
+    the plan is read row by row."""
+    spark = plan.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs, done = path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    for r in plan.select("src", "dst").toLocalIterator():
+        old, new = (path(folder, n) for n in ((r["dst"], r["src"]) if back else (r["src"], r["dst"])))
+        if fs.exists(old) and not fs.exists(new):
+            done += bool(fs.rename(old, new))
+    return done
+
+
 def mapping_log(coverage: DataFrame) -> DataFrame:
     """One row with the JSON object {"handled": [...], "unhandled": [...]} of the tags of a coverage report, sorted."""
     names = [F.sort_array(F.collect_set(F.when(F.col("handled") == h, F.col("tag")))).alias(n) for h, n in ((True, "handled"), (False, "unhandled"))]

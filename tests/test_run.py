@@ -125,6 +125,13 @@ def test_sinks(spark, tmp_path):
         assert json.loads(text) == [{"k": k, "v": f"z{k}" if k % 2 == 0 else None} for k in range(n)]
     sinks.write_file_folders(spark.createDataFrame([("a.xml", "<a/>"), ("b.xml", None)], "name string, text string"), str(tmp_path / "ff"))
     assert {d for d in os.listdir(tmp_path / "ff") if d.startswith("name")} == {"name=a.xml", "name=b.xml"}
+    (tmp_path / "n").mkdir()
+    for n in ("a b.epub", "c.epub"):
+        (tmp_path / "n" / n).write_text(n)
+    plan = readers.epub_plan(spark.createDataFrame([("a b.epub",), ("c.epub",), ("weg.epub",)], "name string"))
+    assert sinks.rename_files(plan, str(tmp_path / "n")) == 2 and sinks.rename_files(plan, str(tmp_path / "n")) == 0
+    assert {f for f in os.listdir(tmp_path / "n") if f[0] != "."} == {"000001_a_b.epub", "000002_c.epub"} and (tmp_path / "n" / "000002_c.epub").read_text() == "c.epub"
+    assert sinks.rename_files(plan, str(tmp_path / "n"), back=True) == 2 and {f for f in os.listdir(tmp_path / "n") if f[0] != "."} == {"a b.epub", "c.epub"}
     log = sinks.mapping_log(spark.createDataFrame([("p", True), ("x", False), ("b", True)], "tag string, handled boolean")).first()["value"]
     assert json.loads(log) == {"handled": ["b", "p"], "unhandled": ["x"]}
     sinks.write_text_report(df, str(tmp_path / "r"), "v")
