@@ -39,8 +39,8 @@ OFTEN_CLOSING = 0.3
 MAX_WORDS = 300_000
 #: Texts profiled at once.
 SLICE = 2000
-#: A bucket of more texts is split into parts of about so many, which an open text meets one after the other.
-BUCKET_TEXTS = 1000
+#: A class of more texts is split into parts of about so many, which an open text meets one after the other.
+CLASS_TEXTS = 1000
 
 #: Marks around words and after sentences.
 _AROUND = "\"'»«”“„’‘‚)(][›‹.!?…,;:*_~`#|=<>&{}$/\\–—-·•©"
@@ -419,46 +419,100 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], []), _OWN.types)], schema=_OWN)
 
 
-def _copies(base: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, early) of open texts whose shingles another text holds; docs has item_id, n_words, keys, digest and open.
+def contexts(words: list[str]) -> np.ndarray:
+    """Hash of the SHINGLE words before each place from SHINGLE on, in this spelling."""
+    h = np.asarray([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    return _rolled(h)[: max(0, len(h) - SHINGLE)].view(np.int64)
+
+
+_ASKS = pa.schema([("digest", pa.int64()), ("h", pa.int64()), ("final", pa.string()), ("added", pa.bool_()), ("then", pa.string()), ("closed", pa.bool_())])
+_ASKS_DDL = "digest bigint, h bigint, final string, added boolean, then string, closed boolean"
+_SHOWS = pa.schema([("other", pa.int64()), ("h", pa.int64()), ("w", pa.string()), ("marked", pa.bool_()), ("next", pa.string())])
+_SHOWS_DDL = "other bigint, h bigint, w string, marked boolean, next string"
+
+
+def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every place where a text may end: its last word and each line's, with what stands before and behind it."""
+    for b in batches:
+        rows = []
+        for digest, own in zip(b.column("digest").to_pylist(), b.column("own").to_pylist()):
+            placed = [(w, k) for k, line in enumerate(own.split("\n")) for w in words_of(line)]
+            words, closed = [w for w, _ in placed], ends_marked(own)
+            before = contexts(words).tolist()
+            for j in range(SHINGLE, len(placed)):
+                added = j + 1 < len(placed)
+                if not added or placed[j][1] != placed[j + 1][1]:
+                    rows.append((digest, before[j - SHINGLE], words[j], added, words[j + 1] if added else "", closed))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 6, _ASKS.types)], schema=_ASKS)
+
+
+def _shows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every word of a text with what stands before it, whether it ends a sentence, and the next word of its line."""
+    for b in batches:
+        cols: list[list] = [[] for _ in range(5)]
+        for digest, own in zip(b.column("digest").to_pylist(), b.column("own").to_pylist()):
+            tokens = [(w, t, k) for k, line in enumerate(own.split("\n")) for t in line.split() if (w := t.strip(_AROUND))]
+            before = contexts([w for w, _, _ in tokens]).tolist()
+            later = [(w if k == line else "") for (w, _, k), (_, _, line) in zip(tokens[1:], tokens)] + [""]
+            cols[0] += [digest] * len(before)
+            cols[1] += before
+            for j in range(SHINGLE, len(tokens)):
+                cols[2].append(tokens[j][0])
+                cols[3].append(tokens[j][1].rstrip(_CLOSING)[-1:] in (".", "!", "?", "…"))
+                cols[4].append(later[j])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SHOWS.types)], schema=_SHOWS)
 
-    Exact copies count as one text. Only buckets with an open text and another one are followed up. There an open text
-    first meets the bucket's longest text. Texts that no alignment has ended early yet then meet all other texts of
-    their buckets: large buckets are split into parts by hash, and each round takes twice the parts of the last.
+
+def _copies(base: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, early) of open texts whose shingles a text holds that goes on where they end; docs has item_id, n_words,
+    keys, digest and open.
+
+    Exact copies count as one text. Only buckets with an open text and another one are followed up. Within a bucket an
+    open text is aligned only with texts that go on where it, or one of its lines, ends: both sides are joined by bucket
+    and by the words before that place, so copies that end alike make no pairs. Texts that go on alike there are a class;
+    an open text first meets the longest of each class. Texts that no alignment has ended early yet then meet the
+    others: large classes are split into parts by hash, and each round takes twice the parts of the last.
     """
     keyed = docs.select("digest", "n_words", "open", "item_id", F.explode("keys").alias("key"))
     live = keyed.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("z"), F.bool_or("open").alias("o")).where("o AND a <> z")
     live = cut(live.select("key"), "live")
     held = join_checked(keyed, live, ["key"], "left_semi").groupBy("key", "digest").agg(F.bool_or("open").alias("open"), F.max("n_words").alias("n_words"), F.min("item_id").alias("item_id"))
     held = cut(held, "held")
-    buckets = cut(held.groupBy("key").agg(F.max(F.struct("n_words", "digest")).alias("top"), F.ceil(F.count("*") / BUCKET_TEXTS).alias("parts")).select("key", F.col("top.digest").alias("other"), "parts"), "buckets")
     # the texts of these buckets, each once
     wanted = held.groupBy("digest").agg(F.min("item_id").alias("item_id")).select("item_id").distinct()
     texts = base.join(wanted, "item_id", "left_semi").select("grp", "text", "known").mapInArrow(_own_text, "digest bigint, own string")
     texts = cut(texts.dropDuplicates(["digest"]), "texts")
+    asks = cut(texts.join(held.where("open").select("digest").distinct(), "digest", "left_semi").mapInArrow(_asks, _ASKS_DDL), "asks")
+    shows = cut(join_checked(texts.mapInArrow(_shows, _SHOWS_DDL), cut(asks.select("h").distinct(), "contexts"), ["h"], "left_semi"), "shows")
+    shown = cut(shows.join(held.select("key", F.col("digest").alias("other"), "n_words"), "other"), "shown")
+    alike = ["key", "h", "w", "marked", "next"]
+    classes = shown.groupBy(*alike).agg(F.max(F.struct("n_words", "other")).alias("top"), F.ceil(F.count("*") / CLASS_TEXTS).alias("parts"))
+    classes = classes.select(*alike, F.col("top.other").alias("other"), "parts")
+    # the places that aligned_early takes for an early end
+    torn = (F.col("w") != F.col("final")) & F.startswith("w", "final") & ~(F.col("added") & (F.col("w") == F.concat("final", "then")))
+    unmarked = F.col("marked") & ~F.col("added") & ~F.col("closed")
+    going_on = ~F.col("marked") & (F.col("next") != "") & ~(F.col("added") & (F.col("next") == F.col("then")))
+    early = torn | ((F.col("w") == F.col("final")) & (unmarked | going_on))
+    asking = asks.join(held.where("open").select("key", "digest"), "digest")
+    asking = cut(asking.join(classes, ["key", "h"]).where(early).select("digest", *alike, "other", "parts"), "asking")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select("digest", F.col("own").alias("short")), "digest").join(texts.select(F.col("digest").alias("other"), F.col("own").alias("long")), "other")
         return cut(both.select("digest", "other", "short", "long").mapInArrow(_align, _ALIGN), "aligned")
 
-    asking = held.where("open").select("key", "digest")
-    tried = join_checked(asking, buckets, ["key"], "inner").where("digest <> other").select("digest", "other").distinct()
-    tried = cut(tried, "pairs")
+    tried = cut(asking.where("digest <> other").select("digest", "other").distinct(), "pairs")
     found = verify(tried)
-    part = F.pmod(F.xxhash64("digest"), F.col("parts"))
-    members = join_checked(held, buckets, ["key"], "inner").select("key", part.alias("part"), F.col("digest").alias("other"))
     low, high = 0, 1
-    most = int(buckets.agg(F.max("parts")).first()[0] or 0)
+    most = int(asking.agg(F.max("parts")).first()[0] or 0)
     while low < most:
-        rest = join_checked(asking, buckets, ["key"], "inner").where(F.col("parts") > low)
-        rest = rest.join(found.where("early").select("digest").distinct(), "digest", "left_anti")
-        rest = rest.select("key", "digest", F.explode(F.sequence(F.lit(low).cast("bigint"), F.least(F.lit(high).cast("bigint"), "parts") - 1)).alias("part"))
-        pairs = rest.join(members, ["key", "part"]).where("digest <> other").select("digest", "other").distinct()
+        rest = asking.where(F.col("parts") > low).join(found.where("early").select("digest").distinct(), "digest", "left_anti")
+        rest = rest.select("digest", *alike, "parts", F.explode(F.sequence(F.lit(low).cast("bigint"), F.least(F.lit(high).cast("bigint"), "parts") - 1)).alias("part"))
+        pairs = rest.join(shown.select(*alike, "other"), alike).where(F.pmod(F.xxhash64("other"), "parts") == F.col("part")).where("digest <> other").select("digest", "other").distinct()
         pairs = cut(pairs.join(tried, ["digest", "other"], "left_anti"), "pairs")
         tried, found = tried.union(pairs), found.union(verify(pairs))
         low, high = high, 2 * high + 1
-    early = found.groupBy("digest").agg(F.bool_or("early").alias("early"))
-    return docs.where("open").select("item_id", "digest").join(early, "digest").groupBy("item_id").agg(F.bool_or("early").alias("early"))
+    ended = found.groupBy("digest").agg(F.bool_or("early").alias("early"))
+    return docs.where("open").select("item_id", "digest").join(ended, "digest").groupBy("item_id").agg(F.bool_or("early").alias("early"))
 
 
 def begun_words(words: DataFrame, prefixes: DataFrame) -> DataFrame:
