@@ -570,8 +570,9 @@ def render(text: str, template: frozenset[tuple[str, str]] | None = None) -> str
         text = re.sub(r"^\|[ \t]*(.*?)[ \t]*\|?[ \t]*$", r"\1", text, flags=re.M)
     text = re.sub(r"[ \t]+$", "", re.sub(r"(?<=\S)  +(?=\S)", " ", text), flags=re.M)
     text = re.sub(r"\n{3,}", "\n\n", text)
-    while first in text:  # what was kept may hold what was kept before
-        text = re.sub(f"{first}(\\d+){last}", lambda m: kept[int(m[1])], text)
+    before = None
+    while before != text:  # what was kept may hold what was kept before
+        before, text = text, re.sub(f"{first}(\\d+){last}", lambda m: kept[int(m[1])], text)
     return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
 
 
