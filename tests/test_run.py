@@ -188,3 +188,14 @@ def test_lineage_cuts(spark):
     drop_cut(df)
     with pytest.raises(Exception):
         df.count()
+
+
+def test_run_log_and_checks(spark):
+    df = spark.createDataFrame([("a", "toc", "Success", None), ("b", None, "Error", "batch_error: x")], "id string, label string, status string, error_message string")
+    assert {tuple(r) for r in classify.run_log(df, F.lit("t").alias("x")).collect()} == {("t", "a", "Success", "toc", ""), ("t", "b", "Error", "", "batch_error: x")}
+    prompts = spark.createDataFrame([("abc",), ("ä" * 3,)], "prompt string")
+    assert [r["over_context"] for r in classify.context_check(prompts, 4, lambda c: F.octet_length(c)).collect()] == [False, True]
+    wide = spark.createDataFrame([("1", "toc", None, "x", "y")], "id string, m string, m_subtype string, n string, n_subtype string")
+    assert {tuple(r) for r in classify.models_long(wide, ["m", "n"]).collect()} == {("1", "m", "toc", None), ("1", "n", "x", "y")}
+    stats = classify.batch_token_stats(spark.createDataFrame([(1, "a"), (3, "a"), (5, "b")], "n int, b string"), F.col("n"), F.col("b")).collect()
+    assert {tuple(r) for r in stats} == {("a", 3, 2.0, 4), ("b", 5, 5.0, 5)}

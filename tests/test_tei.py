@@ -92,3 +92,11 @@ def test_run(spark):
     for chapters, others, want in ((True, False, {"a", "b", "e"}), (False, True, {"c", "f"}), (False, False, set())):
         assert {r["id"] for r in tei_run.select_units(units, chapters, others).collect()} == want
     assert [x.count() for x in tei_run.run(units.limit(0), F.lit("now"))] == [0, 0]
+
+
+def test_prefixes_and_coverage(spark):
+    df = spark.createDataFrame([('<ns0:TEI xmlns:ns0="http://x"><ns0:p a="1">t</ns0:p></ns0:TEI>',), ("<p>a<blink>b</blink><i>c</i></p>",), (None,)], "t string")
+    assert [r[0] for r in df.select(tei.front_first_strip_prefix(F.col("t"))).collect()] == ['<TEI><p a="1">t</p></TEI>', "<p>a<blink>b</blink><i>c</i></p>", None]
+    got = {r["tag"]: r["handled"] for r in tei.coverage(df.where("t NOT LIKE '%ns0%'").withColumn("id", F.lit("1")), "id", "t").collect()}
+    assert got == {"p": True, "i": True, "blink": False}
+    assert tei.coverage(df.limit(0).withColumn("id", F.lit("1")), "id", "t").count() == 0
