@@ -288,10 +288,9 @@ def analyse_tail(lines: list[str]) -> tuple[str, str, list[str], bool]:
         return "whole", "", [], False
     if "$" in text:
         text = re.sub(r"(?:\s*\$[^$\n]*\$)+\s*\Z", "", text)
-    rows = [x for x in text.split("\n") if words_of(x)]
-    if not rows:
+    last = next((x for x in reversed(text.split("\n")) if _HAS_WORD.search(x)), "").strip()
+    if not last:
         return _NO_WORDS
-    last = rows[-1].strip()
     if last.endswith("�"):
         return "broken", "", [], False
     ellipsis = re.search(r"(\s*)(?:…|\.\.\.|\[…\]|\[\.\.\.\]|\(…\)|\(\.\.\.\))[\"'»«”“’‘)\s]*\Z", last)
